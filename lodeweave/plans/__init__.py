@@ -1,8 +1,6 @@
 """Registered queries and their SQL."""
 
-from __future__ import annotations
+from . import aggregates, graphs, joins, predicates, quality, sequences, sinks, state, texts, vectors
+from .registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "aggregates", "graphs", "joins", "predicates", "quality", "sequences", "sinks", "state", "texts", "vectors"]
