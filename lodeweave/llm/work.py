@@ -1,37 +1,18 @@
-"""Shared helpers: work tables in the cluster's shared folder and Arrow mapping."""
+"""Shared helpers of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows an Arrow batch holds at most, so that a batch of long texts stays small beside a worker's memory.
-ARROW_ROWS = 512
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine), a temporary one is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lodeweave-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+from ..sources.worktables import shared_folder, stored
 
+__all__ = ["documents", "map_arrow", "shared_folder", "stored"]
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return the table read back.
-
-    Unlike ``checkpoint()`` this computes the plan once, keeps column pruning for later readers, and
-    later stages never recompute the input when an executor is lost.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows an Arrow batch holds at most, so that a batch of long texts stays small beside a worker's memory.
+ARROW_ROWS = 512
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
