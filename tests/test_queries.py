@@ -1,7 +1,7 @@
 """Every registered query of the library against its SQL."""
 
 import pytest
-from conftest import same_rows
+from compare import same_rows
 
 from lodeweave import plans
 
