@@ -5,7 +5,7 @@ All stages but the last return the columns of ``documents``; the mix returns a r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.exact_dedup import exact_dedup
@@ -19,14 +19,19 @@ from lodeweave.llm.work import documents, stored
 LEAST_SCORE = 0.3
 
 
+def whole() -> Column:
+    """The row as one column, so that no operator's column meets one of its own."""
+    return F.struct("*").alias("__row")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognisable language (no letters, or no language above LEAST_SCORE)."""
-    return identify(docs, train(docs), least=LEAST_SCORE).select(*docs.columns)
+    return identify(docs, train(docs), least=LEAST_SCORE, names=("__lang", "__score")).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of equal texts."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    return exact_dedup(docs.select("doc_id", whole()), text_col="__row.text").where("kept").select("__row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +45,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of a document as the mix takes copies of it."""
-    copies = mix(docs, word_count(F.col("text"))).where("copies > 0")
-    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    copies = mix(docs.select("doc_id", "source", whole()), word_count(F.col("__row.text"))).where("copies > 0")
+    return copies.select(F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))), "__row").select("__row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

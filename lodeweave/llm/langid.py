@@ -139,14 +139,14 @@ def _gram_rows(words: DataFrame, n: int) -> DataFrame:
     return words.where(f"length({padded}) >= {n}").selectExpr("lang", f"{n} AS k", f"explode(transform(sequence(1, length({padded}) - {n - 1}), i -> substr({padded}, i, {n}))) AS x", "n")
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text", least: float | None = None) -> DataFrame:
-    """All columns of ``df`` and ``lang_pred``, ``score`` (0 to 1: the posterior of the language); rows below ``least`` or ``und`` go where it is given.
+def identify(df: DataFrame, model: Model, text_col: str = "text", least: float | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``df`` and ``names``: the language and its score (0 to 1: the posterior of the language); rows below ``least`` or ``und`` go where it is given.
 
     ``und`` with score 0 for a null or empty text, one without a letter, or an empty model. Equal texts get
     equal results. Columns of those names in ``df`` are replaced. A map over the scan with the model broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in df.columns if c not in ("lang_pred", "score")]
+    own = [c for c in df.columns if c not in names]
     part = df.select(*own, F.col(text_col).alias("__text"))
     n = len(own)
 
@@ -154,11 +154,11 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", least: float |
         m = shared.value
         for batch in batches:
             found = [m.predict(t) for t in batch.column(n).to_pylist()]
-            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*own, "lang_pred", "score"])
+            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*own, *names])
             yield out if least is None else out.filter(pa.array([f[0] != "und" and f[1] >= least for f in found], pa.bool_()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema[:n])
-    return map_arrow(part, run, f"{schema}{', ' * bool(schema)}lang_pred string, score double")
+    return map_arrow(part, run, f"{schema}{', ' * bool(schema)}`{names[0]}` string, `{names[1]}` double")
 
 
 def held_out() -> Column:

@@ -51,10 +51,10 @@ def random_number(id_col: str, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", priority: Column | None = None, seed: int = 42) -> DataFrame:
+def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", priority: Column | None = None, seed: int = 42, share: tuple[int, int] = (3, 2), most: int = 2, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """All columns of ``df`` and ``size``, ``source_size``, ``target``, ``copies``, ``taken`` (copies * size) for every row.
 
-    ``priority`` multiplies a row's inclusion odds (null or none: 1). A null source is a source of its
+    Sizes, ``share``, ``most`` and ``weights`` are those of ``source_targets``. ``priority`` multiplies a row's inclusion odds (null or none: 1). A null source is a source of its
     own. Repeated rows are sampled one by one; rows with the same id share the random number, ties go by size. Rows of size 0 take
     no words, whatever their copies. Columns of those names in ``df`` are replaced.
     """
@@ -62,8 +62,8 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     own = [c for c in df.columns if c not in new]
     rows = df.select(*own, size.alias("size"), (F.coalesce(priority, F.lit(1.0)) if priority is not None else F.lit(1.0)).alias("__odds"))
     totals = rows.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    sources = stored(source_targets(totals), "sources")
-    base = F.when(F.col("target") >= 2 * F.col("source_size"), 2).when(F.col("target") >= F.col("source_size"), 1).otherwise(0)
+    sources = stored(source_targets(totals, share, most, weights), "sources")
+    base = F.floor(F.col("target") / F.greatest(F.lit(1), F.col("source_size"))).cast("int")
     sources = sources.withColumn("__base", base).withColumn("__need", F.col("target") - base * F.col("source_size"))
     ranges = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.least(F.lit(float(MAX_RANGES)), F.col("rows") / RANGE_ROWS)))))
     sources = sources.withColumn("__ranges", ranges).drop("rows", "weight").withColumnsRenamed({"source": "__source", "place": "__sid"})
