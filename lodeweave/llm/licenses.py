@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .work import documents
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: All but the ASCII characters that are neither digits nor letters, written as what stays: Java is twenty times slower on the complement.
+WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
+ANY_CASE_WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 
 #: Phrase and label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -93,29 +94,33 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.when(F.col("__indexed"), F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)))
 
-    def base_at(w: Column, i: Column) -> Column:
+    by_anchor: dict[str, list[Template]] = {}
+    for t in index:
+        by_anchor.setdefault(t.anchor, []).append(t)
+
+    def hit(w: Column, i: Column) -> Column:
+        return F.when(w.isin(anchors), F.struct(w.alias("w"), i.alias("i")))
+
+    def base_at(h: Column) -> Column:
         out = F.lit(None).cast("string")
         for phrase, label in BASE.items():
             first, *rest = phrase.split()
-            out = F.when(reduce(lambda a, b: a & b, [F.get(F.col("__words"), i + k) == r for k, r in enumerate(rest, 1)], w == first), F.lit(label)).otherwise(out)
-        return F.when(out.isNotNull(), F.struct(i.cast("long").alias("at"), out.alias("label")))
-
-    def found_at(w: Column, i: Column) -> Column:
-        by_anchor: dict[str, list[Template]] = {}
-        for t in index:
-            by_anchor.setdefault(t.anchor, []).append(t)
-        none = F.array().cast("array<struct<label:string,score:double>>")
-        out = none
+            out = F.when(reduce(lambda a, b: a & b, [F.get(F.col("__words"), h["i"] + k) == r for k, r in enumerate(rest, 1)], h["w"] == first), F.lit(label)).otherwise(out)
+        return F.when(out.isNotNull(), F.struct(h["i"].cast("long").alias("at"), out.alias("label")))
+
+    def found_at(h: Column) -> Column:
+        out = F.array().cast("array<struct<label:string,score:double>>")
         for anchor, templates in by_anchor.items():
-            each = F.array(*(F.struct(F.lit(t.label).alias("label"), t.score(F.col("__words"), i).alias("score")) for t in templates))
-            out = F.when(w == anchor, each).otherwise(out)
+            each = F.array(*(F.struct(F.lit(t.label).alias("label"), t.score(F.col("__words"), h["i"]).alias("score")) for t in templates))
+            out = F.when(h["w"] == anchor, each).otherwise(out)
         return F.filter(out, lambda x: x["score"].isNotNull())
 
     part = df.select(F.col(id_col), F.col(text_col).alias("__text"))
     part = part.select(id_col, F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), indexed.alias("__indexed"), "__text")
     part = part.select(id_col, "n_words", words.alias("__words"))
-    part = part.withColumn("__base", F.filter(F.transform("__words", base_at), lambda x: x.isNotNull()))
-    part = part.withColumn("__found", F.flatten(F.filter(F.transform("__words", found_at), lambda x: F.size(x) > 0)))
+    part = part.withColumn("__hits", F.filter(F.transform("__words", hit), lambda x: x.isNotNull()))
+    part = part.withColumn("__base", F.filter(F.transform("__hits", base_at), lambda x: x.isNotNull()))
+    part = part.withColumn("__found", F.flatten(F.transform("__hits", found_at)))
     base, found = F.transform("__base", lambda x: x["label"]), F.transform("__found", lambda x: x["label"])
     none = F.array().cast("array<string>")
     return part.select(
