@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,8 +11,21 @@ from pyspark.sql import functions as F
 
 
 def ascii_bounds(pattern: str) -> str:
-    r"""A pattern whose ``\b`` sees ASCII words only, as its source dialect does; Java's sees letters of all scripts."""
-    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+    r"""A pattern whose ``\b`` sees ASCII words only, as its source dialect does; Java's sees letters of all scripts.
+
+    Beside a letter only the other side has to be looked at.
+    """
+    parts = pattern.split(r"\b")
+    out = parts[0]
+    for part in parts[1:]:
+        if re.match(r"\w|\\w", part):
+            out += r"(?<!\w)"
+        elif re.search(r"(?<!\\)\w$|\\w$", out):
+            out += r"(?!\w)"
+        else:
+            out += r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+        out += part
+    return out
 
 
 def token_estimate(text: Column) -> Column:
@@ -61,7 +75,8 @@ def match_offsets(text: Column, pattern: str) -> Column:
         at = acc["at"] + F.length(x["b"])
         return F.struct((at + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("text"), at.alias("start")))).alias("out"))
 
-    return F.aggregate(F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b"))), start, step)["out"]
+    out = F.aggregate(F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b"))), start, step)["out"]
+    return F.when(text.rlike(pattern), out).otherwise(F.array().cast("array<struct<text:string,start:int>>"))  # most texts have none
 
 
 def content_hash(text: Column) -> Column:
