@@ -1,8 +1,8 @@
 """Language identification: words first, backing off to shorter and shorter character n-grams.
 
 A word known from training is scored by its log frequency in each language. An unseen word is scored by
-its longest character n-grams (with word borders) that the model knows: where a place has none, the
-next shorter ones are looked up, with a discount for each step.
+its longest character n-grams (with word borders) that the model knows: where it has none, the next
+shorter ones are looked up and count for less with each step.
 """
 
 from __future__ import annotations
@@ -23,59 +23,66 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Bound of what is learned from: the expected number of labelled rows per language in a hash sample.
 TRAIN_ROWS = 4000
 #: Bounds of the model: words and n-grams per language, languages.
-MODEL_WORDS = 20_000
-MODEL_GRAMS = 8_000
+MODEL_WORDS = 30_000
+MODEL_GRAMS = 4_000
 MODEL_LANGUAGES = 200
 LONGEST = 4
-BACKOFF = math.log(0.4)
-
-
-def grams(word: str, n: int) -> list[str]:
-    padded = f"<{word}>" if n > 1 else word
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+#: What a step to shorter n-grams leaves of a word's weight; count added to every string; longest word scored as one.
+BACKOFF = 0.4
+SMOOTH = 0.1
+LONG_WORD = 64
 
 
 class Model:
-    """Log frequencies per language. ``parts``: per n (0: words) a dict from string to counts by language."""
+    """Log frequencies of words (n = 0) and n-grams in each language.
+
+    ``counts``: for each n a dict from string to counts by language; ``totals``: all counts of an n by language.
+    """
 
     def __init__(self, languages: list[str], counts: dict[int, dict[str, list[float]]], totals: dict[int, list[float]]):
         self.languages = languages
-        self.tables: dict[int, dict[str, np.ndarray]] = {}
-        for n, table in counts.items():
-            size, total = len(table) + 1, np.array(totals[n], dtype=np.float64)
-            base = np.log(total + 0.1 * size)
-            keys = list(table)
-            values = np.log(np.array([table[k] for k in keys], dtype=np.float64).reshape(len(keys), len(languages)) + 0.1) - base
-            self.tables[n] = dict(zip(keys, values.astype(np.float32), strict=True))
-        self.memo: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        if len(word) > 64:  # as its parts, so that a very long word costs no more than its length
-            return sum(self.word(word[i : i + 64]) for i in range(0, len(word), 64))
-        known = self.memo.get(word)
-        if known is None:
-            known, steps = np.zeros(len(self.languages), np.float32), 0
-            for n in range(LONGEST, 0, -1):
-                hits = [x for g in grams(word, n) if (x := self.tables[n].get(g)) is not None]
-                if hits:
-                    known = np.sum(hits, axis=0) / np.float32(n) + np.float32(steps * BACKOFF)
-                    break
-                steps += 1
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            self.memo[word] = known
-        return known
+        self.rows: list[dict[str, int]] = []  # by n: string to row of logs
+        logs: list[np.ndarray] = [np.zeros((0, len(languages)), np.float32)]
+        at = 0
+        for n in range(LONGEST + 1):
+            table = counts[n]
+            found = np.array(list(table.values()), np.float64).reshape(len(table), len(languages))
+            logs.append((np.log(found + SMOOTH) - np.log(np.array(totals[n], np.float64) + SMOOTH * (len(table) + 1))).astype(np.float32))
+            self.rows.append(dict(zip(table, range(at, at + len(table)), strict=True)))
+            at += len(table)
+        self.logs = np.concatenate(logs)
+
+    def back_off(self, word: str, weight: float, rows: list[int], weights: list[float]) -> None:
+        """The rows of the longest n-grams of an unseen word that are known, with their weights."""
+        if len(word) > LONG_WORD:  # by parts, so that a very long word costs no more than its length
+            for i in range(0, len(word), LONG_WORD):
+                self.back_off(word[i : i + LONG_WORD], weight, rows, weights)
+            return
+        padded = f"<{word}>"
+        for n in range(LONGEST, 0, -1):
+            get, text = self.rows[n].get, padded if n > 1 else word
+            hits = [r for i in range(len(text) - n + 1) if (r := get(text[i : i + n])) is not None]
+            if hits:
+                rows += hits
+                weights += [weight / n] * len(hits)
+                return
+            weight *= BACKOFF
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall((text or "").lower())
         if not self.languages or not words or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
-        counted = Counter(words)
-        logs = np.array([self.word(w) for w in counted]).T @ np.fromiter(counted.values(), np.float32, len(counted))
-        logs = logs.astype(np.float64) / math.sqrt(len(words))  # words depend on one another
+        rows: list[int] = []
+        weights: list[float] = []
+        known = self.rows[0].get
+        for word, n in Counter(words).items():
+            row = known(word)
+            if row is None:
+                self.back_off(word, n, rows, weights)
+            else:
+                rows.append(row)
+                weights.append(n)
+        logs = np.array(weights) @ self.logs[np.array(rows, np.int64)] / math.sqrt(len(words))  # words depend on one another
         best = int(logs.argmax())
         return self.languages[best], float(1 / np.exp(np.minimum(logs - logs[best], 0)).sum())
 
@@ -105,8 +112,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.update((lang, w) for w in WORD.findall(text.lower()) if len(w) <= 64)
-            if len(held) > 200_000:
+                held.update((lang, w) for w in WORD.findall(text.lower()) if len(w) <= LONG_WORD)
+            if len(held) > 50_000:
                 yield out()
                 held.clear()
         yield out()
