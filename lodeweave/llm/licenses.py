@@ -138,3 +138,30 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and labels of every whole text of ``documents``."""
     return license_scan(documents(spark, sf_dir))
+
+
+def _op10_sql() -> str:
+    """Every template tried at every word of every document."""
+    df = Counter(w for _, words, _ in TEMPLATES for w in set(words.split()))
+    idf = {w: math.log(1 + len(TEMPLATES) / n) for w, n in df.items()}
+    found = []
+    for label, words, key in TEMPLATES:
+        t, k = words.split(), key.split()
+        shift = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+        stands = lambda i: f"coalesce(CASE WHEN i + {i - shift} > 0 THEN w[i + {i - shift}] END = '{t[i]}', false)"  # noqa: E731, B023
+        weight = " + ".join(f"CASE WHEN {stands(i)} THEN {idf[x]!r}::DOUBLE ELSE 0.0::DOUBLE END" for i, x in enumerate(t))
+        every = " AND ".join(stands(shift + n) for n in range(len(k)))
+        found.append(f"SELECT doc_id, '{label}' AS label, ({weight}) / {sum(idf[x] for x in t)!r}::DOUBLE AS score FROM p WHERE {every}")
+    base = "CASE " + " ".join(f"WHEN w[i:i + {len(x.split()) - 1}] = {x.split()!r} THEN '{label}'" for x, label in BASE.items()) + " END"
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(list_intersect(w, ['cc', 'cc0', 'creative', 'license', 'reserved', 'permission', 'redistribution', 'unencumbered'])) > 0),
+b AS (SELECT doc_id, i - 1 AS pos, {base} AS label FROM p),
+f AS ({" UNION ALL ".join(found)}),
+x AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b WHERE label IS NOT NULL GROUP BY doc_id),
+y AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b WHERE label IS NOT NULL UNION SELECT doc_id, label FROM f) GROUP BY doc_id),
+z AS (SELECT doc_id, max(score) AS score FROM f GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id"""
+
+
+OP10_SQL = _op10_sql()

@@ -338,7 +338,7 @@ def near_duplicates(
     ends: DataFrame | None = None
     for level in range(1, depth + 1):
         paths = stored(paths, f"paths{level}")
-        held = paths.groupBy("path").count().where("count > 1")
+        held = stored(paths.groupBy("path").count().where("count > 1"), f"counts{level}")  # a table: the join can then split a hot path
         paths = stored(paths.join(held, "path"), f"held{level}")
         done = paths.where(F.col("count") <= small) if level < depth else paths
         ends = done if ends is None else ends.unionByName(done)
@@ -384,3 +384,31 @@ def near_duplicates(
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates and its number of links."""
     return near_duplicates(documents(spark, sf_dir)).drop("text_hash")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM d
+), k AS (
+  SELECT doc_id, len(sh) AS n, sh, min(doc_id) OVER (PARTITION BY md5(array_to_string(list_sort(sh), '|'))) AS v,
+         count(*) OVER (PARTITION BY md5(array_to_string(list_sort(sh), '|'))) AS copies FROM s WHERE len(sh) > 0
+), x AS (
+  SELECT v, n, unnest(sh) AS g FROM k WHERE doc_id = v
+), p AS (
+  SELECT a.v AS a, b.v AS b FROM x a JOIN x b ON a.g = b.g AND a.v < b.v GROUP BY a.v, b.v, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))
+), l AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), c AS (
+  SELECT v, v AS c FROM k WHERE doc_id = v UNION SELECT l.b, c.c FROM c JOIN l ON l.a = c.v WHERE c.c < l.b
+), m AS (
+  SELECT v, min(c) AS class_id FROM c GROUP BY v
+), g AS (
+  SELECT l.a AS v, count(*) AS texts, sum(k.copies)::BIGINT AS docs FROM l JOIN k ON k.doc_id = l.b GROUP BY l.a
+)
+SELECT d.doc_id, coalesce(m.class_id, d.doc_id) AS class_id, coalesce(g.docs, 0) + coalesce(k.copies, 1) - 1 AS n_links,
+       coalesce(g.texts, 0) AS n_texts, coalesce(k.copies, 1) AS copies, coalesce(m.class_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN m ON m.v = k.v LEFT JOIN g ON g.v = k.v
+"""

@@ -20,4 +20,10 @@ QUERIES = {
     )
 }
 
-SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op9_mixing": mixing.OP9_SQL}
+SQL = {
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op5_secret_scan": secrets.OP5_SQL,
+    "op8_ngram_join": ngram_join.OP8_SQL,
+    "op9_mixing": mixing.OP9_SQL,
+    "op10_license_scan": licenses.OP10_SQL,
+}

@@ -171,3 +171,24 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(of_kinds(base)), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+def _op5_sql() -> str:
+    """Matches by regexp_extract_all, their places by the lengths of what lies between (string_split_regex)."""
+    parts, names = [], []
+    for n, (kind, pattern, fold, group, least) in enumerate(BASE_RULES + MORE_RULES):
+        p = "'" + ("(?i)" if fold else "") + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"SELECT doc_id, {n} AS rule, '{kind}' AS kind, list_sum(list_transform(b[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[:i - 1], lambda x: length(x))), 0) AS start, length(f[i]) AS size, length(g[i]) AS measured, {least} AS least "
+            f"FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS f, regexp_extract_all(text, {p}, {group}) AS g, string_split_regex(text, {p}) AS b FROM documents WHERE regexp_matches(text, {p})))"
+        )
+        names.append(kind)
+    base = ", ".join(f"'{k}'" for k, *_ in BASE_RULES)
+    span = "kind || ':' || start || ':' || (start + size)"
+    return f"""WITH m AS ({" UNION ALL ".join(parts)}), k AS (SELECT doc_id, rule, kind, start::BIGINT AS start, size FROM m WHERE measured >= least),
+t AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg({span}, ',' ORDER BY start, rule) FILTER (kind IN ({base})) AS base, string_agg({span}, ',' ORDER BY start, rule) AS spans FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+
+OP5_SQL = _op5_sql()
