@@ -20,8 +20,18 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/lodeweave-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_work_tables(spark: SparkSession) -> None:
+    """Delete the work tables of this application; call it when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
