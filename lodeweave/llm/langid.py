@@ -101,7 +101,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     share = F.lit(0.0)
     for r in sizes:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, rows / r["count"]))).otherwise(share)
-    part = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    part = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates()  # copies share a hash
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
