@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.joins import change_diff
+from ..operators.retrieval import retrieve
 from ..operators.vectors import top_k
 from ..sources import files as S
 from ..sources import records as R
 from ..sources import tables as T
 from ..sources.worktables import new_path
 from .registry import query, table
-from .relations import actions, files, over
+from .relations import actions, chunks, files, over
 from .sequences import log_lines
 
 TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
@@ -149,13 +150,37 @@ def s14(spark, d):
     return back.select(F.size("results").cast("long").alias("n"), F.round("success_rate", 6).alias("success_rate"), F.round("mean_ms", 4).alias("mean_ms"))
 
 
-@query("e4_plug_ins", over("files", "SELECT lang, count(*) AS n FROM files GROUP BY lang"))
-def e4(spark, d):
-    """Any callable takes the part of a store or a progress report: here a sink gets the grouped files."""
-    got = {}
+class EveryHundredth:
+    """A stand-in for a vector store: each step gets the documents whose id ends in its number."""
+
+    def __init__(self, documents):
+        self.documents = documents
+
+    def search(self, steps, k):
+        from pyspark.sql import Window
+
+        hits = self.documents.join(F.broadcast(steps), F.col("doc_id") % 100 == F.col("step"))
+        rank = F.row_number().over(Window.partitionBy("step").orderBy("doc_id"))
+        return hits.select("step", rank.alias("rank"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")).where(F.col("rank") <= k)
 
-    def sink(batch, n):
-        got["rows"] = batch
 
-    sink(files(spark, d).groupBy("lang").agg(F.count("*").alias("n")), 0)
-    return got["rows"]
+_EXPECTED = [(1, "src1/", 0), (1, "7.en", 1), (2, "src2/", 0), (3, "none", 0)]
+
+
+@query("e4_plug_ins", over("files chunks", """, x(step, fragment, n) AS (VALUES (1, 'src1/', 0), (1, '7.en', 1), (2, 'src2/', 0), (3, 'none', 0)),
+g AS (SELECT x.step, 0 AS side, x.n, row_number() OVER (PARTITION BY x.step, x.fragment ORDER BY c.id) AS rk, x.fragment AS path, c.content FROM x JOIN files f ON f.path ILIKE '%' || x.fragment || '%' JOIN chunks c ON c.file_id = f.id),
+v AS (SELECT doc_id % 100 AS step, 1 AS side, 0 AS n, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id) AS rk, source || '/' || doc_id AS path, text AS content FROM documents WHERE doc_id % 100 IN (1, 2, 3)),
+a AS (SELECT * FROM g WHERE rk <= 10 UNION ALL SELECT * FROM v WHERE rk <= 5),
+u AS (SELECT *, row_number() OVER (PARTITION BY step, path, substr(content, 1, 64) ORDER BY side, n, rk) AS one FROM a),
+t AS (SELECT step, row_number() OVER (PARTITION BY step ORDER BY side, n, rk) AS id, path, (length(content) + 3) // 4 AS tokens FROM u WHERE one = 1),
+r AS (SELECT step, id, path, CASE WHEN tokens <= 2000 THEN tokens ELSE 0 END AS used, tokens <= 2000 AS taken FROM t WHERE id = 1
+ UNION ALL SELECT t.step, t.id, t.path, r.used + CASE WHEN r.used + t.tokens <= 2000 THEN t.tokens ELSE 0 END, r.used + t.tokens <= 2000 FROM r JOIN t ON t.step = r.step AND t.id = r.id + 1)
+SELECT step::INT AS step, id::INT AS id, path, used::BIGINT AS used FROM r WHERE taken""").replace("\n, x(", ", x("))
+def e4(spark, d):
+    """Retrieval for three steps with a vector store and a progress callback plugged in."""
+    docs = table(spark, d, "documents")
+    steps = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "step int, intent string")
+    expected = spark.createDataFrame(_EXPECTED, "step int, fragment string, n int")
+    seen = []
+    out = retrieve(steps, expected, files(spark, d), chunks(spark, d), EveryHundredth(docs), 2000, progress=seen.append)
+    return out.select("step", "id", "path", "used")
