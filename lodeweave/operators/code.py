@@ -108,7 +108,7 @@ _DECLARATIONS = [
     ("arrow_function", re.compile(r"\b(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:\([^)]*\)|\w+)\s*(?::[^=\n]+)?=>")),
 ]
 _METHOD = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|internal|static|async|readonly|override|final|virtual|abstract|get|set)\s+)*(?:[\w<>\[\],.*&?]+\s+)?(\w+)\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?::\s*[^{;=]+)?(?:throws\s+[\w, ]+)?\{")
-_CALL = re.compile(r"(?:\bnew\s+)?([\w$]+(?:\s*\??\.\s*[\w$]+)*)\s*\(")
+_CALLEE = re.compile(r"([\w$]+)(\s*)$")
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "fn", "func", "typeof", "new", "await", "super", "else", "do", "try", "match", "sizeof", "def", "elif", "with", "lambda", "not", "and", "or", "in", "constructor"}
 
 Found = tuple[str, str, str | None, int, int]  # kind, name, parent's qualified name, start, end (bytes)
@@ -139,7 +139,7 @@ def _scan_braces(code: str, stem: str) -> tuple[list[tuple], list[Edge]]:
             found.append((kind, next(g for g in m.groups() if g), m.start(), _block_end(bare, m.end())))
     bodies = [(a, b, name) for kind, name, a, b in found if kind in ("class", "interface")]
     taken = {(name, a) for _, name, a, _ in found}
-    for m in _METHOD.finditer(bare):
+    for m in _METHOD.finditer(bare) if bodies else ():
         name, at = m.group(1), m.start(1)
         inside = [x for x in bodies if x[0] < at < x[1]]
         if name in _WORDS - {"constructor"} or not inside or any(a <= at < b and kind in ("function", "arrow_function") for kind, _, a, b in found):
@@ -164,13 +164,20 @@ def _scan_braces(code: str, stem: str) -> tuple[list[tuple], list[Edge]]:
         owner = next((q for k, n, q, _, a, b in symbols if n == m.group(1) and a <= m.start() < b), f"{stem}.{m.group(1)}")
         for word, bases in re.findall(r"\b(extends|implements)\s+([\w$.<>, ]+?)(?=\bextends\b|\bimplements\b|$)", m.group(2).strip()):
             edges += [(owner, base, word, 1.0, line(m.start())) for base in re.sub(r"<[^>]*>", "", word and bases).replace(" ", "").split(",") if base]
-    runs = [(a, b, q) for k, _, q, _, a, b in symbols if k not in ("class", "interface", "type")]
+    runs = [(a, b, q) for k, _, q, _, a, b in symbols if k not in ("class", "interface", "type")]  # by start
+    ahead, around = 0, []
     starts = {a for *_, a, _ in symbols}
-    for m in _CALL.finditer(bare):
-        callee = re.split(r"\s*\??\.\s*", m.group(1))[-1]
-        around = [r for r in runs if r[0] <= m.start() < r[1]]
-        if callee not in _WORDS and around and m.start(1) not in starts and not re.search(r"\b(?:function\*?|fn|func)\s*$", bare[: m.start()][-20:]):
-            edges.append((max(around)[2], callee.lower(), "calls", 0.8, line(m.start())))
+    for m in re.finditer(r"\(", bare) if runs else ():
+        name = _CALLEE.search(bare, max(0, m.start() - 200), m.start())
+        if not name or name.group(1) in _WORDS:
+            continue
+        while ahead < len(runs) and runs[ahead][0] <= name.start():
+            around.append(runs[ahead])
+            ahead += 1
+        while around and around[-1][1] <= name.start():
+            around.pop()
+        if around and name.start() not in starts and not re.search(r"\b(?:function\*?|fn|func)\s*$", bare[max(0, name.start() - 20) : name.start()]):
+            edges.append((around[-1][2], name.group(1).lower(), "calls", 0.8, line(m.start())))
     return symbols, edges
 
 

@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def innermost_interval(points: DataFrame, spans: DataFrame, key: str, point_id: str, at: str = "line", start: str = "start", end: str = "end", span_id: str = "id") -> DataFrame:
+def innermost_interval(points: DataFrame, spans: DataFrame, key: str, point_id: str, at: str = "line", start: str = "start", end: str = "end", span_id: str = "id", width: int = 64) -> DataFrame:
     """Each point with the id of the span of its key that holds it: the latest start wins, then the lowest id; null without one.
 
-    The key makes it an equi join; the best span is a maximum, so partial aggregation cuts the matches
-    before they are shuffled.
+    Of equal spans only the lowest id can win. Spans are cut at multiples of ``width`` (about their length), so
+    that a point meets the spans of its key and strip by an equi join; the best is a maximum, so partial
+    aggregation cuts the matches before they are shuffled.
     """
-    s = spans.select(F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(span_id).alias("__i"))
-    hit = points.join(s, (points[key] == s["__k"]) & points[at].between(s["__s"], s["__e"]))
+    s = spans.groupBy(F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e")).agg(F.min(span_id).alias("__i"))
+    strip = lambda c: F.floor(c / width)
+    s = s.where("__s <= __e").withColumn("__strip", F.explode(F.sequence(strip(F.col("__s")), strip(F.col("__e")))))
+    p = points.withColumn("__p", strip(F.col(at)))
+    hit = p.join(s, (p[key] == s["__k"]) & (p["__p"] == s["__strip"]) & p[at].between(s["__s"], s["__e"]))
     best = hit.groupBy(point_id).agg(F.max_by("__i", F.struct("__s", -F.col("__i"))).alias("span_id"))
     return points.join(best, point_id, "left")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import code as C
-from .registry import query, table
+from .registry import query, table, wide_table
 
 #: Documents read as code: lines that begin with 'The' or 'And' declare functions.
 _SQL_CODE = r"regexp_replace(text, '(?m)^(The|And) ', 'function \1 ', 'g')"
@@ -14,7 +14,7 @@ _SQL_CODE = r"regexp_replace(text, '(?m)^(The|And) ', 'function \1 ', 'g')"
 
 def as_code(spark, d):
     code = F.regexp_replace("text", r"(?m)^(The|And) ", "function $1 ")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), code.alias("code"), "lang", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("stem"))
+    return wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), code.alias("code"), "lang", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("stem"))
 
 
 @query("t1_declaration_segments", f"""WITH l AS (SELECT id, generate_subscripts(ls, 1) - 1 AS n, unnest(ls) AS line FROM (SELECT doc_id AS id, string_split({_SQL_CODE}, chr(10)) AS ls FROM documents)),
@@ -33,14 +33,14 @@ def t2(spark, d):
 @query("t3_chunk_metadata", r"SELECT doc_id AS id, 0 AS chunk, 1 AS start_line, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INT) AS end_line, lower(lang) AS language, md5(regexp_replace(text, '\s+$', '')) AS content FROM documents WHERE length(text) > 0")
 def t3(spark, d):
     """Documents as single chunks of a language without declarations: lines from 1, inclusive."""
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code"), "lang")
+    rows = wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code"), "lang")
     return C.split_code(rows, size=1 << 30).select("id", "chunk", "start_line", "end_line", "language", F.md5("content").alias("content"))
 
 
 @query("t4_symbols", r"SELECT doc_id AS id, unnest(regexp_extract_all(text, '(?m)^(The|And) (\w+)', 1)) AS name FROM documents WHERE regexp_matches(text, '(?m)^(The|And) (\w+)')")
 def t4(spark, d):
     """Functions found by the extractor; with a space after the keyword the declared name is 'The' or 'And'."""
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", r"(?m)^(The|And) (\w+)", "function $1() {}\n").alias("code"), F.lit("typescript").alias("lang"), F.lit("f").alias("stem"))
+    rows = wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", r"(?m)^(The|And) (\w+)", "function $1() {}\n").alias("code"), F.lit("typescript").alias("lang"), F.lit("f").alias("stem"))
     return C.extract_symbols(rows).where("kind = 'function'").select("id", "name")
 
 
@@ -48,7 +48,7 @@ def t4(spark, d):
 def t5(spark, d):
     """Imports and calls of a small file made from each document's columns."""
     code = F.concat(F.lit("import x from './"), "source", F.lit("';\nfunction f() { a.b.G"), (F.col("doc_id") % 3).cast("string"), F.lit("(1); }\n"))
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), code.alias("code"), F.lit("typescript").alias("lang"), F.lit("f").alias("stem"))
+    rows = wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), code.alias("code"), F.lit("typescript").alias("lang"), F.lit("f").alias("stem"))
     return C.extract_edges(rows)
 
 
@@ -86,7 +86,7 @@ d AS (SELECT hash, count(*) AS occurrences FROM h GROUP BY hash HAVING count(*)
 
 
 def as_lines(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code"))
+    return wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code"))
 
 
 @query("w4_line_windows", _W + "SELECT id, start_line, hash FROM h")

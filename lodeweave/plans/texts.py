@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import safety as Y
 from ..operators.joins import cost  # noqa: F401  (X12 is J16's arithmetic)
 from .joins import RATES_SQL, rates
-from .registry import query, table
+from .registry import query, table, wide_table
 from .relations import chunks, over, usage
 
 
@@ -17,7 +17,7 @@ def q(text: str) -> str:
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
+    return wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
 
 
 #: Commands: some destructive, some not.
@@ -79,7 +79,7 @@ for _r, _, _, _w in Y.INJECTIONS:
 @query("x6_injection_scan", f"WITH d AS (SELECT doc_id AS id, {_INJECT} || text AS t FROM documents) SELECT id, ({_COUNT})::INT AS n, md5({_CLEAN}) AS sanitized, {_COUNT} = 0 AS clean FROM d")
 def x6(spark, d):
     """Injections planted in front of documents: number, clean flag and the sanitised text."""
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.expr(_INJECT), "text").alias("t"))
+    rows = wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.expr(_INJECT), "text").alias("t"))
     found = rows.select("id", Y.injections(F.col("t")).alias("found"), F.md5(Y.sanitised(F.col("t"))).alias("sanitized"))
     return found.select("id", F.size("found").alias("n"), "sanitized", (F.size("found") == 0).alias("clean"))
 
@@ -89,7 +89,7 @@ SELECT id, 'jailbreak' AS pattern, 'medium' AS severity, CAST(id % 3 + 1 AS INT)
 UNION ALL SELECT id, 'jailbreak', 'medium', CAST(length(t) - 9 AS INT) FROM d""")
 def x6_offsets(spark, d):
     t = F.expr("concat(repeat('é', cast(doc_id % 3 AS INT)), ' jailbreak, human: é', substr(text, 1, 5), 'jailbreak')")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(Y.injections(t)).alias("m")).select("id", "m.*")
+    return wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(Y.injections(t)).alias("m")).select("id", "m.*")
 
 
 @query("x7_strip_ansi", "SELECT doc_id AS id, md5('ab' || text) AS bare, md5(chr(27) || '[2Jab' || text) AS bare_colours FROM documents")
@@ -183,7 +183,7 @@ for _p in X.SECRET_PATTERNS:
 
 @query("x19_secret_masking", f"WITH d AS (SELECT doc_id AS id, {_SECRET} || text AS t FROM documents) SELECT id, md5({_MASKED}) AS masked FROM d")
 def x19(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.expr(_SECRET), "text").alias("t"))
+    rows = wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.expr(_SECRET), "text").alias("t"))
     return rows.select("id", F.md5(X.mask_secrets(F.col("t"))).alias("masked"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import code as C
 from ..operators import vectors as V
-from .registry import query, table
+from .registry import query, table, wide_table
 from .relations import facts, turns
 
 
@@ -49,5 +49,5 @@ def e2(spark, d):
 def e3(spark, d):
     """Symbols by a table function: lines that begin with 'The' or 'And' become functions."""
     code = F.regexp_replace("text", r"(?m)^(?:The|And) (\w+)", "function $1() {}")
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), code.alias("code"), F.lit("typescript").alias("lang"), F.lit("f").alias("stem"))
+    rows = wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), code.alias("code"), F.lit("typescript").alias("lang"), F.lit("f").alias("stem"))
     return C.extract_symbols(rows, "id").where("kind = 'function'").select("id", "name")
