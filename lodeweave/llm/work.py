@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.partitions import spread
 from ..sources.worktables import shared_folder, stored
 
 __all__ = ["documents", "map_arrow", "shared_folder", "stored"]
@@ -24,4 +25,4 @@ def map_arrow(df: DataFrame, function: Callable[[Iterable[pa.RecordBatch]], Iter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
