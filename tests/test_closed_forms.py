@@ -109,6 +109,25 @@ def test_packed_lines_cover_and_overlap():
     assert [o[1] for o in out[-3:]] == [198, 199, 200]  # the tail steps back to the end
 
 
+def test_packed_lines_against_prefix_sums():
+    """The same packing from cumulative lengths."""
+    rng = random.Random(6)
+    for _ in range(300):
+        lines = ["x" * rng.choice([0, 1, 5, 20, 60]) for _ in range(rng.randint(1, 40))]
+        size, overlap = rng.randint(5, 120), rng.choice([0, 80, 160, 300])
+        total = [0]
+        for x in lines:
+            total.append(total[-1] + len(x) + 1)
+        want, at = [], 0
+        while at < len(lines):
+            end = max([at + 1, *(e for e in range(at + 1, len(lines) + 1) if total[e] - total[at] <= size)])
+            text = "\n".join(lines[at:end]).rstrip()
+            if text:
+                want.append((text, at + 1, end))
+            at = max(at + 1, end - max(1, overlap // 80))
+        assert C.packed_lines("\n".join(lines), 1, size, overlap) == want
+
+
 def test_extractor():
     ts = "import { z } from './zed';\nexport class Dog extends Animal implements Pet {\n  constructor(private n: string) { super(n); }\n  bark(): void { this.voice.play('wau'); helper(1); }\n}\ninterface Pet { n: string }\ntype Id = string;\nconst twice = (x: number) => helper(x) * 2;\nasync function helper(x) { if (x) { return x; } }\n"
     symbols, edges = C.scan_code(ts, "typescript", "dog")
