@@ -33,6 +33,11 @@ SMOOTH = 0.1
 LONG_WORD = 64
 
 
+def word_counts(text: str) -> Counter:
+    """Words of a text; those of a long one are never all in memory."""
+    return Counter(WORD.findall(text)) if len(text) < 1 << 20 else Counter(m.group() for m in WORD.finditer(text))
+
+
 class Model:
     """Log frequencies of words (n = 0) and n-grams in each language.
 
@@ -69,20 +74,20 @@ class Model:
             weight *= BACKOFF
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
-        if not self.languages or not words or not any(c.isalpha() for w in words for c in w):
+        counted = word_counts((text or "").lower())
+        if not self.languages or not any(c.isalpha() for w in counted for c in w):
             return "und", 0.0
         rows: list[int] = []
         weights: list[float] = []
         known = self.rows[0].get
-        for word, n in Counter(words).items():
+        for word, n in counted.items():
             row = known(word)
             if row is None:
                 self.back_off(word, n, rows, weights)
             else:
                 rows.append(row)
                 weights.append(n)
-        logs = np.array(weights) @ self.logs[np.array(rows, np.int64)] / math.sqrt(len(words))  # words depend on one another
+        logs = np.array(weights) @ self.logs[np.array(rows, np.int64)] / math.sqrt(sum(counted.values()))  # words depend on one another
         best = int(logs.argmax())
         return self.languages[best], float(1 / np.exp(np.minimum(logs - logs[best], 0)).sum())
 
@@ -112,7 +117,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.update((lang, w) for w in WORD.findall(text.lower()) if len(w) <= LONG_WORD)
+                for w, n in word_counts(text.lower()).items():
+                    if len(w) <= LONG_WORD:
+                        held[lang, w] += n
             if len(held) > 50_000:
                 yield out()
                 held.clear()

@@ -19,6 +19,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,9 @@ PATH_BLOCK, BLOCK_NODES, BLOCK_SHINGLES = 8192, 2048, 2_000_000
 #: Candidate keys up to this many rows are broadcast to the scan of the texts.
 BROADCAST_ROWS = 200_000
 
+#: Bytes of a text hashed at a time, and of a shingle that is hashed by itself.
+SEGMENT, LONG_SHINGLE = 1 << 20, 1 << 16
+
 _U = np.uint64
 _BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
@@ -66,14 +70,26 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     if not data:
         return np.zeros(0, _U)
     raw = np.frombuffer(data, np.uint8)
-    power, inverse = _power_tables(len(raw))
-    prefix = np.zeros(len(raw) + 1, _U)
-    np.cumsum((raw.astype(_U) + _U(1)) * power, out=prefix[1:])
     gaps = np.flatnonzero(raw == 32)
     starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
     n = max(1, len(starts) - words + 1)
     starts, ends = starts[:n], ends[-n:]
-    return np.unique(mixed((prefix[ends] - prefix[starts]) * inverse[starts]))
+    out, long = np.zeros(n, _U), np.flatnonzero(ends - starts > LONG_SHINGLE)
+    at = 0
+    while at < n:  # a hash depends on its bytes only, so a long text is done in segments
+        first = int(starts[at])
+        stop = int(np.searchsorted(ends, first + SEGMENT, "right"))
+        if stop > at:
+            part = raw[first : int(ends[stop - 1])]
+            power, inverse = _power_tables(len(part))
+            prefix = np.zeros(len(part) + 1, _U)
+            np.cumsum((part.astype(_U) + _U(1)) * power, out=prefix[1:])
+            a = starts[at:stop] - first
+            out[at:stop] = (prefix[ends[at:stop] - first] - prefix[a]) * inverse[a]
+        at = max(stop, at + 1)
+    for i in long:
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return np.unique(mixed(out))
 
 
 _rng = np.random.default_rng(20_240_601)
@@ -298,8 +314,6 @@ def near_duplicates(
     t = Fraction(threshold)
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             sets = [shingles(x, words) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -385,6 +385,20 @@ def check_join(df, rows):
     assert sum(r.kept for r in got) == n
 
 
+def test_shingles_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    text = " ".join("w" * int(rng.integers(1, 30)) + str(rng.integers(0, 50)) for _ in range(3000))
+    whole = ngram_join.shingles(text)
+    words = text.split()
+    assert len(whole) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    monkeypatch.setattr(ngram_join, "SEGMENT", 700)
+    assert (ngram_join.shingles(text) == whole).all()
+    monkeypatch.setattr(ngram_join, "SEGMENT", 50)  # every shingle is longer than that or nearly
+    monkeypatch.setattr(ngram_join, "LONG_SHINGLE", 50)
+    assert len(ngram_join.shingles(text)) == len(whole)
+    assert len(ngram_join.shingles("x" * 3_000_000 + " b c")) == 1 and len(ngram_join.shingles("")) == 0
+
+
 def near_rows(spark):
     rng = np.random.default_rng(7)
     rows, n = [], 0
