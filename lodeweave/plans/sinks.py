@@ -34,9 +34,9 @@ def s1(spark, d):
     return _scan(spark, d).select("name", "lang").distinct()
 
 
-@query("s2_project_profile", "SELECT 'table' AS lang, false AS has_tests")
+@query("s2_project_profile", "SELECT 'table' AS lang, 14::BIGINT AS n, 14::BIGINT AS file_count, false AS has_tests")
 def s2(spark, d):
-    return S.profile(_scan(spark, d)).select("lang", "has_tests")
+    return S.profile(S.scan(spark, d, PARQUET, content=False, mapped=False))
 
 
 @query("s3_quality_walk", f"SELECT name FROM {_NAMES} WHERE name NOT LIKE 'l%'")

@@ -10,14 +10,15 @@ from ..operators.predicates import ignored
 
 #: Extension to language (fixed values).
 LANGUAGES = {
-    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "py": "python", "java": "java", "go": "go", "rs": "rust", "cpp": "cpp", "cc": "cpp", "h": "cpp", "hpp": "cpp", "cs": "csharp",
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java",
+    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c": "cpp", "h": "cpp", "hpp": "cpp",
 }
-#: Folders that a walk never enters (fixed values).
-SKIPPED = ["node_modules", "dist", "build", "out", "coverage", "target"]
+#: Folders that a walk never enters, besides those with a dot (fixed values).
+SKIPPED = ["node_modules", "dist", "build"]
 
 
-def scan(spark: SparkSession, folder: str, languages: dict[str, str] = LANGUAGES, skipped: list[str] = SKIPPED, content: bool = True) -> DataFrame:
-    """Files below ``folder`` with a mapped extension: ``path`` (relative), ``lang``, ``mtime`` (ms), ``size`` and, if asked for, ``content``.
+def scan(spark: SparkSession, folder: str, languages: dict[str, str] = LANGUAGES, skipped: list[str] = SKIPPED, content: bool = True, mapped: bool = True) -> DataFrame:
+    """Files below ``folder``, only those with a mapped extension if ``mapped``: ``path`` (relative), ``lang``, ``mtime`` (ms), ``size`` and, if asked for, ``content``.
 
     Names that begin with a dot and skipped folders are left out. Without ``content`` no file is opened.
     """
@@ -30,14 +31,16 @@ def scan(spark: SparkSession, folder: str, languages: dict[str, str] = LANGUAGES
     table = F.create_map(*(F.lit(x) for pair in languages.items() for x in pair))
     lang = table[F.lower(F.substring_index("rel", ".", -1))]
     columns = [F.col("rel").alias("path"), lang.alias("lang"), F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size")]
-    return raw.where(kept).select(*columns, *(["content"] if content else [])).where("lang IS NOT NULL")
+    files = raw.where(kept).select(*columns, *(["content"] if content else []))
+    return files.where("lang IS NOT NULL") if mapped else files
 
 
 def profile(files: DataFrame, depth: int = 5) -> DataFrame:
-    """Files of each language down to a depth, most first, and whether any name speaks of tests."""
+    """Languages down to a depth, most files first: ``lang``, ``n``, and of all files ``file_count`` and whether a name speaks of tests (``has_tests``)."""
     near = files.where(F.size(F.split("path", "/")) <= depth + 1)
-    test = F.col("path").ilike("%test%") | F.col("path").ilike("%spec%")
-    return near.groupBy("lang").agg(F.count("*").alias("n"), F.bool_or(test).alias("has_tests")).orderBy(F.desc("n"), "lang")
+    name = F.lower(F.substring_index("path", "/", -1))
+    whole = near.agg(F.count("*").alias("file_count"), F.coalesce(F.bool_or(name.contains("test") | name.contains("spec")), F.lit(False)).alias("has_tests"))
+    return near.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).join(F.broadcast(whole)).orderBy(F.desc("n"), "lang")
 
 
 def hashes(spark: SparkSession, folder: str, patterns: list[str] = [], languages: dict[str, str] = LANGUAGES) -> DataFrame:  # noqa: B006

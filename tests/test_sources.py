@@ -25,7 +25,7 @@ def tree(tmp_path):
 def test_scan_and_profile(spark, tree):
     files = S.scan(spark, tree)
     assert {(r.path, r.lang, bytes(r.content)) for r in files.collect()} == {("a.ts", "typescript", b"x"), ("src/b.py", "python", b"y"), ("src/test/c.test.ts", "typescript", b"z"), ("src/F.JAVA", "java", b"f")}
-    assert [tuple(r) for r in S.profile(S.scan(spark, tree, content=False)).collect()] == [("typescript", 2, True), ("java", 1, False), ("python", 1, False)]
+    assert [tuple(r) for r in S.profile(S.scan(spark, tree, content=False, mapped=False)).collect()] == [("typescript", 2, 5, True), ("java", 1, 5, True), ("python", 1, 5, True)]
     assert {r.path for r in S.hashes(spark, tree, ["*.py", "test/"]).collect()} == {"a.ts", "src/F.JAVA"}
 
 
