@@ -114,7 +114,7 @@ INTENTS = [
 ]
 
 
-def dispatch(intent: Column, choices: dict[str, str], default: str = "auto", first: str = "claude") -> Column:
+def dispatch(intent: Column, choices: dict[str, str], default: str = "auto", first: str = "first") -> Column:
     """The agent for an intent; ``auto`` falls back to ``default``, and that to ``first``."""
     resolve = lambda choice, other: (other if other != "auto" else first) if choice == "auto" else choice
     out = F.lit(resolve(default, first))

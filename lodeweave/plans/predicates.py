@@ -138,7 +138,7 @@ def p17(spark, d):
     "p18_dispatch",
     """SELECT item_id AS id, CASE WHEN regexp_matches(lower(text), 'implement|write|create|add|generate|code') THEN 'coder'
        WHEN regexp_matches(lower(text), 'find|search|locate|scan|grep|list') THEN 'finder'
-       WHEN regexp_matches(lower(text), 'rename|refactor|move|extract|reorganize|restructure') THEN 'claude' ELSE 'claude' END AS agent FROM benchmark""",
+       WHEN regexp_matches(lower(text), 'rename|refactor|move|extract|reorganize|restructure') THEN 'first' ELSE 'first' END AS agent FROM benchmark""",
 )
 def p18(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), P.dispatch(F.col("text"), {"code_gen": "coder", "search": "finder"}).alias("agent"))

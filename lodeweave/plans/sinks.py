@@ -110,12 +110,12 @@ def s10(spark, d):
     return change_diff(S.load_snapshot(spark, path, f.where("false")), f.where("id % 5 > 0"))
 
 
-@query("s11_config", "SELECT 'claude' AS default_agent, 7 AS retries, false AS absent_is_error")
+@query("s11_config", "SELECT 'auto' AS default_agent, 7 AS retries, false AS absent_is_error")
 def s11(spark, d):
     """A configuration over defaults; an absent file gives the defaults."""
     path = new_path(spark, "config")
     spark.createDataFrame([("retries: 7",)], "value string").coalesce(1).write.text(path)
-    defaults = {"default_agent": "claude", "retries": 3}
+    defaults = {"default_agent": "auto", "retries": 3}
     found, none = R.read_config(spark, path, defaults), R.read_config(spark, path + "-absent", defaults)
     return spark.createDataFrame([(found["default_agent"], found["retries"], none != defaults)], "default_agent string, retries int, absent_is_error boolean")
 
