@@ -100,16 +100,26 @@ def x7(spark, d):
     return docs(spark, d).select("id", F.md5(X.strip_ansi(t, "A-Za-z")).alias("bare"), F.md5(X.strip_ansi(u)).alias("bare_colours"))
 
 
-@query("x9_times_and_frames", """SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS at, CASE WHEN user_id % 2 = 1 THEN event_type END AS fn, CASE user_id % 3 WHEN 2 THEN NULL ELSE '/srv/a b.js' END AS file,
-CASE user_id % 3 WHEN 2 THEN NULL ELSE event_id END::INT AS line FROM events WHERE NOT (user_id % 2 = 1 AND user_id % 3 = 2)""")
-def x9(spark, d):
-    e = table(spark, d, "events").where("NOT (user_id % 2 = 1 AND user_id % 3 = 2)")
+def _times_and_frames(e):
     head = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("x "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z y"))).otherwise(F.lit("none"))
     place = F.concat(F.lit("/srv/a b.js:"), F.col("event_id").cast("string"), F.lit(":7"))
     frame = F.when(F.col("user_id") % 3 == 2, F.lit("  at nowhere")).when(F.col("user_id") % 2 == 1, F.concat(F.lit("  at "), "event_type", F.lit(" ("), place, F.lit(")"))).otherwise(F.concat(F.lit("at "), place))
     return e.select(F.col("event_id").alias("id"), X.iso_time(head).alias("at"), X.stack_frame(frame).alias("f")).select("id", "at", "f.fn", "f.file", "f.line")
 
 
+@query("x9_times_and_frames", """SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS at, CASE WHEN user_id % 2 = 1 THEN event_type END AS fn, CASE user_id % 3 WHEN 2 THEN NULL ELSE '/srv/a b.js' END AS file,
+CASE user_id % 3 WHEN 2 THEN NULL ELSE event_id END::INT AS line FROM events WHERE NOT (user_id % 2 = 1 AND user_id % 3 = 2)""")
+def x9(spark, d):
+    return _times_and_frames(table(spark, d, "events").where("NOT (user_id % 2 = 1 AND user_id % 3 = 2)"))
+
+
+@query("x9_times_and_frames_all", """SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS at, CASE WHEN user_id % 2 = 1 AND user_id % 3 <> 2 THEN event_type END AS fn, CASE user_id % 3 WHEN 2 THEN NULL ELSE '/srv/a b.js' END AS file,
+CASE user_id % 3 WHEN 2 THEN NULL ELSE event_id END::INT AS line FROM events""")
+def x9_all(spark, d):
+    """The same over all events, those with neither a time nor a frame too."""
+    return _times_and_frames(table(spark, d, "events"))
+
+
 @query("x10_encrypted_facts", "SELECT doc_id AS id, sha256(text) AS sha256, 3 AS parts, 16::BIGINT AS iv_length, true AS wrong_key_is_null FROM documents")
 def x10(spark, d):
     """Texts sealed and opened again; another key opens nothing."""
