@@ -150,6 +150,15 @@ def s14(spark, d):
     return back.select(F.size("results").cast("long").alias("n"), F.round("success_rate", 6).alias("success_rate"), F.round("mean_ms", 4).alias("mean_ms"))
 
 
+@query("s14_report_all", "SELECT count(*) AS n, round(avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS success_rate, round(avg(value), 4) AS mean_ms FROM events")
+def s14_all(spark, d):
+    """The report over all events: result rows written as JSON lines and read back, totals from what was read."""
+    path = new_path(spark, "report")
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("name"), F.col("value").alias("ms"), (F.col("event_type") != "error").alias("ok"))
+    R.write_results(rows, path)
+    return R.report_totals(R.read_results(spark, path)).select("n", F.round("success_rate", 6).alias("success_rate"), F.round("mean_ms", 4).alias("mean_ms"))
+
+
 class EveryHundredth:
     """A stand-in for a vector store: each step gets the documents whose id ends in its number."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.logs import parse_texts
 
+RESULT = "name string, ms double, ok boolean"
 ACTION = "ts bigint, taskId string, kind string, payload map<string,string>"
 
 
@@ -62,3 +63,17 @@ def write_report(results: DataFrame, path: str) -> None:
     """Benchmark results (name, ms, ok) with their totals as one JSON file."""
     each = F.array_sort(F.collect_list(F.struct("name", "ms", "ok")))
     results.agg(each.alias("results"), F.avg(F.col("ok").cast("double")).alias("success_rate"), F.avg("ms").alias("mean_ms")).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Benchmark results (name, ms, ok) of any number as JSON lines, a file a task."""
+    results.select("name", "ms", "ok").write.mode("overwrite").json(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RESULT).option("mode", "FAILFAST").json(path)
+
+
+def report_totals(results: DataFrame) -> DataFrame:
+    """Number, success rate and mean time of benchmark results in one row."""
+    return results.agg(F.count("*").alias("n"), F.avg(F.col("ok").cast("double")).alias("success_rate"), F.avg("ms").alias("mean_ms"))

@@ -3,6 +3,7 @@
 import collections
 
 from lodeweave import plans
+from lodeweave.sources import records
 
 
 def test_complement_is_over_all_events(spark, small):
@@ -22,3 +23,15 @@ def test_no_event_or_symbol_is_left_out(spark, small):
     names = {f"{r.p_brand}.{r.p_name}" for r in spark.read.parquet(f"{small}/part.parquet").collect()}
     by_name = [r for r in plans.QUERIES["j11_resolution_cascade_all"](spark, small).collect() if r.id % 5 == 0]
     assert by_name and all(r.target in names and r.resolved and r.strategy == "exact" for r in by_name)
+
+
+def test_report_is_over_all_events(spark, small, tmp_path):
+    events = spark.read.parquet(f"{small}/events.parquet").select("event_type", "value").collect()
+    (got,) = plans.QUERIES["s14_report_all"](spark, small).collect()
+    assert got.n == len(events) > 50
+    assert abs(got.success_rate - sum(e.event_type != "error" for e in events) / len(events)) < 1e-6
+    assert abs(got.mean_ms - sum(e.value for e in events) / len(events)) < 1e-4
+    results = spark.range(1000).repartition(4).selectExpr("cast(id AS string) AS name", "cast(id AS double) AS ms", "id % 2 = 0 AS ok")
+    records.write_results(results, str(tmp_path / "r"))
+    assert len(list((tmp_path / "r").glob("part-*"))) == 4
+    assert tuple(records.report_totals(records.read_results(spark, str(tmp_path / "r"))).first()) == (1000, 0.5, 499.5)
