@@ -92,6 +92,18 @@ def x6_offsets(spark, d):
     return wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(Y.injections(t)).alias("m")).select("id", "m.*")
 
 
+def planted_offsets(documents):
+    """Injections planted before and after the whole text of each document, with their offsets and those of the text's own."""
+    t = F.expr("concat(repeat('é', cast(doc_id % 3 AS INT)), ' jailbreak, human: é', text, 'jailbreak')")
+    return documents.select(F.col("doc_id").alias("id"), F.explode(Y.injections(t)).alias("m")).select("id", "m.*")
+
+
+@query("x6_injection_offsets_all")
+def x6_offsets_all(spark, d):
+    """The offsets in whole texts. DuckDB gives no offsets of matches, so a scan in plain Python is the measure (tests/test_whole.py)."""
+    return planted_offsets(wide_table(spark, d, "documents"))
+
+
 @query("x7_strip_ansi", "SELECT doc_id AS id, md5('ab' || text) AS bare, md5(chr(27) || '[2Jab' || text) AS bare_colours FROM documents")
 def x7(spark, d):
     """All escapes, and only those for colour and cursor."""
