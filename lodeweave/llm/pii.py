@@ -93,20 +93,50 @@ def _iban(m: re.Match, key: bytes) -> str | None:
     return put_digits(text, f"{98 - check(body, flat[:2]):02d}" + "".join(c for c in body if c.isdigit()))
 
 
-def _date(m: re.Match, key: bytes) -> str | None:
-    """A real day of 1900 to 2099; pseudonyms are days of those years."""
-    g = m.groupdict()
-    y, mo, d = (g["y"], g["m"], g["d"]) if g["y"] else (g["y2"], g["m2"], g["d2"])
-    sep = g["s"] or g["s2"]
+FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+
+
+def _day(y: str, mo: str, d: str) -> int | None:
     try:
         day = datetime.date(int(y), int(mo), int(d)).toordinal()
     except ValueError:
         return None
-    first, last = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-    if not first <= day <= last:
+    return day - FIRST_DAY if FIRST_DAY <= day <= LAST_DAY else None
+
+
+def _date(m: re.Match, key: bytes) -> str | None:
+    """A real day of 1900 to 2099; pseudonyms are days of those years in the same layout.
+
+    With the year last, day and month are taken before month and day. Layouts share no text, so that different dates
+    never collide: month and day is left with the days above 12, and the widths and leading zeros of the parts stay.
+    """
+    g, size = m.groupdict(), LAST_DAY - FIRST_DAY + 1
+    if g["y"]:
+        if (day := _day(g["y"], g["m"], g["d"])) is None:
+            return None
+        new = datetime.date.fromordinal(FIRST_DAY + permute(day, size, key, "date"))
+        return f"{new.year:04d}{g['s']}{new.month:02d}{g['s']}{new.day:02d}"
+    a, b, sep = g["d2"], g["m2"], g["s2"]
+    day, month_first = _day(g["y2"], b, a), False
+    if day is None:
+        day, month_first = _day(g["y2"], a, b), True
+    if day is None:
         return None
-    new = datetime.date.fromordinal(first + permute(day - first, last - first + 1, key, "date"))
-    return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}" if g["y"] else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
+    padded = len(a) == len(b) == 2
+    layout = "" if padded else "".join("1" if len(x) == 1 else "0" if x[0] == "0" else "2" for x in (a, b))
+    fits = lambda new, old: padded or (new < 10 and len(old) == 1) or (len(old) == 2 and (new < 10) == (old[0] == "0"))
+
+    def parts(n: int) -> tuple[int, int, int]:
+        x = datetime.date.fromordinal(FIRST_DAY + n)
+        return (x.month, x.day, x.year) if month_first else (x.day, x.month, x.year)
+
+    def valid(n: int) -> bool:
+        one, two, _ = parts(n)
+        return fits(one, a) and fits(two, b) and (not month_first or two > 12)
+
+    tweak = "date" + ":mdy" * month_first + f":{layout}" * bool(layout)
+    one, two, year = parts(permute(day, size, key, tweak, valid if month_first or layout else lambda _: True))
+    return f"{one:0{len(a)}d}{sep}{two:0{len(b)}d}{sep}{year:04d}"
 
 
 def _ssn(m: re.Match, key: bytes) -> str | None:
@@ -143,7 +173,7 @@ KINDS: list[tuple[str, str, Callable[[re.Match, bytes], str | None]]] = [
     ("email", r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]*)(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
-    ("date", r"(?<![0-9./-])(?:(?P<y>[0-9]{4})(?P<s>[-/.])(?P<m>[0-9]{2})(?P=s)(?P<d>[0-9]{2})|(?P<d2>[0-9]{2})(?P<s2>[-/.])(?P<m2>[0-9]{2})(?P=s2)(?P<y2>[0-9]{4}))(?![0-9]|[./-][0-9])", _date),
+    ("date", r"(?<![0-9./-])(?:(?P<y>[0-9]{4})(?P<s>[-/.])(?P<m>[0-9]{2})(?P=s)(?P<d>[0-9]{2})|(?P<d2>[0-9]{2}|(?<!\+)[0-9])(?P<s2>[-/.])(?P<m2>[0-9]{1,2})(?P=s2)(?P<y2>[0-9]{4}))(?![0-9]|[./-][0-9])", _date),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
     ("card", r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?)(?![0-9A-Za-z])", _card),
     ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])", _phone),

@@ -1,0 +1,32 @@
+"""Operators on the forms that the generated tables do not hold."""
+
+import datetime
+import re
+
+from lodeweave.llm import pii
+
+
+def test_dates_of_all_layouts():
+    p = pii.Pseudonymiser(b"key")
+    text = "12/31/1999, 1/5/1999, 5/31/1999, 31.1.1999, 1-12-1999, 01/5/1999, 1.05.1999 and 1999-01-05; not 13/32/1999, 0/5/1999, 1/5/1899 or 1.5.1999.2"
+    new, spans = p.apply(text)
+    found = [text[a:b] for a, kind, b in spans if kind == "date"]
+    assert found == ["12/31/1999", "1/5/1999", "5/31/1999", "31.1.1999", "1-12-1999", "01/5/1999", "1.05.1999", "1999-01-05"] and len(spans) == 8
+    shape = lambda t: re.sub("[0-9]", "9", t)
+    for old in found:
+        got = p.apply(old)[0]
+        assert got != old and got in new and shape(got) == shape(old)
+    month, day, year = map(int, p.apply("12/31/1999")[0].split("/"))
+    assert day > 12 and datetime.date(year, month, day)
+    assert p.apply("05.01.1999")[0].split(".") == p.apply("1999-01-05")[0].split("-")[::-1]
+
+
+def test_dates_do_not_collide():
+    p, day = pii.Pseudonymiser(b"key"), datetime.date(2000, 1, 1)
+    texts = set()
+    for i in range(366):
+        x = day + datetime.timedelta(i)
+        for d, m in ((f"{x.day}", f"{x.month}"), (f"{x.day:02d}", f"{x.month:02d}"), (f"{x.day:02d}", f"{x.month}")):
+            texts |= {f"{d}/{m}/2000", f"{m}/{d}/2000"}
+    news = {p.apply(t)[0] for t in texts}
+    assert len(news) == len(texts) and all(len(p.apply(t)[1]) == 1 for t in news)
