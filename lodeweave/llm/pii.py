@@ -80,9 +80,33 @@ def _ip(m: re.Match, key: bytes) -> str | None:
     return ".".join(map(str, n.to_bytes(4, "big")))
 
 
-def _iban(m: re.Match, key: bytes) -> str | None:
+#: Length of the IBANs of each country.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
+
+def _ibans(m: re.Match, key: bytes) -> Iterator[tuple[int, int, str]]:
+    """What has the country's length, then all that the pattern took. No cut goes between two digits or two letters."""
+    text, a = m.group(), m.start()
+    at = [i for i, c in enumerate(text) if c != " "]
+    n = IBAN_LENGTHS.get(text[:2], len(at))
+    if n < len(at):
+        end = at[n - 1] + 1
+        if (text[end] == " " or text[end].isdigit() != text[end - 1].isdigit()) and (new := _iban(text[:end], key)) is not None:
+            yield a, a + end, new
+    if (new := _iban(text, key)) is not None:
+        yield a, m.end(), new
+
+
+def _iban(text: str, key: bytes) -> str | None:
     """Digits of the account part, check digits made anew; country, letters and spacing stay."""
-    text = m.group()
     flat = text.replace(" ", "")
     check = lambda body, cc: int("".join(str(int(c, 36)) for c in body + cc + "00")) % 97
     if not 15 <= len(flat) <= 34 or 98 - check(flat[4:], flat[:2]) != int(flat[2:4]):
@@ -145,15 +169,34 @@ def _ssn(m: re.Match, key: bytes) -> str | None:
     return put_digits(m.group(), f"{permute(n, 10**9, key, 'ssn', ok):09d}") if ok(n) else None
 
 
-def _card(m: re.Match, key: bytes) -> str | None:
+def _cards(m: re.Match, key: bytes) -> Iterator[tuple[int, int, str]]:
+    """Four groups of four before what the pattern took, and where neither check digit is right, four later groups.
+
+    Numbers with a wrong check digit come last, in the same order.
+    """
+    text, a = m.group(), m.start()
+    spans = [(0, len(text))]
+    if [len(g) for g in re.split("[ -]", text)][:4] == [4] * 4:
+        spans = [(0, 19), *spans] if len(text) > 19 else spans
+        later = [(5, 24)] if len(text) == 24 else []
+    else:
+        later = []
+    right = lambda i, j: luhn("".join(c for c in text[i:j] if c.isdigit()))
+    wrong = [] if later else spans  # 20 digits are no card
+    for i, j in [*((i, j) for i, j in [*spans, *later] if right(i, j)), *((i, j) for i, j in wrong if not right(i, j))]:
+        if (new := _card(text[i:j], key)) is not None:
+            yield a + i, a + j, new
+
+
+def _card(text: str, key: bytes) -> str | None:
     """13 to 19 digits: the first stays; where the check digit is right, the pseudonym's is, else it is not."""
-    digits = "".join(c for c in m.group() if c.isdigit())
+    digits = "".join(c for c in text if c.isdigit())
     if not 13 <= len(digits) <= 19:
         return None
     first, rest, right = digits[0], digits[1:], luhn(digits)
     width = len(rest)
     n = permute(int(rest), 10**width, key, f"card:{first}:{right}", lambda x: luhn(f"{first}{x:0{width}d}") == right)
-    return put_digits(m.group(), f"{first}{n:0{width}d}")
+    return put_digits(text, f"{first}{n:0{width}d}")
 
 
 def _phone(m: re.Match, key: bytes) -> str | None:
@@ -168,15 +211,23 @@ def _phone(m: re.Match, key: bytes) -> str | None:
     return (head.group() if head else "") + put_digits(tail, f"{n:0{len(digits)}d}")
 
 
-#: In order of precedence: kind, pattern, pseudonym of a match (None: not valid).
-KINDS: list[tuple[str, str, Callable[[re.Match, bytes], str | None]]] = [
-    ("email", r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]*)(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", _email),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
-    ("date", r"(?<![0-9./-])(?:(?P<y>[0-9]{4})(?P<s>[-/.])(?P<m>[0-9]{2})(?P=s)(?P<d>[0-9]{2})|(?P<d2>[0-9]{2}|(?<!\+)[0-9])(?P<s2>[-/.])(?P<m2>[0-9]{1,2})(?P=s2)(?P<y2>[0-9]{4}))(?![0-9]|[./-][0-9])", _date),
-    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
-    ("card", r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?)(?![0-9A-Za-z])", _card),
-    ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])", _phone),
+Spans = Iterator[tuple[int, int, str]]
+
+
+def whole(make: Callable[[re.Match, bytes], str | None]) -> Callable[[re.Match, bytes], Spans]:
+    """All that the pattern took, or nothing."""
+    return lambda m, key: ((m.start(), m.end(), new) for new in (make(m, key),) if new is not None)
+
+
+#: In order of precedence: kind, pattern, and for a match the valid spans (start, end, pseudonym), the best first.
+KINDS: list[tuple[str, str, Callable[[re.Match, bytes], Spans]]] = [
+    ("email", r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]*)(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", whole(_email)),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _ibans),
+    ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", whole(_ip)),
+    ("date", r"(?<![0-9./-])(?:(?P<y>[0-9]{4})(?P<s>[-/.])(?P<m>[0-9]{2})(?P=s)(?P<d>[0-9]{2})|(?P<d2>[0-9]{2}|(?<!\+)[0-9])(?P<s2>[-/.])(?P<m2>[0-9]{1,2})(?P=s2)(?P<y2>[0-9]{4}))(?![0-9]|[./-][0-9])", whole(_date)),
+    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", whole(_ssn)),
+    ("card", r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?)(?![0-9A-Za-z])", _cards),
+    ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])", whole(_phone)),
 ]
 DIGIT_RUN = re.compile(r"[0-9][0-9 .()/-]{4,}[0-9]|[A-Z]{2}[0-9]{2}")
 
@@ -193,11 +244,15 @@ class Pseudonymiser:
         for kind, pattern, make in self.kinds:
             if not (with_at if kind == "email" else with_digits):
                 continue
-            for m in pattern.finditer(text):
-                at = bisect(taken, (m.start(), "~"))
-                free = (not at or taken[at - 1][2] <= m.start()) and (at == len(taken) or m.end() <= taken[at][0])
-                if free and (new := make(m, self.key)) is not None:
-                    taken.insert(at, (m.start(), kind, m.end(), new))
+            pos = 0
+            while m := pattern.search(text, pos):
+                pos = m.start() + 1 if kind == "iban" else m.end()  # a wrong IBAN may have swallowed a right one
+                for a, b, new in make(m, self.key):
+                    at = bisect(taken, (a, "~"))
+                    if (not at or taken[at - 1][2] <= a) and (at == len(taken) or b <= taken[at][0]):
+                        taken.insert(at, (a, kind, b, new))
+                        pos = b
+                        break
         out, at = [], 0
         for a, _, b, new in taken:
             out += [text[at:a], new]

@@ -30,3 +30,33 @@ def test_dates_do_not_collide():
             texts |= {f"{d}/{m}/2000", f"{m}/{d}/2000"}
     news = {p.apply(t)[0] for t in texts}
     assert len(news) == len(texts) and all(len(p.apply(t)[1]) == 1 for t in news)
+
+
+def pieces(text):
+    p = pii.Pseudonymiser(b"key")
+    new, spans = p.apply(text)
+    assert all(p.apply(text[a:b])[0] in new for a, _, b in spans)  # the same pseudonym as alone
+    return [(kind, text[a:b]) for a, kind, b in spans]
+
+
+def test_ibans_before_other_tokens():
+    for iban in ("BE68 5390 0754 7034", "BE68539007547034", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00", "ES91 2100 0418 4502 0005 1332"):
+        for tail in ("", " EUR", " BIC", " A", " 12", " 2024", " EUR 12", " 2024 INVOICE", ", EUR", " x"):
+            assert pieces(iban + tail) == [("iban", iban)], iban + tail
+    assert pieces("BE68539007547034EUR") == [("iban", "BE68539007547034")]
+    assert pieces("REF AB12 3456 7890 BE68 5390 0754 7034 EUR") == [("iban", "BE68 5390 0754 7034")]
+    assert pieces("BE68 5390 0754 7034 EUR@x.org") == [("iban", "BE68 5390 0754 7034"), ("email", "EUR@x.org")]
+    assert pieces("BE68 5390 0754 7035 EUR") == []
+
+
+def test_cards_before_other_numbers():
+    for card in ("4111 1111 1111 1111", "4111-1111-1111-1111"):
+        for tail in ("", " 123", " 12/25", " 1", " 2024", " 4", "-99"):
+            assert pieces(card + tail) == [("card", card)], card + tail
+    assert pieces("2024 4111 1111 1111 1111") == [("card", "4111 1111 1111 1111")]
+    assert pieces("3782 822463 10005, 3782-822463-10005 and 3056 930902 5904 123") == [("card", "3782 822463 10005"), ("card", "3782-822463-10005"), ("card", "3056 930902 5904")]
+    assert pieces("4111 1111 1111 1111 110") == [("card", "4111 1111 1111 1111")]
+    assert pieces("1234 5678 9012 3456 7890") == [] and pieces("1234 5678 9012 3456 123") == [("card", "1234 5678 9012 3456")]
+    assert pieces("4000 0000 0000 0000 006") == [("card", "4000 0000 0000 0000 006")]  # 19 digits with a right check digit
+    p = pii.Pseudonymiser(b"key")
+    assert p.apply("3782 822463 10005")[0].replace(" ", "") == p.apply("378282246310005")[0]
