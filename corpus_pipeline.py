@@ -15,8 +15,8 @@ from lodeweave.llm.ngram_join import near_duplicates
 from lodeweave.llm.packing import pack, word_count
 from lodeweave.llm.work import documents, stored
 
-#: A document goes when no language reaches this posterior; a short text of real words does.
-LEAST_SCORE = 0.3
+#: A document goes when no language reaches this multiple of the posterior of knowing nothing, 1/k for k languages.
+LEAST_OVER_UNINFORMED = 1.2
 
 
 def whole() -> Column:
@@ -24,9 +24,17 @@ def whole() -> Column:
     return F.struct("*").alias("__row")
 
 
+def least_score(languages: int) -> float:
+    """The limit of the posterior: 0.3 for four languages. One language has posterior 1 for every text, so nothing can be told from it."""
+    return LEAST_OVER_UNINFORMED / languages if languages > 1 else 0.0
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognisable language (no letters, or no language above LEAST_SCORE)."""
-    return identify(docs, train(docs), least=LEAST_SCORE, names=("__lang", "__score")).select(*docs.columns)
+    """Drop documents without a recognisable language: no letters, or no language above the limit. Where nothing was learned, only those without letters."""
+    model = train(docs)
+    if not any(model.rows):
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return identify(docs, model, least=least_score(len(model.languages)), names=("__lang", "__score")).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

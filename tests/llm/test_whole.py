@@ -3,7 +3,8 @@
 import datetime
 import re
 
-from lodeweave.llm import pii
+import corpus_pipeline as C
+from lodeweave.llm import langid, pii
 
 
 def test_dates_of_all_layouts():
@@ -60,3 +61,31 @@ def test_cards_before_other_numbers():
     assert pieces("4000 0000 0000 0000 006") == [("card", "4000 0000 0000 0000 006")]  # 19 digits with a right check digit
     p = pii.Pseudonymiser(b"key")
     assert p.apply("3782 822463 10005")[0].replace(" ", "") == p.apply("378282246310005")[0]
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame([(i, text, lang, "a", None) for i, (text, lang) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    return {r.text for r in C.language(spark, docs, "").collect()}
+
+
+def test_language_stage_without_labels(spark):
+    texts = ["a clean text", "日本語", "é", "123 !!", "²", "", None]
+    letters = {"a clean text", "日本語", "é"}
+    assert kept(spark, [(t, None) for t in texts]) == letters
+    assert kept(spark, [(t, None) for t in texts] + [(None, "en"), (None, "de")]) == letters
+    assert kept(spark, [(t, None) for t in texts] + [("42", "en"), ("4711", "de")]) == letters
+
+
+def test_language_limit_follows_the_number_of_languages(spark):
+    assert C.least_score(4) == 0.3
+    assert all(1 / k < C.least_score(k) < 1 for k in range(2, 300)) and C.least_score(1) <= 1
+    own = ["abab", "cdcd", "efef", "ghgh", "ijij", "klkl", "mnmn", "opop"]
+    far = "ЖЖЖ"  # of a script that no language has
+    for k in (1, 2, 3, 4, 8):
+        rows = [(f"{w} {w} {w}", f"l{i}") for i, w in enumerate(own[:k])]
+        got = kept(spark, [*rows, (far, None)])
+        assert {t for t, _ in rows} <= got and (far in got) == (k == 1)
+    related = [(f"{w} {w} {'yzyz yzyz' if i < 4 else w}", f"l{i}") for i, w in enumerate(own)]  # four of eight share a word
+    docs = spark.createDataFrame(related, "text string, lang string")
+    assert langid.train(docs).predict("yzyz")[1] < 0.3
+    assert "yzyz" in kept(spark, [*related, ("yzyz", None)])
