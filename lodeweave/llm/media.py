@@ -73,8 +73,21 @@ def feature(payload: bytes) -> str:
     return f"{len(x) // UNIT}:{x.mean():.4f}:{x.std():.4f}:{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
+class _Figure:
+    """An open figure: its media without a caption, its captions (items of their own until it ends), and the text of an open one."""
+
+    def __init__(self) -> None:
+        self.media: list[dict] = []
+        self.said: list[dict] = []
+        self.caption: list[str] | None = None
+
+
 class _Items(HTMLParser):
-    """Text and media references in document order. A figure's caption goes to the media before it in the figure, else its alt text."""
+    """Text and media references in document order.
+
+    A figure's caption goes to all media of the figure (those of figures within it that have none of their own too), else
+    their alt text. Without such media it is a text where it stands. It ends with the figure or the page at the latest.
+    """
 
     SKIP = {"script", "style", "template"}
     BLOCK = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "br", "section", "article", "figure", "figcaption", "table", "ul", "ol", "body", "td", "th", "pre", "blockquote"}
@@ -85,54 +98,94 @@ class _Items(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.skip = 0
-        self.caption: list[str] | None = None
-        self.in_figure: list[int] = []
+        self.figures: list[_Figure] = []
+
+    def add(self, kind: str, **values: str | None) -> dict:
+        self.items.append({"position": 0, "kind": kind, "text": None, "digest": None, "caption": None} | values)
+        return self.items[-1]
+
+    def open_caption(self) -> list[str] | None:
+        return self.figures[-1].caption if self.figures else None
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.items.append({"position": len(self.items), "kind": "text", "text": text, "digest": None, "caption": None})
+            self.add("text", text=text)
+
+    def end_caption(self) -> None:
+        figure = self.figures[-1]
+        if figure.caption is not None:
+            figure.said[-1]["text"] = " ".join("".join(figure.caption).split())
+            figure.caption = None
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        figure = self.figures.pop()
+        said = " ".join(x["text"] for x in figure.said if x["text"])
+        if said and figure.media:
+            for item in figure.media:
+                item["caption"] = said
+        else:
+            for item in figure.said:
+                item["kind"] = "text" if item["text"] else "caption"
+            if self.figures:
+                self.figures[-1].media += figure.media
+
+    def end_page(self) -> list[dict]:
+        self.close()
+        self.flush()
+        while self.figures:
+            self.end_figure()
+        items = [x for x in self.items if x["kind"] != "caption"]
+        for i, item in enumerate(items):
+            item["position"] = i
+        return items
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.SKIP:
             self.skip += 1
         if tag in self.BLOCK:
             self.flush()
+            if (caption := self.open_caption()) is not None:
+                caption.append(" ")
         if tag == "figure":
-            self.in_figure = []
-        if tag == "figcaption":
-            self.caption = []
+            self.figures.append(_Figure())
+        if tag == "figcaption" and self.figures:
+            self.end_caption()
+            self.figures[-1].said.append(self.add("caption"))
+            self.figures[-1].caption = []
         if tag in self.MEDIA:
             at = dict(attrs)
             ref = at.get(self.MEDIA[tag]) or ""
             if ref:
                 self.flush()
-                self.in_figure.append(len(self.items))
-                self.items.append({"position": len(self.items), "kind": "media", "text": None, "digest": ref.removeprefix(SCHEME), "caption": at.get("alt")})
+                item = self.add("media", digest=ref.removeprefix(SCHEME), caption=at.get("alt"))
+                if self.figures:
+                    self.figures[-1].media.append(item)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
-        if tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            self.caption = None
-            for i in self.in_figure:
-                self.items[i]["caption"] = said or self.items[i]["caption"]
-        elif tag in self.BLOCK:
+        if tag in self.BLOCK:
             self.flush()
+            if (caption := self.open_caption()) is not None:
+                caption.append(" ")
+        if tag == "figcaption" and self.figures:
+            self.end_caption()
+        if tag == "figure" and self.figures:
+            self.end_figure()
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            (self.text if self.caption is None else self.caption).append(data)
+            caption = self.open_caption()
+            (self.text if caption is None else caption).append(data)
 
 
 def parse_items(page: str | None) -> list[dict]:
     parser = _Items()
     parser.feed(page or "")
-    parser.close()
-    parser.flush()
-    return parser.items
+    return parser.end_page()
 
 
 def html_items(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:

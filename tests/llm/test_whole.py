@@ -4,7 +4,7 @@ import datetime
 import re
 
 import corpus_pipeline as C
-from lodeweave.llm import langid, pii
+from lodeweave.llm import langid, media, pii
 
 
 def test_dates_of_all_layouts():
@@ -89,3 +89,33 @@ def test_language_limit_follows_the_number_of_languages(spark):
     docs = spark.createDataFrame(related, "text string, lang string")
     assert langid.train(docs).predict("yzyz")[1] < 0.3
     assert "yzyz" in kept(spark, [*related, ("yzyz", None)])
+
+
+def items(page):
+    found = media.parse_items(page)
+    assert [i["position"] for i in found] == list(range(len(found)))
+    return [i["text"] if i["kind"] == "text" else (i["digest"], i["caption"]) for i in found]
+
+
+def test_captions_wherever_they_stand():
+    assert items("<figure><figcaption>Text</figcaption><img src=a></figure>after") == [("a", "Text"), "after"]
+    assert items("<figure><img src=a alt=A><figcaption>Text</figcaption><img src=b></figure><img src=c alt=C>") == [("a", "Text"), ("b", "Text"), ("c", "C")]
+    assert items("<figure><figcaption>Table 1</figcaption><table><tr><td>x</td></tr></table></figure>") == ["Table 1", "x"]
+    assert items("<figure><pre>code</pre><figcaption><p>List</p><p>ing</p></figcaption></figure>") == ["code", "List ing"]
+    assert items("<figcaption>No figure</figcaption><img src=a>") == ["No figure", ("a", None)]
+    assert items("<figure><img src=a alt=A><figcaption> </figcaption></figure>") == [("a", "A")]
+
+
+def test_open_captions_end():
+    assert items("<figure><img src=a><figcaption>Text</figure><p>rest</p><img src=b>") == [("a", "Text"), "rest", ("b", None)]
+    assert items("<figure><pre>x</pre><figcaption>Text</figure><p>rest") == ["x", "Text", "rest"]
+    assert items("<figure><figcaption>Text <p>rest") == ["Text rest"]
+    assert items("<figure><figcaption>Text<img src=a>") == [("a", "Text")]
+    assert items("<figcaption>Text<p>rest") == ["Text", "rest"]
+    assert items("</figure></figcaption>x") == ["x"]
+
+
+def test_figures_in_figures():
+    inner = "<figure><img src=a><figcaption>A</figcaption></figure>"
+    assert items(f"<figure>{inner}<figure><img src=b></figure><figcaption>Both</figcaption></figure>") == [("a", "A"), ("b", "Both")]
+    assert items(f"<figure>{inner}<figcaption>Outer</figcaption></figure>") == [("a", "A"), "Outer"]
