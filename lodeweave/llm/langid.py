@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -22,10 +23,10 @@ from .work import documents, map_arrow, stored
 WORD = re.compile(r"[^\W\d_]+")
 #: Bound of what is learned from: the expected number of labelled rows per language in a hash sample.
 TRAIN_ROWS = 4000
-#: Bounds of the model: words and n-grams per language, languages.
+#: Bounds of the model: words and n-grams per language, and strings of all languages, of which each has an equal part.
 MODEL_WORDS = 30_000
 MODEL_GRAMS = 4_000
-MODEL_LANGUAGES = 200
+MODEL_STRINGS = 1_000_000
 LONGEST = 4
 #: What a step to shorter n-grams leaves of a word's weight; count added to every string; longest word scored as one.
 BACKOFF = 0.4
@@ -39,23 +40,40 @@ def word_counts(text: str) -> Counter:
 
 
 class Model:
-    """Log frequencies of words (n = 0) and n-grams in each language.
+    """Log frequencies of words (n = 0) and n-grams in each language; only those of languages that have the string are held.
 
-    ``counts``: for each n a dict from string to counts by language; ``totals``: all counts of an n by language.
+    ``counts``: for each n a dict from string to counts by language (a list, or a dict from number of the language);
+    ``totals``: all counts of an n by language.
     """
 
-    def __init__(self, languages: list[str], counts: dict[int, dict[str, list[float]]], totals: dict[int, list[float]]):
+    def __init__(self, languages: list[str], counts: dict[int, dict[str, list[float] | dict[int, float]]], totals: dict[int, list[float]]):
         self.languages = languages
-        self.rows: list[dict[str, int]] = []  # by n: string to row of logs
-        logs: list[np.ndarray] = [np.zeros((0, len(languages)), np.float32)]
-        at = 0
+        self.rows: list[dict[str, int]] = []  # by n: string to row
+        self.first: list[int] = []  # by n: its first row
+        starts, langs, found = [0], array("i"), array("d")
+        absent = []  # by n: logs of a string that a language does not have
         for n in range(LONGEST + 1):
-            table = counts[n]
-            found = np.array(list(table.values()), np.float64).reshape(len(table), len(languages))
-            logs.append((np.log(found + SMOOTH) - np.log(np.array(totals[n], np.float64) + SMOOTH * (len(table) + 1))).astype(np.float32))
+            table, at = counts[n], len(starts) - 1
+            self.first.append(at)
             self.rows.append(dict(zip(table, range(at, at + len(table)), strict=True)))
-            at += len(table)
-        self.logs = np.concatenate(logs)
+            for by_lang in table.values():
+                for lang, c in by_lang.items() if isinstance(by_lang, dict) else enumerate(by_lang):
+                    if c:
+                        langs.append(lang)
+                        found.append(c)
+                starts.append(len(langs))
+            absent.append(math.log(SMOOTH) - np.log(np.array(totals[n], np.float64) + SMOOTH * (len(table) + 1)))
+        self.starts, self.langs = np.array(starts, np.int64), np.array(langs, np.int32)
+        self.more = (np.log(np.array(found, np.float64) + SMOOTH) - math.log(SMOOTH)).astype(np.float32)
+        self.absent = np.array(absent).reshape(LONGEST + 1, len(languages))
+
+    def score(self, rows: list[int], weights: list[float]) -> np.ndarray:
+        """Weighted sum of the rows' logs by language."""
+        at, w = np.array(rows, np.int64), np.array(weights, np.float64)
+        by_n = np.bincount(np.searchsorted(self.first, at, "right") - 1, w, LONGEST + 1)
+        start, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        held = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        return by_n @ self.absent + np.bincount(self.langs[held], self.more[held] * np.repeat(w, n), len(self.languages))
 
     def back_off(self, word: str, weight: float, rows: list[int], weights: list[float]) -> None:
         """The rows of the longest n-grams of an unseen word that are known, with their weights."""
@@ -87,26 +105,25 @@ class Model:
             else:
                 rows.append(row)
                 weights.append(n)
-        logs = np.array(weights) @ self.logs[np.array(rows, np.int64)] / math.sqrt(sum(counted.values()))  # words depend on one another
+        logs = self.score(rows, weights) / math.sqrt(sum(counted.values()))  # words depend on one another
         best = int(logs.argmax())
         return self.languages[best], float(1 / np.exp(np.minimum(logs - logs[best], 0)).sum())
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """Learn from rows with a language and a text; about ``rows`` of each language, chosen by a hash of the text.
+    """Learn from rows with a language and a text; about ``rows`` distinct texts of each language, chosen by a hash of the text.
 
-    What reaches the driver is bounded: MODEL_WORDS words and MODEL_GRAMS n-grams of each length for each
-    of at most MODEL_LANGUAGES languages (those with most rows).
+    What reaches the driver is bounded: MODEL_WORDS words and MODEL_GRAMS n-grams of each length for each language,
+    fewer where all languages together would pass MODEL_STRINGS, but one of each at least.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MODEL_LANGUAGES).collect()
+    sizes = usable.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], {n: {} for n in range(LONGEST + 1)}, {n: [] for n in range(LONGEST + 1)})
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, rows / r["count"]))).otherwise(share)
-    part = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates()  # copies share a hash
+    shares = usable.sparkSession.createDataFrame([(r["lang"], min(1.0, rows / r["count"])) for r in sizes], "lang string, share double")
+    part = usable.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    part = part.select("lang", "text").dropDuplicates()  # copies share a hash
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -140,11 +157,13 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     for r in each.groupBy("lang", "k").agg(F.sum("n").alias("n")).collect():
         totals[r["k"]][at[r["lang"]]] = float(r["n"])
     top = each.withColumn("r", F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "x")))
-    top = top.where(F.col("r") <= F.when(F.col("k") == 0, MODEL_WORDS).otherwise(MODEL_GRAMS)).where((F.col("k") > 0) | (F.col("n") > 1))
+    part_of = min(1.0, MODEL_STRINGS / (len(languages) * (MODEL_WORDS + LONGEST * MODEL_GRAMS)))
+    n_words, n_grams = (max(1, int(most * part_of)) for most in (MODEL_WORDS, MODEL_GRAMS))
+    top = top.where(F.col("r") <= F.when(F.col("k") == 0, n_words).otherwise(n_grams)).where((F.col("k") > 0) | (F.col("n") > 1))
     chosen = top.select("k", "x").distinct().join(each, ["k", "x"])
-    counts: dict[int, dict[str, list[float]]] = {n: {} for n in range(LONGEST + 1)}
+    counts: dict[int, dict[str, dict[int, float]]] = {n: {} for n in range(LONGEST + 1)}
     for r in chosen.collect():
-        counts[r["k"]].setdefault(r["x"], [0.0] * len(languages))[at[r["lang"]]] = float(r["n"])
+        counts[r["k"]].setdefault(r["x"], {})[at[r["lang"]]] = float(r["n"])
     return Model(languages, counts, totals)
 
 

@@ -119,3 +119,26 @@ def test_figures_in_figures():
     inner = "<figure><img src=a><figcaption>A</figcaption></figure>"
     assert items(f"<figure>{inner}<figure><img src=b></figure><figcaption>Both</figcaption></figure>") == [("a", "A"), ("b", "Both")]
     assert items(f"<figure>{inner}<figcaption>Outer</figcaption></figure>") == [("a", "A"), "Outer"]
+
+
+def test_all_languages_are_learned(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:03d}")
+    docs = spark.createDataFrame([(f"x{name(i)} x{name(i)}", f"l{i:03d}") for i in range(230)], "text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == 230
+    assert all(model.predict(f"x{name(i)}")[0] == f"l{i:03d}" for i in range(230))
+
+
+def test_model_is_bounded_by_all_its_strings(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_STRINGS", 46_000 * 4 // 2_000)  # 15 words and 2 n-grams of each length for four languages
+    docs = spark.createDataFrame([(f"{lang}{chr(97 + j)} " * (j + 2), lang) for lang in "pqrs" for j in range(26)], "text string, lang string")
+    model = langid.train(docs)
+    assert [len(r) for r in model.rows][0] == 60 and all(len(r) <= 8 for r in model.rows[1:])
+    assert [model.predict(f"{lang}z")[0] for lang in "pqrs"] == list("pqrs")
+
+
+def test_copies_do_not_shrink_the_sample(spark):
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:03d}")
+    rows = [("copy copy", "en")] * 1_100 + [(f"{word(i)} {word(i)}", "en") for i in range(100)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), rows=400)
+    assert set(model.rows[0]) == {"copy"} | {word(i) for i in range(100)}
