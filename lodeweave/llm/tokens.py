@@ -24,6 +24,7 @@ PIECE = re.compile(r"\s*\S+(?:[^\S \t\n\r\f\v]\s*\S*)*|\s+")
 #: Inside one very long piece: changes of character class at which a byte-level pre-tokenizer cuts too.
 INNER = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{}~])|(?<=[一-鿿])(?=[、。！，：；？])")
 LONG_PIECE = 16_384
+#: UTF-8 bytes of the texts of a call; one longer piece is a call of its own.
 CALL_BYTES = 262_144
 MEMO = 1 << 18
 
@@ -70,11 +71,12 @@ class Lengths:
         call: list[str] = []
         held = 0
         for text in texts:
-            if call and held + 4 * len(text) > 4 * CALL_BYTES:
+            size = len(text) if text.isascii() else len(text.encode())
+            if call and held + size > CALL_BYTES:
                 yield from zip(call, self.encode(call), strict=True)
                 call, held = [], 0
             call.append(text)
-            held += 4 * len(text)
+            held += size
         if call:
             yield from zip(call, self.encode(call), strict=True)
 
@@ -104,7 +106,8 @@ def token_counts(df: DataFrame, path: str, text_col: str = "text", id_col: str =
     """Per row: ``id_col``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (n_tokens > limit).
 
     A null text counts as empty (0 bytes, 0 tokens). Every row gives one row, repeated rows and null ids
-    too; other columns are ignored, whatever their names. No shuffle: a map over the scan.
+    too, an empty table an empty result; other columns are ignored, whatever their names. Very long texts are encoded
+    piece by piece and count in full. No shuffle: a map over the scan.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,16 +12,17 @@ from ..sources.worktables import shared_folder, stored
 
 __all__ = ["documents", "map_arrow", "shared_folder", "stored"]
 
-#: Rows an Arrow batch holds at most, so that a batch of long texts stays small beside a worker's memory.
+#: Rows that a function sees at a time. Spark bounds the bytes of what it sends (``arrow.maxBytesPerBatch``, 64 MB).
 ARROW_ROWS = 512
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of at most ARROW_ROWS rows (a smaller session setting is kept)."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
-        conf.set(key, str(ARROW_ROWS))
-    return df.mapInArrow(function, schema)
+    """``mapInArrow`` over slices of at most ARROW_ROWS rows; no setting of the session changes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(b.slice(i, ARROW_ROWS) for b in batches for i in range(0, max(1, b.num_rows), ARROW_ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
