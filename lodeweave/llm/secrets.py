@@ -1,22 +1,20 @@
 """Secret scans with a trigram inverted index.
 
-From each rule's regex a Boolean query over trigrams is derived: every match contains the trigrams of
-at least one alternative. Each block of texts gets postings (trigram to texts) for the trigrams that
-the rules ask for; postings are intersected and united as the query says, and only candidate texts
-are verified with the regex. A rule whose regex has no mandatory trigram scans every text. The index is
-per block, as an index of segments: no shuffle, and a lost executor costs its blocks only.
+Each block of texts gets an inverted index: for every byte trigram of the texts, with A-Z lowered, the sorted
+numbers of the texts that hold it. From each rule's regex a Boolean query over trigrams is derived: every match
+contains the trigrams of at least one alternative. Postings are intersected and united as the query says, and only
+candidate texts are verified with the regex. A rule whose regex has no mandatory trigram scans every text. The
+index is per block, as an index of segments: no shuffle, and a lost executor costs its blocks only.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
-from re import _constants as sre
-from re import _parser
+from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,96 +37,207 @@ MORE_RULES = [
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 0, 0),
     ("url_password", r"[a-z][a-z0-9+.]*://[A-Za-z0-9_.~-]+:[^\s:@/]+@", False, 0, 0),
 ]
-#: A part of a regex keeps its exact strings up to this many.
-MOST_STRINGS = 64
+#: The same matches in time linear in the text, where the plain pattern looks at a run of letters again from each of them:
+#: from the start of the run, its first letters that can begin a match, and the match as group ``s``.
+LINEAR = {
+    "jwt": r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(?P<s>eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)",
+    "url_password": r"(?<![a-z0-9+.])[0-9+.]*+(?P<s>[a-z][a-z0-9+.]*+://[A-Za-z0-9_.~-]++:[^\s:@/]++@)",
+}
+#: A part of a regex keeps its exact strings up to this many; a query has at most this many alternatives.
+MOST_STRINGS, MOST_SETS = 64, 1024
+#: Bytes of texts indexed at a time.
+INDEX_BYTES = 1 << 20
 
 Query = frozenset[frozenset[str]]  # any of these sets of trigrams, all of a set; an empty set: no condition
 ANY: Query = frozenset([frozenset()])
 
 
 def _both(a: Query, b: Query) -> Query:
-    return frozenset(x | y for x in a for y in b) if len(a) * len(b) <= 1024 else (a if b == ANY else b)
+    return frozenset(x | y for x in a for y in b) if len(a) * len(b) <= MOST_SETS else (a if b == ANY else b)
 
 
-def _of_strings(strings: set[str]) -> Query:
+def _of_strings(strings: Iterable[str]) -> Query:
     """What the texts around any of these strings must contain."""
     sets = [frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings]
     return ANY if not sets or any(not x for x in sets) else frozenset(sets)
 
 
-def _strings(node: tuple, fold: bool) -> tuple[set[str] | None, Query]:
-    """The exact strings a node can match, or None and the query that its matches satisfy."""
-    kind, arg = node
-    if kind is sre.LITERAL:
-        c = chr(arg)
-        return {c.lower() if fold else c}, ANY
-    if kind is sre.IN:
-        chars: set[str] = set()
-        for what, x in arg:
-            if what is sre.LITERAL:
-                chars.add(chr(x))
-            elif what is sre.RANGE and x[1] - x[0] < 8:
-                chars |= {chr(c) for c in range(x[0], x[1] + 1)}
+class _Part:
+    """A piece of a regex: the exact strings it can match, or None, and the query that every match satisfies."""
+
+    def __init__(self, strings: set[str] | None, query: Query = ANY):
+        self.strings, self.query = strings, query
+
+    def whole(self) -> Query:
+        return self.query if self.strings is None else _both(self.query, _of_strings(self.strings))
+
+
+class _Regex:
+    """Reads the syntax that rules use: literals, escapes, classes, groups, ``|``, ``? * +``; anything else is a ValueError."""
+
+    CLASSES = {"s": " \t\n\r\f\v", "d": "0123456789"}
+
+    def __init__(self, pattern: str):
+        self.rest = pattern
+
+    def query(self) -> Query:
+        out = self.either().whole()
+        if self.rest:
+            raise ValueError(f"unbalanced: {self.rest}")
+        return frozenset(x for x in out if not any(y < x for y in out))  # a smaller set says more
+
+    def take(self, text: str) -> bool:
+        if hit := self.rest.startswith(text):
+            self.rest = self.rest[len(text) :]
+        return hit
+
+    def next(self) -> str:
+        c, self.rest = self.rest[:1], self.rest[1:]
+        return c
+
+    def either(self) -> _Part:
+        parts = [self.sequence()]
+        while self.take("|"):
+            parts.append(self.sequence())
+        if len(parts) == 1:
+            return parts[0]
+        if all(p.strings is not None for p in parts) and sum(len(p.strings) for p in parts) <= MOST_STRINGS:
+            return _Part(set().union(*(p.strings for p in parts)))
+        return _Part(None, frozenset().union(*(p.whole() for p in parts)))
+
+    def sequence(self) -> _Part:
+        held, query, exact = {""}, ANY, True
+        while self.rest and self.rest[0] not in "|)":
+            part = self.repeated()
+            if part.strings is not None and len(held) * len(part.strings) <= MOST_STRINGS:
+                held = {a + b for a in held for b in part.strings}
             else:
-                return None, ANY
-        chars = {c.lower() for c in chars} if fold else chars
-        return (chars, ANY) if len(chars) <= 8 else (None, ANY)
-    if kind is sre.SUBPATTERN:
-        return _sequence(arg[3], fold)
-    if kind is sre.BRANCH:
-        parts = [_sequence(x, fold) for x in arg[1]]
-        if all(p[0] is not None for p in parts) and sum(len(p[0]) for p in parts) <= MOST_STRINGS:
-            return set().union(*(p[0] for p in parts)), ANY
-        return None, frozenset().union(*(_both(q, _of_strings(s)) if s is not None else q for s, q in parts))
-    if kind in (sre.MAX_REPEAT, sre.MIN_REPEAT):
-        low, high, body = arg
-        strings, query = _sequence(body, fold)
-        if (low, high) == (0, 1) and strings is not None:
-            return strings | {""}, ANY
-        return None, (_both(query, _of_strings(strings)) if strings is not None else query) if low else ANY
-    if kind is sre.AT:
-        return {""}, ANY
-    return None, ANY
-
-
-def _sequence(nodes: Iterable[tuple], fold: bool) -> tuple[set[str] | None, Query]:
-    held, query, exact = {""}, ANY, True
-    for node in nodes:
-        strings, own = _strings(node, fold)
-        if strings is not None and len(held) * len(strings) <= MOST_STRINGS:
-            held = {a + b for a in held for b in strings}
-            continue
-        query = _both(_both(query, _of_strings(held)), own)
-        held, exact = (strings if strings is not None else {""}), False
-    return (held, query) if exact else (None, _both(query, _of_strings(held)))
-
-
-def trigram_query(pattern: str, fold: bool) -> Query:
-    """A Boolean trigram query that every text with a match satisfies; ANY where there is no mandatory trigram."""
-    strings, query = _sequence(_parser.parse(pattern), fold)
-    query = query if strings is None else _of_strings(strings)
-    return frozenset(x for x in query if not any(y < x for y in query))  # a smaller set says more
+                query, held, exact = _both(_both(query, _of_strings(held)), part.query), part.strings or {""}, False
+        return _Part(held) if exact else _Part(None, _both(query, _of_strings(held)))
+
+    def repeated(self) -> _Part:
+        part = self.one()
+        if self.take("?"):
+            return _Part(part.strings | {""}) if part.strings is not None else _Part(None)
+        if self.take("*"):
+            return _Part(None)
+        return _Part(None, part.whole()) if self.take("+") else part
+
+    def one(self) -> _Part:
+        if self.take("("):
+            self.take("?:")
+            part = self.either()
+            if not self.take(")"):
+                raise ValueError("open group")
+            return part
+        if self.take("["):
+            chars = self.members()
+            return _Part(chars if chars and len(chars) <= 8 else None)
+        c = self.next()
+        if c == "\\":
+            chars = self.escape()
+            return _Part(chars if len(chars) <= 8 else None)
+        if c in ".^$?*+{}":
+            raise ValueError(f"not read: {c}")
+        return _Part({c})
+
+    def escape(self) -> set[str]:
+        c = self.next()
+        if c == "x":
+            return {chr(int(self.next() + self.next(), 16))}
+        if c in self.CLASSES:
+            return set(self.CLASSES[c])
+        if c.isalnum():
+            raise ValueError(f"not read: {c}")
+        return {c}
+
+    def members(self) -> set[str] | None:
+        """The characters of a class; None for a negated one."""
+        negated, out = self.take("^"), set()
+        while not self.take("]"):
+            c = self.next()
+            if not c:
+                raise ValueError("open class")
+            chars = self.escape() if c == "\\" else {c}
+            if len(chars) == 1 and self.rest[:1] == "-" and self.rest[1:2] != "]":
+                self.next()
+                chars = {chr(x) for x in range(ord(chars.pop()), ord(self.next()) + 1)}
+            out |= chars
+        return None if negated else out
+
+
+def lowered(text: str) -> str:
+    return text.lower() if text.isascii() else re.sub("[A-Z]+", lambda m: m.group().lower(), text)
+
+
+def trigram_query(pattern: str) -> Query:
+    """A Boolean query over trigrams, in lower case, that every text with a match satisfies; ANY where there is no mandatory trigram."""
+    return frozenset(frozenset(map(lowered, x)) for x in _Regex(pattern).query())
+
+
+class BlockIndex:
+    """For every trigram of the bytes of a block of texts, A-Z lowered, the sorted numbers of the texts that hold it."""
+
+    def __init__(self, texts: list[str]):
+        parts, held, size = [], [], 0
+        for i, text in enumerate(texts):
+            data = text.encode().lower()  # of bytes: ASCII only
+            for at in range(0, max(1, len(data) - 2), INDEX_BYTES):
+                piece = data[at : at + INDEX_BYTES + 2]
+                if size + len(piece) > INDEX_BYTES and held:
+                    parts.append(self._pairs(held))
+                    held, size = [], 0
+                held.append((i, piece))
+                size += len(piece)
+        parts.append(self._pairs(held))
+        pairs = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+        self.codes, self.texts = pairs >> np.uint64(32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    @staticmethod
+    def _pairs(held: list[tuple[int, bytes]]) -> np.ndarray:
+        """Distinct pairs of trigram and text, as sorted numbers."""
+        x = np.frombuffer(b"".join(p for _, p in held), np.uint8).astype(np.uint64)
+        if len(x) < 3:
+            return np.zeros(0, np.uint64)
+        ends = np.cumsum([len(p) for _, p in held])
+        owner = np.repeat(np.array([i for i, _ in held], np.uint64), [len(p) for _, p in held])
+        pairs = (x[:-2] << np.uint64(48)) | (x[1:-1] << np.uint64(40)) | (x[2:] << np.uint64(32)) | owner[:-2]
+        inside = np.ones(len(pairs), bool)
+        for step in (1, 2):  # trigrams that reach into the next text
+            at = ends - step
+            inside[at[(at >= 0) & (at < len(pairs))]] = False
+        pairs = np.sort(pairs[inside])
+        return pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+
+    def postings(self, trigram: str) -> np.ndarray:
+        a, b, c = trigram.encode()
+        code = np.uint64(a << 16 | b << 8 | c)
+        return self.texts[np.searchsorted(self.codes, code) : np.searchsorted(self.codes, code, "right")]
 
 
 class Scanner:
     def __init__(self, rules: list[tuple]):
-        self.rules = [(k, re.compile(p, re.A | re.I if fold else re.A), fold, g, n, trigram_query(p, fold)) for k, p, fold, g, n in rules]
-        self.trigrams = {fold: sorted({t for r in self.rules if r[2] == fold for x in r[5] for t in x}) for fold in (False, True)}
+        self.rules = []
+        for kind, pattern, fold, group, least in rules:
+            linear = LINEAR.get(kind) if (kind, pattern, fold, group, least) in MORE_RULES else None
+            regex = re.compile(linear or pattern, re.A | re.I if fold else re.A)
+            self.rules.append((kind, regex, "s" if linear else 0, group if not linear else "s", least, trigram_query(pattern)))
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Per text the spans as (start, rule, end), sorted."""
-        lowered = [t.lower() if t.isascii() else re.sub("[A-Z]+", lambda m: m.group().lower(), t) for t in texts]
-        postings = {fold: {g: {i for i, t in enumerate(lowered if fold else texts) if g in t} for g in self.trigrams[fold]} for fold in (False, True)}
+        index = BlockIndex(texts)
+        postings = {g: index.postings(g) for rule in self.rules for x in rule[5] for g in x}
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for r, (_, regex, fold, group, least, query) in enumerate(self.rules):
+        for r, (_, regex, span, group, least, query) in enumerate(self.rules):
             if frozenset() in query:
                 candidates: Iterable[int] = range(len(texts))
             else:
-                candidates = set().union(*(set.intersection(*(postings[fold][g] for g in x)) for x in query))
+                both = lambda a, b: np.intersect1d(a, b, assume_unique=True)
+                candidates = reduce(np.union1d, (reduce(both, sorted((postings[g] for g in x), key=len)) for x in query)).tolist()
             for i in candidates:
                 for m in regex.finditer(texts[i]):
                     if m.end(group) - m.start(group) >= least:
-                        out[i].append((m.start(), r, m.end()))
+                        out[i].append((m.start(span), r, m.end(span)))
         for spans in out:
             spans.sort()
         return out
@@ -143,7 +252,8 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row ``id_col`` and ``spans``: array of (kind, start, end) in code points, by start, then by rule.
 
     Of a kind, matches are leftmost and do not overlap; kinds may. A null text counts as empty and has no
-    spans. Repeated rows and null ids give a row each; other columns are ignored.
+    spans. Repeated rows and null ids give a row each, an empty table an empty result; other columns are ignored. Very
+    long texts are indexed in parts and scanned whole, in time linear in their length.
     """
     rules = tuple(BASE_RULES + more)
 
