@@ -3,35 +3,38 @@
 A word known from training is scored by its log frequency in each language. An unseen word is scored by
 its longest character n-grams (with word borders) that the model knows: where it has none, the next
 shorter ones are looked up and count for less with each step.
+
+The model holds every word and n-gram of the training sample, once seen or often, as a sorted array of 64-bit hashes
+with the languages that have it: 12 bytes a string and 8 for each of its languages.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import documents, map_arrow, stored
+from .work import documents, map_arrow
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bound of what is learned from: the expected number of labelled rows per language in a hash sample.
-TRAIN_ROWS = 4000
-#: Bounds of the model: words and n-grams per language, and strings of all languages, of which each has an equal part.
-MODEL_WORDS = 30_000
-MODEL_GRAMS = 4_000
-MODEL_STRINGS = 1_000_000
+#: Bounds of what is learned from, a hash sample of distinct labelled texts: texts of a language, and of all languages
+#: together, of which each has an equal part but LEAST_ROWS. All that the model holds comes from these.
+TRAIN_ROWS, TRAIN_TOTAL, LEAST_ROWS = 4_000, 64_000, 50
 LONGEST = 4
-#: What a step to shorter n-grams leaves of a word's weight; count added to every string; longest word scored as one.
+#: What a step to shorter n-grams leaves of a word's weight; count added to every string.
 BACKOFF = 0.4
 SMOOTH = 0.1
-LONG_WORD = 64
+#: Distinct words counted before a task hands them on, n-grams hashed and scores computed at a time.
+HELD, GRAMS, CELLS = 50_000, 1 << 20, 1 << 22
+
+_U = np.uint64
 
 
 def word_counts(text: str) -> Counter:
@@ -39,144 +42,178 @@ def word_counts(text: str) -> Counter:
     return Counter(WORD.findall(text)) if len(text) < 1 << 20 else Counter(m.group() for m in WORD.finditer(text))
 
 
+def word_keys(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), _U, len(words))
+
+
+def gram_keys(words: list[str], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of words and hashes of their runs of ``n`` characters; with word borders for n > 1."""
+    return run_keys([f"<{w}>" for w in words] if n > 1 else words, n)
+
+
+def run_keys(words: list[str], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+    for at in range(0, len(codes) - n + 1, GRAMS):
+        end = min(at + GRAMS, len(codes) - n + 1)
+        inside = np.flatnonzero(owner[at:end] == owner[at + n - 1 : end + n - 1])
+        h = np.full(len(inside), n, _U)
+        for k in range(n):
+            h = (h ^ codes[at + k : end + k][inside]) * _U(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> _U(29))) * _U(0x94D049BB133111EB)
+            h ^= h >> _U(32)
+        yield owner[at:end][inside], h
+
+
 class Model:
-    """Log frequencies of words (n = 0) and n-grams in each language; only those of languages that have the string are held.
+    """Log frequencies of words (kind 0) and n-grams (kind n) in each language; only those of languages that have the string are held.
 
-    ``counts``: for each n a dict from string to counts by language (a list, or a dict from number of the language);
-    ``totals``: all counts of an n by language.
+    ``kinds``, ``keys``, ``langs`` and ``counts`` are columns of a table with a row per string and language; ``langs``
+    are numbers of ``languages``.
     """
 
-    def __init__(self, languages: list[str], counts: dict[int, dict[str, list[float] | dict[int, float]]], totals: dict[int, list[float]]):
+    def __init__(self, languages: list[str], kinds: np.ndarray, keys: np.ndarray, langs: np.ndarray, counts: np.ndarray):
         self.languages = languages
-        self.rows: list[dict[str, int]] = []  # by n: string to row
-        self.first: list[int] = []  # by n: its first row
-        starts, langs, found = [0], array("i"), array("d")
-        absent = []  # by n: logs of a string that a language does not have
-        for n in range(LONGEST + 1):
-            table, at = counts[n], len(starts) - 1
-            self.first.append(at)
-            self.rows.append(dict(zip(table, range(at, at + len(table)), strict=True)))
-            for by_lang in table.values():
-                for lang, c in by_lang.items() if isinstance(by_lang, dict) else enumerate(by_lang):
-                    if c:
-                        langs.append(lang)
-                        found.append(c)
-                starts.append(len(langs))
-            absent.append(math.log(SMOOTH) - np.log(np.array(totals[n], np.float64) + SMOOTH * (len(table) + 1)))
-        self.starts, self.langs = np.array(starts, np.int64), np.array(langs, np.int32)
-        self.more = (np.log(np.array(found, np.float64) + SMOOTH) - math.log(SMOOTH)).astype(np.float32)
-        self.absent = np.array(absent).reshape(LONGEST + 1, len(languages))
-
-    def score(self, rows: list[int], weights: list[float]) -> np.ndarray:
-        """Weighted sum of the rows' logs by language."""
-        at, w = np.array(rows, np.int64), np.array(weights, np.float64)
-        by_n = np.bincount(np.searchsorted(self.first, at, "right") - 1, w, LONGEST + 1)
-        start, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-        held = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
-        return by_n @ self.absent + np.bincount(self.langs[held], self.more[held] * np.repeat(w, n), len(self.languages))
-
-    def back_off(self, word: str, weight: float, rows: list[int], weights: list[float]) -> None:
-        """The rows of the longest n-grams of an unseen word that are known, with their weights."""
-        if len(word) > LONG_WORD:  # by parts, so that a very long word costs no more than its length
-            for i in range(0, len(word), LONG_WORD):
-                self.back_off(word[i : i + LONG_WORD], weight, rows, weights)
-            return
-        padded = f"<{word}>"
+        order = np.lexsort((langs, kinds, keys))
+        kinds, keys, self.langs, counts = kinds[order], keys[order], langs[order].astype(np.int32), counts[order].astype(np.float64)
+        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])])) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.kinds, self.starts = keys[new], kinds[new].astype(np.int8), np.append(new, len(keys))
+        self.more = (np.log(counts + SMOOTH) - math.log(SMOOTH)).astype(np.float32)
+        held = np.bincount(self.kinds, minlength=LONGEST + 1)
+        totals = np.bincount(kinds.astype(np.int64) * len(languages) + self.langs, counts, (LONGEST + 1) * len(languages)).reshape(LONGEST + 1, -1)
+        #: By kind and language: the log of a string that the language does not have.
+        self.absent = math.log(SMOOTH) - np.log(totals + SMOOTH * (held[:, None] + 1))
+
+    @classmethod
+    def of(cls, counts: dict[int, dict[str, dict[str, float]]]) -> Model:
+        """From plain counts: by kind, string and language."""
+        languages = sorted({x for table in counts.values() for row in table.values() for x in row})
+        key = lambda kind, x: next(run_keys([x], kind))[1][0] if kind else word_keys([x])[0]
+        rows = [(kind, key(kind, x), languages.index(lang), c) for kind, table in counts.items() for x, row in table.items() for lang, c in row.items() if c]
+        column = lambda i, t: np.array([r[i] for r in rows], t)
+        return cls(languages, column(0, np.int64), column(1, _U), column(2, np.int64), column(3, np.float64))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of the strings with these hashes; -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def entries(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What scores the words: numbers of words, rows of the model, weights."""
+        rows = self.find(word_keys(words))
+        known = np.flatnonzero(rows >= 0)
+        found = [(known, rows[known], np.ones(len(known)))]
+        left, weight = np.flatnonzero(rows < 0), 1.0
         for n in range(LONGEST, 0, -1):
-            get, text = self.rows[n].get, padded if n > 1 else word
-            hits = [r for i in range(len(text) - n + 1) if (r := get(text[i : i + n])) is not None]
-            if hits:
-                rows += hits
-                weights += [weight / n] * len(hits)
-                return
-            weight *= BACKOFF
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        counted = word_counts((text or "").lower())
-        if not self.languages or not any(c.isalpha() for w in counted for c in w):
-            return "und", 0.0
-        rows: list[int] = []
-        weights: list[float] = []
-        known = self.rows[0].get
-        for word, n in counted.items():
-            row = known(word)
-            if row is None:
-                self.back_off(word, n, rows, weights)
-            else:
-                rows.append(row)
-                weights.append(n)
-        logs = self.score(rows, weights) / math.sqrt(sum(counted.values()))  # words depend on one another
-        best = int(logs.argmax())
-        return self.languages[best], float(1 / np.exp(np.minimum(logs - logs[best], 0)).sum())
-
-
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
+            if not len(left):
+                break
+            hits = [np.zeros(0, np.int64)]
+            for owner, keys in gram_keys([words[i] for i in left], n):
+                rows = self.find(keys)
+                at = np.flatnonzero(rows >= 0)
+                hits.append(left[owner[at]])
+                found.append((hits[-1], rows[at], np.full(len(at), weight / n)))
+            left, weight = np.setdiff1d(left, np.concatenate(hits)), weight * BACKOFF
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Logs by word and language."""
+        k = len(self.languages)
+        word, row, weight = self.entries(words)
+        by_kind = np.bincount(word * (LONGEST + 1) + self.kinds[row], weight, len(words) * (LONGEST + 1)).reshape(len(words), -1)
+        out = np.zeros((len(words), k))
+        for kind in range(LONGEST + 1):  # not a matrix product, whose rounding depends on the other rows
+            out += by_kind[:, kind, None] * self.absent[kind]
+        start, n = self.starts[row], self.starts[row + 1] - self.starts[row]
+        held = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        return out + np.bincount(np.repeat(word, n) * k + self.langs[held], self.more[held] * np.repeat(weight, n), len(words) * k).reshape(out.shape)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language of each text and its posterior; ``und`` and 0 where it has no letter or nothing was learned."""
+        out, k = [("und", 0.0)] * len(texts), len(self.languages)
+        docs, counted = [], []
+        for i, text in enumerate(texts if k else []):
+            c = word_counts((text or "").lower())
+            if any(x.isalpha() for w in c for x in w):
+                docs.append(i)
+                counted.append(c)
+        step = max(1, CELLS // max(1, k))
+        for a in range(0, len(docs), step):
+            part = counted[a : a + step]
+            logs = np.zeros((len(part), k))
+            word = [w for c in part for w in c]
+            of, n = np.repeat(np.arange(len(part)), [len(c) for c in part]), np.array([x for c in part for x in c.values()], np.float64)
+            for b in range(0, len(word), step):
+                number = {w: i for i, w in enumerate(dict.fromkeys(word[b : b + step]))}
+                scores = self.word_scores(list(number))
+                np.add.at(logs, of[b : b + step], scores[[number[w] for w in word[b : b + step]]] * n[b : b + step, None])
+            logs /= np.sqrt(np.bincount(of, n))[:, None]  # words depend on one another
+            best = logs.argmax(axis=1)
+            share = 1 / np.exp(logs - logs.max(axis=1)[:, None]).sum(axis=1)
+            for i, x, p in zip(docs[a : a + step], best.tolist(), share.tolist(), strict=True):
+                out[i] = (self.languages[x], p)
+        return out
+
+
+def string_counts(words: dict[str, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Kinds, hashes and counts of counted words and their n-grams."""
+    names, n = list(words), np.fromiter(words.values(), np.int64, len(words))
+    yield 0, word_keys(names), n
+    for kind in range(1, LONGEST + 1):
+        for owner, keys in gram_keys(names, kind):
+            each, at = np.unique(keys, return_inverse=True)
+            yield kind, each, np.bincount(at, n[owner], len(each)).astype(np.int64)
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, total: int = TRAIN_TOTAL) -> Model:
     """Learn from rows with a language and a text; about ``rows`` distinct texts of each language, chosen by a hash of the text.
 
-    What reaches the driver is bounded: MODEL_WORDS words and MODEL_GRAMS n-grams of each length for each language,
-    fewer where all languages together would pass MODEL_STRINGS, but one of each at least.
+    With more than ``total`` / ``rows`` languages it is about ``total`` / languages texts of each, but LEAST_ROWS. Every
+    language is learned, and every word and n-gram of the sample. What reaches the driver is a row of numbers for each
+    string and language of the sample. No usable row, or an empty table: an empty model.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = usable.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").count().collect()
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()
     languages = sorted(r["lang"] for r in sizes)
-    if not languages:
-        return Model([], {n: {} for n in range(LONGEST + 1)}, {n: [] for n in range(LONGEST + 1)})
-    shares = usable.sparkSession.createDataFrame([(r["lang"], min(1.0, rows / r["count"])) for r in sizes], "lang string, share double")
-    part = usable.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    part = part.select("lang", "text").dropDuplicates()  # copies share a hash
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([held[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w, n in word_counts(text.lower()).items():
-                    if len(w) <= LONG_WORD:
-                        held[lang, w] += n
-            if len(held) > 50_000:
-                yield out()
-                held.clear()
-        yield out()
-
-    words = map_arrow(part, count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = stored(words, "words")
-    kinds = [words.select("lang", F.lit(0).alias("k"), F.col("word").alias("x"), "n")]
-    for n in range(1, LONGEST + 1):
-        kinds.append(_gram_rows(words, n))
-    each = kinds[0]
-    for k in kinds[1:]:
-        each = each.unionByName(k)
-    each = each.groupBy("lang", "k", "x").agg(F.sum("n").alias("n"))
-    each = stored(each, "grams")
-    totals = {n: [0.0] * len(languages) for n in range(LONGEST + 1)}
     at = {lang: i for i, lang in enumerate(languages)}
-    for r in each.groupBy("lang", "k").agg(F.sum("n").alias("n")).collect():
-        totals[r["k"]][at[r["lang"]]] = float(r["n"])
-    top = each.withColumn("r", F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "x")))
-    part_of = min(1.0, MODEL_STRINGS / (len(languages) * (MODEL_WORDS + LONGEST * MODEL_GRAMS)))
-    n_words, n_grams = (max(1, int(most * part_of)) for most in (MODEL_WORDS, MODEL_GRAMS))
-    top = top.where(F.col("r") <= F.when(F.col("k") == 0, n_words).otherwise(n_grams)).where((F.col("k") > 0) | (F.col("n") > 1))
-    chosen = top.select("k", "x").distinct().join(each, ["k", "x"])
-    counts: dict[int, dict[str, dict[int, float]]] = {n: {} for n in range(LONGEST + 1)}
-    for r in chosen.collect():
-        counts[r["k"]].setdefault(r["x"], {})[at[r["lang"]]] = float(r["n"])
-    return Model(languages, counts, totals)
+    most = min(rows, max(LEAST_ROWS, total // max(1, len(languages))))
+    table = pa.table({"kind": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "lang": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+    if languages:
+        shares = usable.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.05 * most / r["n"])) for r in sizes], "lang string, share double")
+        part = usable.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+        part = part.select("lang", "text").dropDuplicates()  # copies share a hash
+
+        def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[str, Counter] = defaultdict(Counter)
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for lang, words in held.items():
+                    for kind, keys, n in string_counts(words):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), at[lang], np.int32)), pa.array(n)], names=["kind", "key", "lang", "n"])
+                held.clear()
 
+            for batch in batches:
+                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held[lang].update(word_counts(text.lower()))
+                    if sum(map(len, held.values())) > HELD:
+                        yield from out()
+            yield from out()
 
-def _gram_rows(words: DataFrame, n: int) -> DataFrame:
-    padded = "concat('<', word, '>')" if n > 1 else "word"
-    return words.where(f"length({padded}) >= {n}").selectExpr("lang", f"{n} AS k", f"explode(transform(sequence(1, length({padded}) - {n - 1}), i -> substr({padded}, i, {n}))) AS x", "n")
+        counts = map_arrow(part, count, "kind int, key bigint, lang int, n bigint")
+        table = counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")).toArrow()
+    column = lambda c: table.column(c).to_numpy()
+    return Model(languages, column("kind").astype(np.int64), column("key").view(_U), column("lang").astype(np.int64), column("n"))
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", least: float | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """All columns of ``df`` and ``names``: the language and its score (0 to 1: the posterior of the language); rows below ``least`` or ``und`` go where it is given.
 
     ``und`` with score 0 for a null or empty text, one without a letter, or an empty model. Equal texts get
-    equal results. Columns of those names in ``df`` are replaced. A map over the scan with the model broadcast.
+    equal results; an empty table gives an empty one. Columns of those names in ``df`` are replaced. Very long texts
+    count whole. A map over the scan with the model broadcast, whose size the bounds of ``train`` bound.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     own = [c for c in df.columns if c not in names]
@@ -186,7 +223,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", least: float |
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [m.predict(t) for t in batch.column(n).to_pylist()]
+            found = m.predict(batch.column(n).to_pylist())
             out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*own, *names])
             yield out if least is None else out.filter(pa.array([f[0] != "und" and f[1] >= least for f in found], pa.bool_()))
 

@@ -380,10 +380,66 @@ def test_held_out_accuracy(spark, small):
 
 
 def test_backoff_to_shorter_grams():
-    counts = {0: {"the": [9.0, 0.0]}, 1: {"z": [1.0, 5.0]}, 2: {}, 3: {}, 4: {"<und": [0.0, 4.0]}}
-    m = langid.Model(["en", "de"], counts, {n: [sum(v[i] for v in counts[n].values()) for i in (0, 1)] for n in counts})
-    assert m.predict("the the")[0] == "en" and m.predict("undsoweiter")[0] == "de" and m.predict("zz")[0] == "de"
-    assert m.predict("qqq")[1] == 0.5 and m.predict("42")[0] == "und" and m.predict("²")[0] == "und"
+    m = langid.Model.of({0: {"the": {"en": 9}}, 1: {"z": {"en": 1, "de": 5}}, 4: {"<und": {"de": 4}}})
+    assert [x for x, _ in m.predict(["the the", "undsoweiter", "zz", "42", "²", None])] == ["en", "de", "de", "und", "und", "und"]
+    assert m.predict(["qqq"])[0][1] == 0.5
+
+
+def plain_counts(rows):
+    """By kind, string and language, one character after the other."""
+    out = {n: collections.defaultdict(collections.Counter) for n in range(5)}
+    for text, lang in {r for r in rows if None not in r}:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            out[0][w][lang] += 1
+            for n in range(1, 5):
+                x = w if n == 1 else f"<{w}>"
+                for i in range(len(x) - n + 1):
+                    out[n][x[i : i + n]][lang] += 1
+    return out
+
+
+def plain_prediction(counts, text):
+    """Word by word, with dictionaries."""
+    languages = sorted({x for t in counts.values() for r in t.values() for x in r})
+    total = {n: {x: sum(r[x] for r in counts[n].values()) for x in languages} for n in counts}
+    log = lambda n, x, lang: math.log((counts[n][x][lang] + 0.1) / (total[n][lang] + 0.1 * (len(counts[n]) + 1)))
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not any(c.isalpha() for w in words for c in w):
+        return "und", 0.0
+    score = dict.fromkeys(languages, 0.0)
+    for w in words:
+        weight, kind, found = 1.0, 0, [w] if w in counts[0] else []
+        for n in (4, 3, 2, 1) if not found else ():
+            x = w if n == 1 else f"<{w}>"
+            if found := [x[i : i + n] for i in range(len(x) - n + 1) if x[i : i + n] in counts[n]]:
+                weight, kind = weight / n, n
+                break
+            weight *= 0.4
+        for lang in languages:
+            score[lang] += sum(weight * log(kind, x, lang) for x in found)
+    score = {k: v / math.sqrt(len(words)) for k, v in score.items()}
+    best = max(languages, key=lambda x: (score[x], -languages.index(x)))
+    return best, 1 / sum(math.exp(v - score[best]) for v in score.values())
+
+
+def test_language_model_against_plain_counting(spark, small):
+    docs = documents(spark, small).where("doc_id < 60").select("text", "lang")
+    odd_texts = ["once", "x" * 300, "日本語 é <ab> a<b>c", "it's 4 ab_cd", "", "42", None, "𝔞𝔟𝔠 ﬁ İI", "ça ça " * 50]
+    rows = [(r.text, r.lang) for r in docs.collect()] + [(t, "zz") for t in odd_texts] + [("no language", None)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    counts = plain_counts(rows)
+    want = langid.Model.of(counts)
+    assert model.languages == want.languages and all((getattr(model, c) == getattr(want, c)).all() for c in ("keys", "kinds", "langs", "more", "starts"))
+    assert len(model.keys) == sum(map(len, counts.values()))  # each string once, words seen once too
+    asked = [t for t, _ in rows] + [(t or "")[::-1] for t, _ in rows] + ["zqxj kwyjibo", "Ж", "<", "a<b"]
+    for cells in (langid.CELLS, 50):  # all at once, and in small parts
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(langid, "CELLS", cells)
+            m.setattr(langid, "GRAMS", 7 if cells == 50 else langid.GRAMS)
+            for text, (lang, score) in zip(asked[:: 1 if cells > 50 else 9], model.predict(asked[:: 1 if cells > 50 else 9]), strict=True):
+                best, posterior = plain_prediction(counts, text)
+                assert abs(score - posterior) < 1e-5 and (lang == best or abs(score - 0.5) < 1e-5), text
+    assert len(set(model.predict(["ça va le texte"] * 3 + ["other", "ça va le texte"])) - set(model.predict(["other"]))) == 1
 
 
 # 8 n-gram Jaccard join
