@@ -32,7 +32,7 @@ def least_score(languages: int) -> float:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognisable language: no letters, or no language above the limit. Where nothing was learned, only those without letters."""
     model = train(docs)
-    if not any(model.rows):
+    if not len(model.keys):
         return docs.where(F.col("text").rlike(r"\p{L}"))
     return identify(docs, model, least=least_score(len(model.languages)), names=("__lang", "__score")).select(*docs.columns)
 
