@@ -1,92 +1,153 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
-A source whose target is r times its size takes floor(r) certain copies of each of its documents and a
-sample for the rest. The sample ranks documents by random odds over inclusion odds and takes them in
-that order up to a fixed number of words. Ranks are cut into ranges by the sort key; sums of the ranges
-give each range its offset, so that no task orders a whole source.
+A source whose target is r times its size takes floor(r) whole copies of each of its documents and a sample of
+fixed size, in words, for the rest. Inclusion probabilities in the sample are in proportion to a measure of the
+documents, their size by default; those that would reach 1 are certain, and the others share what these leave.
+Documents are ranked by random odds over inclusion odds, u / (1 - u) : p / (1 - p), and taken in that order.
+Ranks are cut into ranges of the ratio. Sums of the ranges tell which range holds the last document taken: only
+the documents of that one are put in order, so that rows move for nothing else and no task orders a whole source.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .packing import word_count
 from .work import documents, stored
 
-#: Source tables up to this many rows are broadcast; larger ones join with salted keys.
+#: Source tables up to this many rows are broadcast and put in order by one task; larger ones join with salted keys.
 BROADCAST_SOURCES = 20_000
 SALTS = 32
+#: Rows of a range about the last document taken, and most ranges of a source.
 RANGE_ROWS = 512
 MAX_RANGES = 65_536
+#: Leading bits of a measure that count, so that a source has at most 8 * 60 measures.
+MEASURE_BITS = 4
 
 
-def source_targets(totals: DataFrame, share: tuple[int, int] = (3, 2), most: int = 2, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """Add ``weight`` and ``target`` to one row per ``source`` with its ``source_size``.
+def ordered_sums(df: DataFrame, order: list[Column], sums: list[str], many: bool) -> DataFrame:
+    """Add ``row``, from 1 in the order, and ``before_c`` for each c of ``sums``: its sum over the rows before.
+
+    ``many``: ranges of the order are sorted apart and offset by the sums of the ranges before, else by one task.
+    """
+    new = lambda w: [F.row_number().over(w).alias("row"), *(F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias(f"before_{c}") for c in sums)]
+    if not many:
+        return df.select("*", *new(Window.orderBy(*order)))
+    parts = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    held = parts.groupBy("__part").agg(F.count("*").alias("__rows"), *(F.sum(c).alias(f"__{c}") for c in sums))  # a row per range
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    names = {"__rows": "row"} | {f"__{c}": f"before_{c}" for c in sums}
+    held = held.select("__part", *(F.coalesce(F.sum(a).over(before), F.lit(0)).alias(a) for a in names))
+    out = parts.select("*", *new(Window.partitionBy("__part").orderBy(*order))).join(F.broadcast(held), "__part")
+    return out.withColumns({b: F.col(b) + F.col(a) for a, b in names.items()}).drop("__part", *names)
+
+
+def source_targets(totals: DataFrame, share: tuple[int, int] = (3, 2), most: int = 2, weights: tuple[int, ...] = (5, 2, 1), many: bool = False) -> DataFrame:
+    """Add ``weight``, ``target`` and ``place`` to one row per ``source`` with its ``source_size``.
 
     Weights repeat over the sources by code point, null last. Targets share share[0]/share[1] of all
     sizes by weight and stop at ``most`` times the source's size, the excess going to the others.
     Sources in order of size to weight: those before the first that can take its part are capped.
     """
     up, down = share
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    t = totals.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int")).cast("long"))
-    order = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    zero = F.lit(0).cast("long")
-    t = t.withColumn("rest", up * F.sum("source_size").over(everything) - most * down * F.coalesce(F.sum("source_size").over(before), zero))  # times down
-    t = t.withColumn("rest_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), zero))
-    t = t.withColumn("place", F.row_number().over(order))
-    free = F.expr(f"{most * down} * source_size * rest_weight >= rest * weight")
-    t = t.withColumn("first", F.min(F.when(free, F.col("place"))).over(everything))
-    for c in ("rest", "rest_weight"):
-        t = t.withColumn(c, F.max(F.when(F.col("place") == F.col("first"), F.col(c))).over(everything))
-    target = F.when(F.col("place") < F.col("first"), (most * F.col("source_size")).cast("double")).otherwise((F.col("rest") * F.col("weight")).cast("double") / (float(down) * F.col("rest_weight")))
-    return t.select("source", "place", "source_size", "rows", "weight", target.alias("target"))
+    t = ordered_sums(totals, [F.col("source").asc_nulls_last()], [], many)
+    t = t.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("row") - 1) % len(weights) + 1).cast("int")).cast("long")).drop("row")
+    t = ordered_sums(t, [(F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], ["source_size", "weight"], many)
+    t = stored(t.withColumnRenamed("row", "place"), "places")
+    whole = t.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    if whole["weight"] is None:
+        return t.select(*totals.columns, "place", "weight", F.lit(0.0).alias("target"))
+    wide = lambda c: (F.col(c) if isinstance(c, str) else c).cast("decimal(20,0)")
+    rest, rest_weight = F.lit(up * whole["size"]) - most * down * F.col("before_source_size"), F.lit(whole["weight"]) - F.col("before_weight")
+    t = t.withColumns({"rest": rest, "rest_weight": rest_weight})  # rest: times down
+    free = t.where(wide(most * down * F.col("source_size")) * F.col("rest_weight").cast("decimal(15,0)") >= wide("rest") * F.col("weight"))
+    first = free.orderBy("place").first() or Row(place=1 << 31, rest=0, rest_weight=1)
+    part = (F.lit(first["rest"]) * F.col("weight")).cast("double") / F.lit(float(down * first["rest_weight"]))
+    return t.select(*totals.columns, "place", "weight", F.when(F.col("place") < first["place"], (most * F.col("source_size")).cast("double")).otherwise(part).alias("target"))
+
+
+def inclusion(classes: DataFrame, sources: DataFrame, many: bool) -> DataFrame:
+    """Add ``__rate``, ``__sure`` and ``__rest`` to ``sources``.
+
+    A document of measure m is certain for the sample if m > ``__sure`` and else in it with probability
+    ``__rate`` * m; ``__rest`` is what the certain ones leave of the words that the sample needs. ``classes``: words of each
+    (source, m). From the largest m down, the first that does not reach 1 is found.
+    """
+    needs = sources.select("__source", "__sid", "__need")
+    c = classes.join(needs if many else F.broadcast(needs), F.col("source").eqNullSafe(F.col("__source")))
+    down = Window.partitionBy("__sid").orderBy(F.desc("m"))
+    above, below = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    c = c.withColumn("left", F.col("__need") - F.coalesce(F.sum("words").over(above), F.lit(0)))
+    c = c.withColumn("moment", F.sum(F.col("m").cast("double") * F.col("words")).over(below))
+    c = c.where((F.col("moment") > 0) & (F.col("left") * F.col("m") < F.col("moment")))
+    c = c.groupBy("__sid").agg(F.max_by(F.struct((F.col("left") / F.col("moment")).alias("__rate"), F.col("m").alias("__sure"), F.col("left").alias("__rest")), "m").alias("x"))
+    return sources.join(c.select("__sid", "x.*"), "__sid", "left")
 
 
 def random_number(id_col: str, seed: int) -> Column:
-    """Between 0 and 1, the same for an id in every run: 52 bits of a digest."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    """Between 0 and 1, the same for an id in every run: 52 bits of a digest. Rows without an id: the same for a size."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.col("size"))))
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", priority: Column | None = None, seed: int = 42, share: tuple[int, int] = (3, 2), most: int = 2, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+def leading(measure: Column) -> Column:
+    """The measure, 1 at least, cut to its MEASURE_BITS leading bits."""
+    x = F.greatest(F.coalesce(measure.cast("long"), F.lit(1)), F.lit(1).cast("long"))
+    shift = F.greatest(F.lit(0), F.length(F.bin(x)) - MEASURE_BITS)
+    return F.call_function("shiftleft", F.call_function("shiftright", x, shift), shift)
+
+
+def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", measure: Column | None = None, seed: int = 42, share: tuple[int, int] = (3, 2), most: int = 2, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """All columns of ``df`` and ``size``, ``source_size``, ``target``, ``copies``, ``taken`` (copies * size) for every row.
 
-    Sizes, ``share``, ``most`` and ``weights`` are those of ``source_targets``. ``priority`` multiplies a row's inclusion odds (null or none: 1). A null source is a source of its
-    own. Repeated rows are sampled one by one; rows with the same id share the random number, ties go by size. Rows of size 0 take
-    no words, whatever their copies. Columns of those names in ``df`` are replaced.
+    Sizes, ``share``, ``most`` and ``weights`` are those of ``source_targets``. ``measure`` (whole numbers; null and less
+    than 1 count as 1; default: the size) sets the odds within a source, by its four leading bits. A null source is a source of its
+    own. Repeated rows are sampled one by one; rows with the same id share the random number, ties go by id and size. Rows of size 0 take
+    no words, whatever their copies. Very long texts are documents like others: the last one may be half beside the target. An
+    empty table gives an empty result. Columns of those names in ``df`` are replaced.
     """
     new = ["size", "source_size", "target", "copies", "taken"]
     own = [c for c in df.columns if c not in new]
-    rows = df.select(*own, size.alias("size"), (F.coalesce(priority, F.lit(1.0)) if priority is not None else F.lit(1.0)).alias("__odds"))
-    totals = rows.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    sources = stored(source_targets(totals, share, most, weights), "sources")
+    rows = df.select(*own, size.alias("size")) if measure is None else df.select(*own, size.alias("size"), measure.alias("__measure"))
+    rows = rows.withColumn("__m", leading(F.col("size" if measure is None else "__measure")))
+    classes = stored(rows.groupBy(F.col(source_col).alias("source"), F.col("__m").alias("m")).agg(F.sum("size").alias("words"), F.count("*").alias("rows")), "measures")
+    totals = stored(classes.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("rows")), "totals")
+    many = totals.count() > BROADCAST_SOURCES
+    sources = source_targets(totals, share, most, weights, many)
     base = F.floor(F.col("target") / F.greatest(F.lit(1), F.col("source_size"))).cast("int")
     sources = sources.withColumn("__base", base).withColumn("__need", F.col("target") - base * F.col("source_size"))
     ranges = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.least(F.lit(float(MAX_RANGES)), F.col("rows") / RANGE_ROWS)))))
     sources = sources.withColumn("__ranges", ranges).drop("rows", "weight").withColumnsRenamed({"source": "__source", "place": "__sid"})
-    if sources.count() <= BROADCAST_SOURCES:
-        rows = rows.join(F.broadcast(sources), F.col(source_col).eqNullSafe(F.col("__source")))
-    else:
-        sources = sources.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__s", F.pmod(F.xxhash64(F.col(id_col), F.col("size")), F.lit(SALTS)).cast("int"))
-        rows = rows.join(sources, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__s") == F.col("__salt"))).drop("__s", "__salt")
-    u, part = random_number(id_col, seed), F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("__need") / F.greatest(F.lit(1), F.col("source_size"))))
-    rows = rows.withColumn("__q", (u / (1 - u)) / (F.col("__odds") * part / (1 - part)))
-    free = F.col("__q") * part / (1 - part)  # without the source's own odds, so that ranges are even
-    rows = rows.withColumn("__range", F.floor(free / (1 + free) * F.col("__ranges")).cast("int"))
-    key = ["__sid", "__range"]
-    sums = rows.groupBy(*key).agg(F.sum("size").alias("__sum"))
-    before = Window.partitionBy("__sid").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*key, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy(*key).orderBy("__q", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(sums, key)
-    taken = (F.col("__need") > 0) & (F.col("__offset") + F.col("__before") + F.col("size") / 2 <= F.col("__need"))
-    copies = (F.col("__base") + F.when(taken, 1).otherwise(0)).cast("long")
-    return rows.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).select(*own, *new)
+    sources = stored(inclusion(classes, sources, many), "sources")
+
+    def ranked(sources: DataFrame) -> DataFrame:
+        """Rows with their source's columns, ``__q``, the ratio by which they are ranked (null: not in the sample), and its range."""
+        if many:
+            side = sources.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            out = rows.withColumn("__s", F.pmod(F.xxhash64(F.col(id_col), F.col("size")), F.lit(SALTS)).cast("int"))
+            out = out.join(side, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__s") == F.col("__salt"))).drop("__s", "__salt")
+        else:
+            out = rows.join(F.broadcast(sources), F.col(source_col).eqNullSafe(F.col("__source")))
+        u, p = random_number(id_col, seed), F.col("__rate") * F.col("__m")
+        out = out.withColumn("__certain", (F.col("__need") > 0) & (F.col("__m") > F.col("__sure")))
+        out = out.withColumn("__q", F.when((F.col("__rate") > 0) & ~F.col("__certain"), u / (1 - u) * ((1 - p) / p)))
+        return out.withColumn("__range", F.floor(F.col("__q") / (1 + F.col("__q")) * F.col("__ranges")).cast("int"))
+
+    sums = ranked(sources).where("__q IS NOT NULL").groupBy("__sid", "__rest", "__range").agg(F.sum("size").alias("sum"))
+    sums = sums.withColumn("to", F.sum("sum").over(Window.partitionBy("__sid").orderBy("__range")))
+    last = sums.where("to > __rest").groupBy("__sid").agg(F.min_by(F.struct(F.col("__range").alias("__last"), (F.col("to") - F.col("sum")).alias("__offset")), "__range").alias("x"))
+    sources = stored(sources.join(last.select("__sid", "x.*"), "__sid", "left"), "lasts")
+
+    out = ranked(sources)
+    at_last = F.coalesce(F.col("__range") == F.col("__last"), F.lit(False))
+    order = Window.partitionBy("__sid").orderBy("__q", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__offset") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    ordered = out.where(at_last).withColumn("__in", before + F.col("size") / 2 <= F.col("__rest"))
+    clear = out.where(~at_last).withColumn("__in", F.coalesce(F.col("__certain"), F.lit(False)) | (F.col("__q").isNotNull() & (F.col("__last").isNull() | (F.col("__range") < F.col("__last")))))
+    copies = (F.col("__base") + F.when(F.col("__in"), 1).otherwise(0)).cast("long")
+    out = clear.unionByName(ordered)
+    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).select(*own, *new)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +158,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM documents
+  SELECT doc_id, source, size, (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null:' || size)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
+         greatest(size, 1) AS x, greatest(length(bin(greatest(size, 1))) - 4, 0)::BIGINT AS shift
+  FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM d GROUP BY source
 ), w AS (
@@ -119,12 +180,22 @@ WITH d AS (
   FROM r, f
 ), b AS (
   SELECT *, CASE WHEN target >= 2 * source_size THEN 2 WHEN target >= source_size THEN 1 ELSE 0 END AS base FROM t
+), m AS (  -- each document with its measure, whose rows of the same or a smaller one have this moment and whose larger ones these words
+  SELECT d.*, (x >> shift) << shift AS m, source_size, target, base, target - base * source_size AS need FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+), p AS (
+  SELECT source, m, need - coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest,
+         sum(m::DOUBLE * words) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS moment
+  FROM (SELECT source, m, need, sum(size)::BIGINT AS words FROM m GROUP BY ALL) WINDOW o AS (PARTITION BY source ORDER BY m DESC)
+), i AS (
+  SELECT source, max_by(rest / moment, m) AS rate, max(m) AS sure, max_by(rest, m) AS rest FROM p WHERE moment > 0 AND rest * m < moment GROUP BY source
+), q AS (
+  SELECT m.*, rate, sure, rest, need > 0 AND m > sure AS certain,
+         CASE WHEN rate > 0 AND NOT (need > 0 AND m > sure) THEN u / (1.0::DOUBLE - u) * ((1.0::DOUBLE - rate * m) / (rate * m)) END AS ratio
+  FROM m LEFT JOIN i ON m.source IS NOT DISTINCT FROM i.source
 ), c AS (
-  SELECT d.doc_id, d.size, b.source_size, b.target, b.base, b.target - b.base * b.source_size AS need,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, ratio IS NULL ORDER BY ratio, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q
 ), e AS (
-  SELECT *, (base + CASE WHEN need > 0 AND before + size / 2.0 <= need THEN 1 ELSE 0 END)::BIGINT AS copies FROM c
+  SELECT *, (base + CASE WHEN coalesce(certain, false) OR (ratio IS NOT NULL AND before + size / 2.0::DOUBLE <= rest) THEN 1 ELSE 0 END)::BIGINT AS copies FROM c
 )
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM e
 """
