@@ -89,7 +89,7 @@ class _Items(HTMLParser):
     their alt text. Without such media it is a text where it stands. It ends with the figure or the page at the latest.
     """
 
-    SKIP = {"script", "style", "template"}
+    SKIP = {"script", "style", "template", "title"}
     BLOCK = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "br", "section", "article", "figure", "figcaption", "table", "ul", "ol", "body", "td", "th", "pre", "blockquote"}
     MEDIA = {"img": "src", "video": "src", "audio": "src", "source": "src", "object": "data"}
 
@@ -99,6 +99,8 @@ class _Items(HTMLParser):
         self.text: list[str] = []
         self.skip = 0
         self.figures: list[_Figure] = []
+        self.picture: list[str] | None = None  # what an open picture offers besides its image
+        self.shown = False  # its image has come
 
     def add(self, kind: str, **values: str | None) -> dict:
         self.items.append({"position": 0, "kind": kind, "text": None, "digest": None, "caption": None} | values)
@@ -134,6 +136,7 @@ class _Items(HTMLParser):
 
     def end_page(self) -> list[dict]:
         self.close()
+        self.end_picture()
         self.flush()
         while self.figures:
             self.end_figure()
@@ -155,14 +158,29 @@ class _Items(HTMLParser):
             self.end_caption()
             self.figures[-1].said.append(self.add("caption"))
             self.figures[-1].caption = []
+        if tag == "picture":
+            self.end_picture()
+            self.picture, self.shown = [], False
         if tag in self.MEDIA:
             at = dict(attrs)
-            ref = at.get(self.MEDIA[tag]) or ""
-            if ref:
-                self.flush()
-                item = self.add("media", digest=ref.removeprefix(SCHEME), caption=at.get("alt"))
-                if self.figures:
-                    self.figures[-1].media.append(item)
+            ref = at.get(self.MEDIA[tag]) or ((at.get("srcset") or "").split() or [""])[0].rstrip(",")
+            if ref and tag == "source" and self.picture is not None:
+                self.picture.append(ref)
+            elif ref:
+                self.add_media(ref, at.get("alt"))
+                self.shown = self.shown or tag == "img"
+
+    def add_media(self, ref: str, caption: str | None) -> None:
+        self.flush()
+        item = self.add("media", digest=ref.removeprefix(SCHEME), caption=caption)
+        if self.figures:
+            self.figures[-1].media.append(item)
+
+    def end_picture(self) -> None:
+        """A picture is one item: its image, or what it offers first."""
+        if self.picture and not self.shown:
+            self.add_media(self.picture[0], None)
+        self.picture = None
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIP:
@@ -171,9 +189,12 @@ class _Items(HTMLParser):
             self.flush()
             if (caption := self.open_caption()) is not None:
                 caption.append(" ")
+        if tag == "picture":
+            self.end_picture()
         if tag == "figcaption" and self.figures:
             self.end_caption()
         if tag == "figure" and self.figures:
+            self.end_picture()
             self.end_figure()
 
     def handle_data(self, data: str) -> None:
@@ -189,7 +210,10 @@ def parse_items(page: str | None) -> list[dict]:
 
 
 def html_items(df: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
-    """Per row ``id_col`` and ``items``, an array of ITEM in document order; empty for a null or empty page."""
+    """Per row ``id_col`` and ``items``, an array of ITEM in document order; empty for a null or empty page.
+
+    Very long pages are parsed whole. Repeated rows and null ids give a row each, an empty table an empty result; other columns are ignored.
+    """
     item = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,41 +241,69 @@ def media_facts(media: DataFrame) -> DataFrame:
     return facts.groupBy("digest").agg(*(F.min(c).alias(c) for c in names[1:]))  # equal digests have equal payloads
 
 
-def resolve(items: DataFrame, id_col: str, facts: DataFrame) -> DataFrame:
-    """One row per item in ``items``: ``id_col``, ``position``, ``kind``, ``text``, ``digest``, ``caption`` and the media's columns.
+def resolve(items: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row per item in ``items``: its other columns, ``position``, ``kind``, ``text``, ``digest``, ``caption`` and the media's columns.
 
-    Media references without a media row, and text, have nulls there. ``position`` orders a document's items.
+    Media references without a media row, and text, have nulls there. ``position`` orders a document's items. Only
+    references meet the media table: text, which has no digest, is not shuffled.
     """
-    each = items.select(F.col(id_col), F.explode("items").alias("i")).select(id_col, "i.*")
-    return each.join(facts, "digest", "left").select(id_col, "position", "kind", "text", "digest", "caption", *[c for c in facts.columns if c != "digest"])
+    others = [c for c in items.columns if c != "items"]
+    each = items.select(*others, F.explode("items").alias("i")).select(*others, "i.*")
+    refs = each.where("kind = 'media'").join(facts, "digest", "left")
+    return refs.unionByName(each.where("kind <> 'media'"), allowMissingColumns=True).select(*each.columns, *[c for c in facts.columns if c != "digest"])
+
+
+def digest_of(data: bytes, payload: bytes) -> str:
+    return hashlib.sha256(payload).hexdigest() + f"-{len(data)}"
+
+
+def page_of(text: str) -> str:
+    """The lines of a text as paragraphs, and after the first an image of the whole text, its caption on either side."""
+    data = text.encode()
+    ref = f'<img src="{SCHEME}{digest_of(data, padded(data))}" alt="page image">'
+    said = f"<figcaption>{len(data)} bytes</figcaption>"
+    first, *rest = [f"<p>{html.escape(line)}</p>" for line in text.split("\n")]
+    return f"<article>{first}<figure>{said + ref if len(data) % 2 else ref + said}</figure>{''.join(rest)}</article>"
 
 
 def document_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A page per row that shows its text as an image, and that image: ``id_col``, ``html``, ``digest``, ``n_bytes``, ``stored``.
+    """``id_col`` and ``html``, a page per row that shows its text as paragraphs and as an image. A null text counts as empty."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([page_of(t or "") for t in batch.column(1).to_pylist()], pa.string())], names=[id_col, "html"])
+
+    part = df.select(F.col(id_col), F.col(text_col).alias("__text"))
+    return map_arrow(part, run, f"`{id_col}` {part.schema[0].dataType.simpleString()}, html string")
 
-    A null text counts as empty.
-    """
+
+def text_media(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The media table of the texts' images: ``digest``, ``n_bytes``, ``stored``. Equal texts of a partition give one row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for batch in batches:
-            pages, digests, sizes, images = [], [], [], []
-            for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            digests, sizes, images = [], [], []
+            for text in batch.column(0).to_pylist():
                 data = (text or "").encode()
                 payload = padded(data)
-                digests.append(hashlib.sha256(payload).hexdigest() + f"-{len(data)}")
-                pages.append(f'<article><h1>{html.escape(str(name))}</h1><figure><img src="{SCHEME}{digests[-1]}" alt="page image"><figcaption>{len(data)} bytes</figcaption></figure></article>')
-                sizes.append(len(data))
-                images.append(to_png(payload))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages), pa.array(digests), pa.array(sizes, pa.int64()), pa.array(images, pa.binary())], names=[id_col, "html", "digest", "n_bytes", "stored"])
+                digest = digest_of(data, payload)
+                if digest not in seen:
+                    seen.add(digest)
+                    digests.append(digest)
+                    sizes.append(len(data))
+                    images.append(to_png(payload))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(images, pa.binary())], names=["digest", "n_bytes", "stored"])
 
-    part = df.select(F.col(id_col), F.col(text_col).alias("__text"))
-    return map_arrow(part, run, f"`{id_col}` {part.schema[0].dataType.simpleString()}, html string, digest string, n_bytes bigint, stored binary")
+    return map_arrow(df.select(F.col(text_col).alias("__text")), run, "digest string, n_bytes bigint, stored binary")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's payload as stored in the media table and resolved through its page's reference."""
-    pages = stored(document_pages(documents(spark, sf_dir)), "media")
-    facts = stored(media_facts(pages), "facts")
-    items = html_items(pages, "doc_id")
-    found = resolve(items, "doc_id", facts).where("kind = 'media'")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    """Every document's payload as stored in the media table and resolved through its page's reference, with its place in the page's sequence."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    facts = stored(media_facts(stored(text_media(docs), "media")), "facts")
+    items = html_items(document_pages(docs), "doc_id")
+    texts = F.transform(F.filter("items", lambda i: i["kind"] == "text"), lambda i: i["text"])
+    items = items.select("doc_id", F.size("items").alias("n_items"), F.sha2(F.array_join(texts, "\n"), 256).alias("items_sha256"), F.filter("items", lambda i: i["kind"] == "media").alias("items"))
+    found = resolve(items, facts)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "items_sha256")

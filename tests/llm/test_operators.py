@@ -6,6 +6,7 @@ import math
 import re
 import time
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -188,33 +189,78 @@ def test_html_items():
     assert media.parse_items(None) == media.parse_items("") == []
 
 
-def test_resolved_sequences(spark):
-    docs = spark.createDataFrame([(1, "one"), (2, "two"), (3, "one")], "doc_id long, text string")
-    pages = media.document_pages(docs)
-    digest = {r.doc_id: r.digest for r in pages.collect()}
-    html = spark.createDataFrame([(7, f"<p>a</p><img src='{digest[1]}' alt='x'><p>b</p><img src='{digest[2]}'><img src='gone'>"), (8, None)], "page long, html string")
-    got = media.resolve(media.html_items(html, "page"), "page", media.media_facts(pages)).orderBy("page", "position").collect()
+def test_pictures_without_src():
+    refs = lambda page: [(i["digest"], i["caption"]) for i in media.parse_items(page) if i["kind"] == "media"]
+    assert refs("<img srcset='a.png 1x, b.png 2x' alt=A>") == [("a.png", "A")]
+    assert refs("<picture><source srcset='w.webp'><source srcset=x.avif><img src=a alt=A></picture><img src=b>") == [("a", "A"), ("b", None)]
+    assert refs("<figure><picture><source srcset='w.webp, v.webp 2x'></picture><figcaption>C</figcaption></figure>") == [("w.webp", "C")]
+    assert refs("<picture><source srcset=w>") == [("w", None)] and refs("<video><source src=v.mp4></video>") == [("v.mp4", None)]
+
+
+def test_pages_of_the_web(spark, small):
+    """The text of the given pages, against tags cut out by pattern."""
+    block = "|".join(sorted(media._Items.BLOCK, key=len, reverse=True))
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in media.html_items(pages, "page_id").collect():
+        text = re.sub(r"(?s)<!--.*?-->|<(script|style|title)\b.*?</\1>|<!.*?>", "", html[r.page_id] or "")
+        parts = re.split(rf"</?(?:{block})\b[^>]*>", text)
+        want = [" ".join(unescape(re.sub("<[^>]*>", "", x)).split()) for x in parts]
+        assert [i.text for i in r.items] == [x for x in want if x] and [i.position for i in r.items] == list(range(len(r.items)))
+
+
+def test_resolved_sequences(spark, none, odd, clashing):
+    docs = spark.createDataFrame([(1, "one"), (2, "two"), (3, "one")], "doc_id long, text string").coalesce(1)
+    table = media.text_media(docs)
+    digest = {r.n_bytes: r.digest for r in table.collect()}
+    assert table.count() == 2 and len(digest) == 1  # equal texts are stored once
+    one, two = sorted(r.digest for r in table.collect())
+    html = spark.createDataFrame([(7, f"<p>a</p><img src='{one}' alt='x'><p>b</p><img src='{two}'><img src='gone'>", 5), (8, None, 6)], "page long, html string, extra long")
+    got = media.resolve(media.html_items(html, "page"), media.media_facts(table)).orderBy("page", "position").collect()
     assert [(r.page, r.position, r.kind, r.text, r.caption, r.n_bytes) for r in got] == [(7, 0, "text", "a", None, None), (7, 1, "media", None, "x", 3), (7, 2, "text", "b", None, None), (7, 3, "media", None, None, 3), (7, 4, "media", None, None, None)]
+    assert rows_of(media.html_items(none, "doc_id", "text")) == rows_of(media.document_pages(none)) == rows_of(media.text_media(none)) == []
+    assert rows_of(media.resolve(media.html_items(none, "doc_id", "text"), media.media_facts(media.text_media(none)))) == []
+    for df in (odd, clashing):
+        assert media.document_pages(df).count() == media.html_items(df, "doc_id", "text").count() == odd.count()
+
+
+def plain_png(payload):
+    """The samples of an image, chunk by chunk, for the digest of what was stored."""
+    lines = b"".join(b"\0" + payload[i : i + 576] for i in range(0, len(payload), 576))
+    chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (576).to_bytes(4, "big") + (len(payload) // 576).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(lines, 1)) + chunk(b"IEND", b"")
+
+
+def plain_feature(payload):
+    n = len(payload)
+    mean = sum(payload) / n
+    cuts = [int(i * n / 72) for i in range(72)] + [n]
+    cells = [sum(payload[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    bits = "".join("1" if cells[9 * y + x + 1] > cells[9 * y + x] else "0" for y in range(8) for x in range(8))
+    return n // 576, mean, math.sqrt(sum((x - mean) ** 2 for x in payload) / n), f"{int(bits, 2):016x}"
 
 
 def check_media(df, rows):
-    got = collections.Counter()
-    by_text = collections.defaultdict(set)
+    got, want = collections.Counter(), collections.Counter()
     for r in df.collect():
-        got[r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32] += 1
-        by_text[r.payload_sha256, r.n_bytes].add((r.media_bytes, r.media_sha256, r.feature))
-    want = collections.Counter()
+        height, mean, deviation, bits = r.feature.split(":")
+        got[(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, int(height), round(float(mean), 2), round(float(deviation), 2), bits, r.position, r.caption, r.n_items, r.items_sha256)] += 1
     for i, t in rows:
         data = (t or "").encode()
         payload = data + b"\xff" * (-len(data) % 576 if data else 576)
-        want[i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])] += 1
-    assert got == want and all(len(x) == 1 for x in by_text.values())
+        png, (height, mean, deviation, bits) = plain_png(payload), plain_feature(payload)
+        lines = [" ".join(x.split()) for x in (t or "").split("\n")]
+        shown = [x for x in lines if x]
+        want[(i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), height, round(mean, 2), round(deviation, 2), bits, int(bool(lines[0])), f"{len(data)} bytes", len(shown) + 1, hashlib.sha256("\n".join(shown).encode()).hexdigest())] += 1
+    assert got == want
 
 
-def test_media_query(spark, odd, small, tmp_path):
+def test_media_query(spark, odd, none, small, tmp_path):
     odd.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     check_media(queries.QUERIES["op4_media_columns"](spark, str(tmp_path)), [(r.doc_id, r.text) for r in odd.collect()])
     check_media(queries.QUERIES["op4_media_columns"](spark, small), texts(spark, small).items())
+    none.write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert rows_of(queries.QUERIES["op4_media_columns"](spark, f"{tmp_path}/empty")) == []
 
 
 # 5 secret scans
