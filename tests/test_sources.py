@@ -11,7 +11,7 @@ from lodeweave.operators import predicates as P
 from lodeweave.sources import files as S
 from lodeweave.sources import records as R
 from lodeweave.sources import tables as T
-from lodeweave.sources.worktables import application_folder, drop_work_tables, stored
+from lodeweave.sources.worktables import application_folder, drop_work_tables, scratch, shared_folder, stored
 
 
 @pytest.fixture
@@ -107,3 +107,29 @@ def test_work_tables_can_be_dropped(spark):
     assert os.path.isdir(folder)
     drop_work_tables(spark)
     assert not os.path.exists(folder)
+
+
+def test_scratch_tables_go(spark):
+    with scratch(spark) as paths:
+        gone, kept = stored(spark.range(3), "gone"), stored(spark.range(4), "kept")
+        assert gone.count() == 3
+        mine = paths.pop()
+    assert kept.count() == 4 and os.path.exists(mine.removeprefix("file://")) and not os.path.exists(paths[0].removeprefix("file://"))
+    with pytest.raises(RuntimeError), scratch(spark) as paths:
+        stored(spark.range(3), "gone")
+        raise RuntimeError
+    assert not os.path.exists(paths[0].removeprefix("file://"))
+
+
+def test_clusters_need_a_shared_folder():
+    class Fake:
+        conf = {}
+
+        def __init__(self, master):
+            self.sparkContext = type("C", (), {"master": master})
+
+    for master in ("yarn", "spark://x:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(Fake(master))
+    for master in ("local", "local[*]", "local[8]", "local[8, 2]"):
+        assert shared_folder(Fake(master)).startswith("file://")
