@@ -8,7 +8,9 @@ Runs repeat until a pair at the threshold meets with the target recall.
 
 Compared pairs pass a loose test on one byte of each min-hash and join nodes into candidate
 components; inside these, links are verified on the exact shingle sets and counted, never listed.
-Components and paths too large for one task are cut into blocks and every pair of blocks is a task.
+Components and paths too large for one task are cut into blocks, those of components by size of the set, and every
+pair of blocks that can hold a link is a task. A class of n texts of like size costs n * n comparisons in
+n * n / BLOCK_NODES ** 2 tasks: as many links exist where they are near copies of one text, but not in chains.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ RECALL = 0.999
 DEPTH = 3
 SMALL = 200
 #: Nodes of a path in one task; nodes and shingles of a component's block.
-PATH_BLOCK, BLOCK_NODES, BLOCK_SHINGLES = 8192, 2048, 2_000_000
+PATH_BLOCK, BLOCK_NODES, BLOCK_SHINGLES = 8192, 256, 2_000_000
 #: Candidate keys up to this many rows are broadcast to the scan of the texts.
 BROADCAST_ROWS = 200_000
 
@@ -246,6 +248,30 @@ def in_blocks(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
     return rows.withColumn("task", F.xxhash64(F.col(key), F.least("block", "__other"), F.greatest("block", "__other"))).drop("__n", "__other")
 
 
+def size_blocks(members: DataFrame, threshold: Fraction) -> DataFrame:
+    """Add ``block`` and ``blocks`` to the nodes (c, v, n) of components: where each stands, and the blocks that it must meet, its own included.
+
+    A component of one block is one task. Larger ones are cut into classes of size so that linked sets are in one class or in
+    neighbouring ones, and classes into blocks of BLOCK_NODES nodes: blocks of classes further apart never meet.
+    """
+    base = math.log(1.01 / float(threshold))
+    members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / base).cast("int"))
+    need = lambda: F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    bands = members.groupBy("c", "band").agg(need().alias("own"), F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+    whole = bands.groupBy("c").agg(F.ceil(F.greatest(F.sum("nodes") / BLOCK_NODES, F.sum("shingles") / BLOCK_SHINGLES)).alias("whole"))
+    bands = bands.join(whole, "c").where("whole > 1").select("c", "band", "own")
+    near = bands.select("c", (F.col("band") - 1).alias("band"), F.col("own").alias("above")).unionByName(bands.select("c", (F.col("band") + 1).alias("band"), F.col("own").alias("below")), allowMissingColumns=True)
+    near = near.groupBy("c", "band").agg(F.max("above").alias("above"), F.max("below").alias("below"))
+    bands = bands.join(near, ["c", "band"], "left").withColumnRenamed("c", "__c").withColumnRenamed("band", "__band")
+    out = members.join(bands, (F.col("c") == F.col("__c")) & (F.col("band") == F.col("__band")), "left")
+    # a block's number: its class and its place there; one block: no class
+    number = lambda band, i: (F.col("band") + band).cast("long") * (1 << 32) + i
+    mine = F.when(F.col("own").isNull(), F.lit(0).cast("long")).otherwise(number(0, F.pmod(F.xxhash64("v"), F.col("own"))))
+    row = lambda band, n: F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: number(band, i))).otherwise(F.array().cast("array<bigint>"))
+    met = F.when(F.col("own").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.concat(row(-1, "below"), row(0, "own"), row(1, "above")))
+    return out.withColumn("block", mine).withColumn("blocks", met).drop("band", "own", "above", "below", "__c", "__band")
+
+
 def _sketch_edges(threshold: Fraction):
     j = float(threshold)
     least = math.floor(SIZE * j - 4.5 * math.sqrt(SIZE * j * (1 - j)))
@@ -300,7 +326,7 @@ def _verify(threshold: Fraction, words: int):
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: Fraction = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, small: int = SMALL, broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: Fraction = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, small: int = SMALL, broadcast_rows: int = BROADCAST_ROWS, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Per row: ``id_col``, ``text_hash``, ``class_id``, ``n_links``, ``n_texts``, ``copies``, ``kept``.
 
@@ -308,7 +334,8 @@ def near_duplicates(
     to it directly, copies included; ``n_texts``: other shingle sets linked; ``copies``: rows with an
     equal set. One row of each class is kept: that with the smallest id (nulls last), of rows with equal
     id and text any one. Rows without a word (null and empty texts) link to none and are kept, each a class of its own
-    (class_id: own id). Rows of fewer than ``words`` words have one shingle. Other columns are ignored.
+    (class_id: own id). Rows of fewer than ``words`` words have one shingle. Very long texts are shingled whole. An empty table gives an
+    empty result. Columns of ``carry`` come along, for a row id; others are ignored, whatever their names.
     ``text_hash``: xxhash64 of the text, to find the row again where ids repeat.
     """
     t = Fraction(threshold)
@@ -317,13 +344,14 @@ def near_duplicates(
         for batch in batches:
             sets = [shingles(x, words) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array([min_hashes(s).tobytes() if len(s) else b"" for s in sets], pa.binary())],
-                names=["id", "text_hash", "n", "digest", "signature"],
+                [batch.column(0), batch.column(1), *batch.columns[3:], pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array([min_hashes(s).tobytes() if len(s) else b"" for s in sets], pa.binary())],
+                names=["id", "text_hash", *carried, "n", "digest", "signature"],
             )
 
-    part = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    kind = part.schema[0].dataType.simpleString()
-    rows = stored(map_arrow(part, sign, f"id {kind}, text_hash bigint, n bigint, digest string, signature binary"), "signatures")
+    carried = [f"__carry{i}" for i in range(len(carry))]
+    part = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"), *(F.col(c).alias(h) for c, h in zip(carry, carried, strict=True)))
+    kinds = {f.name: f.dataType.simpleString() for f in part.schema}
+    rows = stored(map_arrow(part, sign, f"id {kinds['id']}, text_hash bigint, {''.join(f'{h} {kinds[h]}, ' for h in carried)}n bigint, digest string, signature binary"), "signatures")
 
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_hash").alias("hash")))
     nodes = rows.where("n > 0").groupBy("digest", "n").agg(first.alias("first"), F.count("*").alias("weight"), F.first("signature").alias("signature"))
@@ -366,12 +394,12 @@ def near_duplicates(
 
     members = tree.select("v", F.col("u").alias("c")).unionByName(tree.select(F.col("u").alias("v"), F.col("u").alias("c")).distinct())
     members = members.join(nodes.select("v", "n", "weight", "first.id", "first.hash"), "v")
-    sizes = members.groupBy("c").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    keys = stored(members.join(sizes, "c").select("c", "v", "weight", "blocks", "id", F.col("hash").alias("text_hash")), "candidates")
-    found = part.withColumnRenamed("id", "own").withColumnRenamed("text_hash", "own_hash")
+    keys = stored(size_blocks(members, t).select("c", "v", "weight", "block", "blocks", "id", F.col("hash").alias("text_hash")), "candidates")
+    found = part.select(F.col("id").alias("own"), F.col("text_hash").alias("own_hash"), "text")
     side = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
     found = found.join(side, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")))
-    tasks = in_blocks(found.select("c", "v", "weight", "blocks", "text"), "c", F.col("blocks")).select("task", "v", "block", "weight", "text")
+    each = found.select("c", "v", "weight", "block", F.explode("blocks").alias("other"), "text")
+    tasks = each.select(F.xxhash64("c", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "v", "block", "weight", "text")
     links = map_arrow(tasks.repartition("task").sortWithinPartitions("task"), _verify(t, words), "v bigint, texts bigint, docs bigint, u bigint")
     links = stored(links, "links")
     degrees = links.groupBy("v").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
@@ -380,7 +408,7 @@ def near_duplicates(
     known = nodes.select("digest", "n", "v", "weight", "first").join(degrees, "v", "left").join(tree, "v", "left").withColumn("c", F.coalesce("u", "v"))
     firsts = known.groupBy("c").agg(F.min("first").alias("class_first"))
     known = stored(known.join(firsts, "c").select("digest", "n", "weight", "texts", "docs", "class_first"), "classes")
-    out = rows.select("id", "text_hash", "n", "digest").join(known, ["digest", "n"], "left")
+    out = rows.select("id", "text_hash", *carried, "n", "digest").join(known, ["digest", "n"], "left")
     own = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_hash").alias("hash"))
     turn = Window.partitionBy("id", "text_hash", "digest").orderBy(F.lit(1))
     kept = (F.col("n") == 0) | (F.col("class_first").eqNullSafe(own) & (F.row_number().over(turn) == 1))
@@ -392,6 +420,7 @@ def near_duplicates(
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"),
         F.coalesce("weight", F.lit(1)).cast("long").alias("copies"),
         kept.alias("kept"),
+        *(F.col(h).alias(c) for c, h in zip(carry, carried, strict=True)),
     )
 
 

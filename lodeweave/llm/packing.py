@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .work import documents, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: The offsets table has at most buckets * MAX_SHARDS rows, small enough to broadcast at any input size.
-MAX_SHARDS = 1024
+#: The offsets table has at most buckets * MAX_SHARDS rows of 16 bytes, small enough to broadcast at any input size.
+MAX_SHARDS = 65_536
 SHARD_ROWS = 256
 
 
@@ -56,7 +56,7 @@ def pack(df: DataFrame, length: Column, id_col: str = "doc_id", buckets: int = 8
     A row longer than ``max_length`` gives consecutive pieces of ``max_length`` and a rest; every other
     row gives one piece, of length 0 for an empty or null text. Nothing is dropped; repeated rows and null ids are sequences of
     their own. A batch holds at most ``budget // bound`` sequences (one at least), so bound * sequences
-    stays within the budget unless one bound alone exceeds it. Other columns are ignored.
+    stays within the budget unless one bound alone exceeds it. An empty table gives an empty result. Other columns are ignored.
     """
     rows = stored(df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), length.cast("long").alias("n")), "lengths")
     last = F.greatest(F.lit(0), F.expr(f"(n - 1) div {max_length}")).cast("int")

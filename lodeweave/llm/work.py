@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.partitions import spread
-from ..sources.worktables import shared_folder, stored
+from ..sources.worktables import scratch, shared_folder, stored
 
-__all__ = ["documents", "map_arrow", "shared_folder", "stored"]
+__all__ = ["documents", "map_arrow", "scratch", "shared_folder", "stored"]
 
 #: Rows that a function sees at a time. Spark bounds the bytes of what it sends (``arrow.maxBytesPerBatch``, 64 MB).
 ARROW_ROWS = 512

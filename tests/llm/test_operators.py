@@ -6,6 +6,7 @@ import math
 import re
 import time
 import zlib
+from fractions import Fraction
 from html import unescape
 
 import numpy as np
@@ -561,6 +562,30 @@ def test_ngram_join(spark, odd, clashing, none, small):
     check_join(queries.QUERIES["op8_ngram_join"](spark, small), list(texts(spark, small).items()))
 
 
+def test_ngram_join_of_a_chain(spark, monkeypatch):
+    """Texts that grow: neighbours are linked, the ends are not, and blocks of classes of size far apart never meet."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 10)
+    words = [f"w{i}" for i in range(600)]
+    rows = [(i, " ".join(words[: 40 + 4 * i])) for i in range(120)] + [(200 + i, " ".join(words[: 40 + 4 * i]) + " end") for i in range(0, 120, 7)]
+    check_join(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    members = spark.createDataFrame([(1, i, 40 + 4 * i) for i in range(120)] + [(2, 500, 30), (2, 501, 41)], "c long, v long, n long")
+    met = ngram_join.size_blocks(members, Fraction(4, 5)).collect()
+    at = {r.v: r for r in met}
+    assert at[500].blocks == at[501].blocks == [at[500].block] == [at[501].block]
+    for a in met:
+        for b in met:
+            if a.c == b.c == 1:
+                assert (b.block in a.blocks) == (a.block in b.blocks)
+                if 5 * min(a.n, b.n) >= 4 * max(a.n, b.n):
+                    assert b.block in a.blocks
+    assert at[119].block not in at[0].blocks
+
+
+def test_carried_columns(spark, odd):
+    out = ngram_join.near_duplicates(odd.withColumn("n", F.lit("mine")), carry=("n", "n_chars"))
+    assert collections.Counter((r.doc_id, r.n, r.n_chars) for r in out.collect()) == collections.Counter((r.doc_id, "mine", r.n_chars) for r in odd.collect())
+
+
 def test_ngram_join_in_blocks(spark, monkeypatch):
     """Large groups of near copies, with paths split and components cut into many blocks."""
     monkeypatch.setattr(ngram_join, "PATH_BLOCK", 50)

@@ -60,6 +60,29 @@ def test_stages_one_after_another(spark, small):
     check_packing(C.packed(spark, mixed, small), [(r.doc_id, r.text) for r in mixed.collect()], 2048, 65_536)
 
 
+def test_dropped_rows_by_shuffle(spark, odd, monkeypatch):
+    """Lists of dropped rows that are too long to broadcast; rows that come from files, from a plan and from memory."""
+    files = stored(odd, "odd")
+    for stage in (C.exact, C.near):
+        want = rows_of(stage(spark, files, ""))
+        with monkeypatch.context() as m:
+            m.setattr(C, "BROADCAST_ROWS", 0)
+            for docs in (files, files.where("true"), odd):
+                assert rows_of(stage(spark, docs, "")) == want
+    repeated = files.unionAll(files)
+    assert rows_of(C.exact(spark, repeated, "")) == rows_of(C.exact(spark, files, ""))
+
+
+def test_packing_is_optimal_for_its_own_histogram(spark, small):
+    rows = C.packed(spark, documents(spark, small), small).collect()
+    held = sorted(collections.Counter(r.length for r in rows).items())
+    padding = [[sum((held[i][0] - x) * n for x, n in held[j : i + 1]) for j in range(i + 1)] for i in range(len(held))]
+    best = [row[0] for row in padding]  # by last length: the least with one bucket, then with one more each time
+    for _ in range(7):
+        best = [min([best[i], *(best[j - 1] + padding[i][j] for j in range(1, i + 1))]) for i in range(len(held))]
+    assert sum(r.padding for r in rows) == best[-1]
+
+
 def test_run(spark, small):
     out = C.run(spark, small)
     assert out.columns == ["doc_id", "piece", "start", "length", "bucket", "bound", "batch", "slot", "padding"]
