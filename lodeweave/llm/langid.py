@@ -217,13 +217,14 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", least: float |
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     own = [c for c in df.columns if c not in names]
-    part = df.select(*own, F.col(text_col).alias("__text"))
     n = len(own)
+    at = own.index(text_col) if text_col in own else n
+    part = df.select(*own, *([F.col(text_col).alias("__text")] if at == n else []))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = m.predict(batch.column(n).to_pylist())
+            found = m.predict(batch.column(at).to_pylist())
             out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*own, *names])
             yield out if least is None else out.filter(pa.array([f[0] != "und" and f[1] >= least for f in found], pa.bool_()))
 
