@@ -248,7 +248,7 @@ def in_blocks(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
     return rows.withColumn("task", F.xxhash64(F.col(key), F.least("block", "__other"), F.greatest("block", "__other"))).drop("__n", "__other")
 
 
-def size_blocks(members: DataFrame, threshold: Fraction) -> DataFrame:
+def size_blocks(members: DataFrame, threshold: Fraction, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add ``block`` and ``blocks`` to the nodes (c, v, n) of components: where each stands, and the blocks that it must meet, its own included.
 
     A component of one block is one task. Larger ones are cut into classes of size so that linked sets are in one class or in
@@ -262,7 +262,8 @@ def size_blocks(members: DataFrame, threshold: Fraction) -> DataFrame:
     bands = bands.join(whole, "c").where("whole > 1").select("c", "band", "own")
     near = bands.select("c", (F.col("band") - 1).alias("band"), F.col("own").alias("above")).unionByName(bands.select("c", (F.col("band") + 1).alias("band"), F.col("own").alias("below")), allowMissingColumns=True)
     near = near.groupBy("c", "band").agg(F.max("above").alias("above"), F.max("below").alias("below"))
-    bands = bands.join(near, ["c", "band"], "left").withColumnRenamed("c", "__c").withColumnRenamed("band", "__band")
+    bands = stored(bands.join(near, ["c", "band"], "left").withColumnRenamed("c", "__c").withColumnRenamed("band", "__band"), "bands")
+    bands = F.broadcast(bands) if bands.count() <= broadcast_rows else bands  # classes of large components only
     out = members.join(bands, (F.col("c") == F.col("__c")) & (F.col("band") == F.col("__band")), "left")
     # a block's number: its class and its place there; one block: no class
     number = lambda band, i: (F.col("band") + band).cast("long") * (1 << 32) + i
@@ -394,7 +395,7 @@ def near_duplicates(
 
     members = tree.select("v", F.col("u").alias("c")).unionByName(tree.select(F.col("u").alias("v"), F.col("u").alias("c")).distinct())
     members = members.join(nodes.select("v", "n", "weight", "first.id", "first.hash"), "v")
-    keys = stored(size_blocks(members, t).select("c", "v", "weight", "block", "blocks", "id", F.col("hash").alias("text_hash")), "candidates")
+    keys = stored(size_blocks(members, t, broadcast_rows).select("c", "v", "weight", "block", "blocks", "id", F.col("hash").alias("text_hash")), "candidates")
     found = part.select(F.col("id").alias("own"), F.col("text_hash").alias("own_hash"), "text")
     side = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
     found = found.join(side, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")))
