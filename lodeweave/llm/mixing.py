@@ -111,7 +111,8 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     own = [c for c in df.columns if c not in new]
     rows = df.select(*own, size.alias("size")) if measure is None else df.select(*own, size.alias("size"), measure.alias("__measure"))
     rows = rows.withColumn("__m", leading(F.col("size" if measure is None else "__measure")))
-    classes = stored(rows.groupBy(F.col(source_col).alias("source"), F.col("__m").alias("m")).agg(F.sum("size").alias("words"), F.count("*").alias("rows")), "measures")
+    narrow = stored(rows.select(*dict.fromkeys([id_col, source_col]), "size", "__m"), "sizes")
+    classes = stored(narrow.groupBy(F.col(source_col).alias("source"), F.col("__m").alias("m")).agg(F.sum("size").alias("words"), F.count("*").alias("rows")), "measures")
     totals = stored(classes.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("rows")), "totals")
     many = totals.count() > BROADCAST_SOURCES
     sources = source_targets(totals, share, most, weights, many)
@@ -121,7 +122,7 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     sources = sources.withColumn("__ranges", ranges).drop("rows", "weight").withColumnsRenamed({"source": "__source", "place": "__sid"})
     sources = stored(inclusion(classes, sources, many), "sources")
 
-    def ranked(sources: DataFrame) -> DataFrame:
+    def ranked(rows: DataFrame, sources: DataFrame) -> DataFrame:
         """Rows with their source's columns, ``__q``, the ratio by which they are ranked (null: not in the sample), and its range."""
         if many:
             side = sources.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -134,12 +135,12 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
         out = out.withColumn("__q", F.when((F.col("__rate") > 0) & ~F.col("__certain"), u / (1 - u) * ((1 - p) / p)))
         return out.withColumn("__range", F.floor(F.col("__q") / (1 + F.col("__q")) * F.col("__ranges")).cast("int"))
 
-    sums = ranked(sources).where("__q IS NOT NULL").groupBy("__sid", "__rest", "__range").agg(F.sum("size").alias("sum"))
+    sums = ranked(narrow, sources).where("__q IS NOT NULL").groupBy("__sid", "__rest", "__range").agg(F.sum("size").alias("sum"))
     sums = sums.withColumn("to", F.sum("sum").over(Window.partitionBy("__sid").orderBy("__range")))
     last = sums.where("to > __rest").groupBy("__sid").agg(F.min_by(F.struct(F.col("__range").alias("__last"), (F.col("to") - F.col("sum")).alias("__offset")), "__range").alias("x"))
     sources = stored(sources.join(last.select("__sid", "x.*"), "__sid", "left"), "lasts")
 
-    out = ranked(sources)
+    out = ranked(rows, sources)
     at_last = F.coalesce(F.col("__range") == F.col("__last"), F.lit(False))
     order = Window.partitionBy("__sid").orderBy("__q", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__offset") + F.coalesce(F.sum("size").over(order), F.lit(0))
@@ -152,7 +153,7 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document in a mix of 150 % of all words."""
-    rows = stored(documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    rows = stored(documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size")), "words")
     return mix(rows, F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
