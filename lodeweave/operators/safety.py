@@ -35,23 +35,23 @@ BLOCKLIST = [
     (r"(?i)openssl\s+enc\s+.*-e.*-k\s", "openssl enc -e -k", "mass file encryption"),
 ]
 
-#: Prompt injections: pattern, its name, severity, replacement (fixed values).
+#: Prompt injections: pattern, its name, severity, replacement, reason (fixed values).
 INJECTIONS = [
-    (r"(?i)ignore\s+(all\s+)?(previous|prior|above|earlier)\s+(instructions?|prompts?|rules?|directives?)", "ignore previous instructions", "high", "[INJECTION_REMOVED]"),
-    (r"(?i)disregard\s+(all\s+)?(previous|prior|above|earlier|your)\s+(instructions?|prompts?|rules?|directives?)", "disregard previous instructions", "high", "[INJECTION_REMOVED]"),
-    (r"(?i)forget\s+(everything|all)\s+(you\s+)?(know|were told|have been told)", "forget everything", "high", "[INJECTION_REMOVED]"),
-    (r"(?i)you\s+are\s+now\s+(?:\w+\s+){0,4}(?:AI|assistant|bot|model|GPT|LLM|agent)\b", "you are now <persona>", "high", "[INJECTION_REMOVED]"),
-    (r"(?i)\bsystem\s*:\s*[\w\s]{0,50}", "system: <content>", "high", "[SYSTEM_TAG_REMOVED]"),
-    (r"(?i)<\s*system\s*>", "<system>", "high", "[SYSTEM_TAG_REMOVED]"),
-    (r"(?i)\bassistant\s*:\s*", "assistant: (role injection)", "medium", "[ROLE_TAG_REMOVED] "),
-    (r"(?i)\bhuman\s*:\s*", "human: (role injection)", "medium", "[ROLE_TAG_REMOVED] "),
-    (r"(?i)<tool_call\b[^>]*>", "<tool_call>", "high", "[TOOL_CALL_REMOVED]"),
-    (r"(?i)<function_calls?\b[^>]*>", "<function_calls>", "high", "[TOOL_CALL_REMOVED]"),
-    (r"(?i)do\s+anything\s+now\b", "do anything now (DAN)", "high", "[INJECTION_REMOVED]"),
-    (r"(?i)jailbreak\b", "jailbreak", "medium", "[INJECTION_REMOVED]"),
-    (r"(?i)repeat\s+(everything|the\s+(above|previous|entire|full|whole))\s*(instructions?|prompt|system|text)?", "repeat everything above", "medium", "[INJECTION_REMOVED]"),
-    (r"(?i)print\s+(your\s+)?(system|original|full|entire|initial)\s+(prompt|instructions?|directives?)", "print system prompt", "medium", "[INJECTION_REMOVED]"),
-    (r"\x1b\[[0-9;]*[A-Za-z]", "ANSI escape sequence", "low", ""),
+    (r"(?i)ignore\s+(all\s+)?(previous|prior|above|earlier)\s+(instructions?|prompts?|rules?|directives?)", "ignore previous instructions", "high", "[INJECTION_REMOVED]", "instruction override attempt"),
+    (r"(?i)disregard\s+(all\s+)?(previous|prior|above|earlier|your)\s+(instructions?|prompts?|rules?|directives?)", "disregard previous instructions", "high", "[INJECTION_REMOVED]", "instruction override attempt"),
+    (r"(?i)forget\s+(everything|all)\s+(you\s+)?(know|were told|have been told)", "forget everything", "high", "[INJECTION_REMOVED]", "instruction override attempt"),
+    (r"(?i)you\s+are\s+now\s+(?:\w+\s+){0,4}(?:AI|assistant|bot|model|GPT|LLM|agent)\b", "you are now <persona>", "high", "[INJECTION_REMOVED]", "persona injection attempt"),
+    (r"(?i)\bsystem\s*:\s*[\w\s]{0,50}", "system: <content>", "high", "[SYSTEM_TAG_REMOVED]", "system prompt injection"),
+    (r"(?i)<\s*system\s*>", "<system>", "high", "[SYSTEM_TAG_REMOVED]", "system XML tag injection"),
+    (r"(?i)\bassistant\s*:\s*", "assistant: (role injection)", "medium", "[ROLE_TAG_REMOVED] ", "role injection attempt"),
+    (r"(?i)\bhuman\s*:\s*", "human: (role injection)", "medium", "[ROLE_TAG_REMOVED] ", "role injection attempt"),
+    (r"(?i)<tool_call\b[^>]*>", "<tool_call>", "high", "[TOOL_CALL_REMOVED]", "embedded tool call tag"),
+    (r"(?i)<function_calls?\b[^>]*>", "<function_calls>", "high", "[TOOL_CALL_REMOVED]", "embedded function call tag"),
+    (r"(?i)do\s+anything\s+now\b", "do anything now (DAN)", "high", "[INJECTION_REMOVED]", "jailbreak pattern (DAN)"),
+    (r"(?i)jailbreak\b", "jailbreak", "medium", "[INJECTION_REMOVED]", "jailbreak keyword"),
+    (r"(?i)repeat\s+(everything|the\s+(above|previous|entire|full|whole))\s*(instructions?|prompt|system|text)?", "repeat everything above", "medium", "[INJECTION_REMOVED]", "prompt leak attempt"),
+    (r"(?i)print\s+(your\s+)?(system|original|full|entire|initial)\s+(prompt|instructions?|directives?)", "print system prompt", "medium", "[INJECTION_REMOVED]", "prompt leak attempt"),
+    (r"\x1b\[[0-9;]*[A-Za-z]", "ANSI escape sequence", "low", "", "ANSI escape code — possible terminal injection"),
 ]
 
 
@@ -70,15 +70,20 @@ def verdict(command: Column, allow: list[str] = [], deny: list[str] = []) -> Col
     return F.when(hit.isNotNull(), make(False, F.concat(F.lit("BLOCKED ["), hit["pattern"], F.lit("]: "), hit["reason"]), "blocklist")).when(~policy["allowed"], make(False, policy["reason"], "policy")).otherwise(make(True, policy["reason"], None))
 
 
+def suspicious(text: Column) -> Column:
+    """Whether any pattern matches: one pass over the many texts that are clean."""
+    return text.rlike("|".join(f"(?:{ascii_bounds(p[0])})" for p in INJECTIONS))
+
+
 def injections(text: Column) -> Column:
-    """Array of (pattern, severity, start) of all matches in the original text, by pattern, then by place."""
-    return F.concat(*(_named(text, regex, name, severity) for regex, name, severity, _ in INJECTIONS))
+    """Array of (pattern, severity, reason, start) of all matches in the original text, by pattern, then by place."""
+    return F.when(suspicious(text), F.concat(*(_named(text, regex, name, severity, reason) for regex, name, severity, _, reason in INJECTIONS))).otherwise(F.array().cast("array<struct<pattern:string,severity:string,reason:string,start:int>>"))
 
 
-def _named(text: Column, regex: str, name: str, severity: str) -> Column:
-    return F.transform(match_offsets(text, ascii_bounds(regex)), lambda m: F.struct(F.lit(name).alias("pattern"), F.lit(severity).alias("severity"), m["start"].alias("start")))
+def _named(text: Column, regex: str, name: str, severity: str, reason: str) -> Column:
+    return F.transform(match_offsets(text, ascii_bounds(regex)), lambda m: F.struct(F.lit(name).alias("pattern"), F.lit(severity).alias("severity"), F.lit(reason).alias("reason"), m["start"].alias("start")))
 
 
 def sanitised(text: Column) -> Column:
-    """All patterns replaced, one after the other."""
-    return reduce(lambda t, p: F.regexp_replace(t, ascii_bounds(p[0]), p[3]), INJECTIONS, text)
+    """All patterns replaced, one after the other. A replacement makes no pattern match where none did, so clean texts stay."""
+    return F.when(suspicious(text), reduce(lambda t, p: F.regexp_replace(t, ascii_bounds(p[0]), p[3]), INJECTIONS, text)).otherwise(text)

@@ -107,19 +107,10 @@ def u3(spark, d):
     return actions(spark, d).groupBy("task_id").agg(F.min("ord").alias("first_seen")).orderBy("first_seen")
 
 
-@query("u4_tool_complement", "SELECT user_id, list_aggregate(list_sort(list_filter(['click', 'error', 'purchase', 'refund', 'signup', 'view'], lambda x: NOT list_contains(list(DISTINCT event_type), x))), 'string_agg', ',') AS missing FROM events WHERE event_id % 3 = 0 GROUP BY user_id")
+@query("u4_tool_complement", "SELECT user_id, list_aggregate(list_sort(list_filter(['click', 'error', 'purchase', 'refund', 'signup', 'view'], lambda x: NOT list_contains(list(DISTINCT event_type), x))), 'string_agg', ',') AS missing FROM events GROUP BY user_id")
 def u4(spark, d):
     """Tools of the vocabulary that a task never used; null where it used all."""
     every = F.array(*map(F.lit, ["click", "error", "purchase", "refund", "signup", "view"]))
-    used = table(spark, d, "events").where("event_id % 3 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("used"))
-    missing = F.array_sort(F.array_except(every, "used"))
-    return used.select("user_id", F.when(F.size(missing) > 0, F.array_join(missing, ",")).alias("missing"))
-
-
-@query("u4_tool_complement_all", "SELECT user_id, list_aggregate(list_sort(list_filter(['click', 'error', 'purchase', 'refund', 'signup', 'view'], lambda x: NOT list_contains(list(DISTINCT event_type), x))), 'string_agg', ',') AS missing FROM events GROUP BY user_id")
-def u4_all(spark, d):
-    """The same over all events; no event is a refund, so no complement is empty."""
-    every = F.array(*map(F.lit, ["click", "error", "purchase", "refund", "signup", "view"]))
     used = table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("used"))
     missing = F.array_sort(F.array_except(every, "used"))
     return used.select("user_id", F.when(F.size(missing) > 0, F.array_join(missing, ",")).alias("missing"))

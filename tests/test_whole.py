@@ -14,23 +14,23 @@ def test_complement_is_over_all_events(spark, small):
     for r in spark.read.parquet(f"{small}/events.parquet").select("user_id", "event_type").collect():
         used[r.user_id].add(r.event_type)
     every = ["click", "error", "purchase", "refund", "signup", "view"]
-    got = {r.user_id: r.missing for r in plans.QUERIES["u4_tool_complement_all"](spark, small).collect()}
+    got = {r.user_id: r.missing for r in plans.QUERIES["u4_tool_complement"](spark, small).collect()}
     assert got == {u: ",".join(x for x in every if x not in seen) or None for u, seen in used.items()}
 
 
 def test_no_event_or_symbol_is_left_out(spark, small):
     n = spark.read.parquet(f"{small}/events.parquet").count()
-    rows = plans.QUERIES["x9_times_and_frames_all"](spark, small).collect()
+    rows = plans.QUERIES["x9_times_and_frames"](spark, small).collect()
     assert len({r.id for r in rows}) == len(rows) == n
     assert any(r.at is None and r.fn is None and r.file is None for r in rows)
     names = {f"{r.p_brand}.{r.p_name}" for r in spark.read.parquet(f"{small}/part.parquet").collect()}
-    by_name = [r for r in plans.QUERIES["j11_resolution_cascade_all"](spark, small).collect() if r.id % 5 == 0]
+    by_name = [r for r in plans.QUERIES["j11_resolution_cascade"](spark, small).collect() if r.id % 5 == 0]
     assert by_name and all(r.target in names and r.resolved and r.strategy == "exact" for r in by_name)
 
 
 def test_report_is_over_all_events(spark, small, tmp_path):
     events = spark.read.parquet(f"{small}/events.parquet").select("event_type", "value").collect()
-    (got,) = plans.QUERIES["s14_report_all"](spark, small).collect()
+    (got,) = plans.QUERIES["s14_report"](spark, small).collect()
     assert got.n == len(events) > 50
     assert abs(got.success_rate - sum(e.event_type != "error" for e in events) / len(events)) < 1e-6
     assert abs(got.mean_ms - sum(e.value for e in events) / len(events)) < 1e-4
@@ -48,5 +48,5 @@ def test_injection_offsets_in_whole_texts(spark):
     for i, text in rows:
         if text is not None:
             t = "é" * (i % 3) + " jailbreak, human: é" + text + "jailbreak"
-            want.update((i, name, severity, m.start()) for regex, name, severity, _ in INJECTIONS for m in re.finditer(regex, t, re.A))
+            want.update((i, name, severity, reason, m.start()) for regex, name, severity, _, reason in INJECTIONS for m in re.finditer(regex, t, re.A))
     assert got == want and max(start for *_, start in want) > 300_000
