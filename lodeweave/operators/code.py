@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ast
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_bounds, match_offsets
@@ -35,53 +38,61 @@ def is_boundary(line: Column, lang: Column) -> Column:
 
 
 def segments(files: DataFrame, id_col: str = "id", code: str = "code", lang: str = "lang") -> DataFrame:
-    """Declaration segments of each file: ``segment`` (from 1), ``start_line``, ``end_line`` (from 1, inclusive), ``content`` without trailing blanks; empty ones are dropped."""
-    lines = files.select(id_col, lang, F.posexplode(F.split(code, "\n")).alias("n", "line"))
-    start = ((F.col("n") == 0) | is_boundary(F.col("line"), F.col(lang))).cast("int")
-    lines = lines.withColumn("segment", F.sum(start).over(Window.partitionBy(id_col).orderBy("n")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    out = lines.groupBy(id_col, "segment").agg((F.min("n") + 1).alias("start_line"), (F.max("n") + 1).alias("end_line"), F.regexp_replace(text, r"\s+\z", "").alias("content"))
-    return out.where(F.length("content") > 0)
+    """Declaration segments of each file: ``segment`` (from 1), ``start_line``, ``end_line`` (from 1, inclusive), ``content`` without trailing blanks; empty ones are dropped.
+
+    Arrays of a file's lines and of the numbers of those that begin a declaration: no shuffle.
+    """
+    rows = files.select(id_col, F.col(lang).alias("__lang"), F.split(code, "\n").alias("__lines"))
+    begins = F.transform("__lines", lambda x, i: F.when((i == 0) | is_boundary(x, F.col("__lang")), i))
+    rows = rows.select(id_col, "__lines", F.filter(begins, lambda i: i.isNotNull()).alias("__at"))
+    after = lambda k: F.coalesce(F.get("__at", k + 1), F.size("__lines"))
+    text = lambda i, k: F.regexp_replace(F.array_join(F.slice("__lines", i + 1, after(k) - i), "\n"), r"\s+\z", "")
+    each = F.transform("__at", lambda i, k: F.struct((k + 1).cast("long").alias("segment"), (i + 1).alias("start_line"), after(k).alias("end_line"), text(i, k).alias("content")))
+    return rows.select(id_col, F.explode(each).alias("s")).select(id_col, "s.*").where(F.length("content") > 0)
+
+
+class Chunk(NamedTuple):
+    """Text, first and last line."""
+
+    text: str
+    first: int
+    last: int
 
 
-def split_text(code: str, lang: str, size: int = 2500, overlap: int = 300) -> list[tuple[str, int, int]]:
-    """Chunks (content, first line, last line) of a file: declaration segments, large ones packed by lines with overlap.
+def split_text(code: str, lang: str, size: int = 2500, overlap: int = 300) -> list[Chunk]:
+    """Chunks of a file: its declaration segments, those longer than ``size`` as line windows, each with the end of the one before in front.
 
-    A packed chunk takes lines while they fit (one at least) and the next begins ``overlap // 80`` lines
-    before its end, so short suffixes follow the last full one. All chunks but the first carry the end of the one before.
+    A file without any text but blanks is cut into windows as a whole. A chunk's first line moves up by the lines it takes over.
     """
-    pattern = re.compile(BOUNDARIES.get(lang.lower(), BOUNDARIES["typescript"]))
+    begins = re.compile(BOUNDARIES.get(lang.lower(), BOUNDARIES["typescript"]))
     lines = code.split("\n")
-    starts = [0, *(i for i in range(1, len(lines)) if (t := lines[i].lstrip()) and pattern.match(t))]
-    chunks: list[tuple[str, int, int]] = []
-    for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
-        content = "\n".join(lines[a:b]).rstrip()
-        if content and len(content) <= size:
-            chunks.append((content, a + 1, b))
-        elif content:
-            chunks += packed_lines(content, a + 1, size, overlap)
-    chunks = chunks or packed_lines(code, 1, size, overlap)
-    if len(chunks) < 2 or overlap <= 0:
-        return chunks
-    out = chunks[:1]
-    for (before, _, _), (content, first, last) in zip(chunks, chunks[1:], strict=False):
-        tail = before[-overlap:]
-        out.append((tail + "\n" + content, max(1, first - tail.count("\n") - 1), last))
-    return out
+    edges = [0, *(i for i, line in enumerate(lines) if i and begins.match(line.lstrip())), len(lines)]
+    bare = []
+    for a, b in itertools.pairwise(edges):
+        whole = Chunk("\n".join(lines[a:b]).rstrip(), a + 1, b)
+        bare += [whole] * bool(whole.text) if len(whole.text) <= size else line_chunks(whole, size, overlap)
+    bare = bare or line_chunks(Chunk(code, 1, len(lines)), size, overlap)
+    ends = [x.text[-overlap:] if overlap > 0 else None for x in bare]
+    return bare[:1] + [x if end is None else Chunk(f"{end}\n{x.text}", max(1, x.first - 1 - end.count("\n")), x.last) for end, x in zip(ends, bare[1:], strict=False)]
+
 
+def line_chunks(part: Chunk, size: int, overlap: int) -> list[Chunk]:
+    """Windows of whole lines of at most ``size`` characters, line breaks included, or of one longer line.
 
-def packed_lines(content: str, first: int, size: int, overlap: int) -> list[tuple[str, int, int]]:
-    lines, out, at = content.split("\n"), [], 0
+    The lengths are added up once, and for every line a binary search over the sums gives where a window that begins
+    there ends. A window begins ``overlap // 80`` lines, one at least, before the last one's end, but after its begin.
+    """
+    lines = part.text.split("\n")
+    sums = np.cumsum([0, *(len(x) + 1 for x in lines)])
+    here = np.arange(len(lines))
+    stop = np.maximum(here + 1, np.searchsorted(sums, sums[:-1] + size, "right") - 1)
+    then = np.maximum(here + 1, stop - max(1, overlap // 80))
+    windows, at = [], 0
     while at < len(lines):
-        end, used = at, 0
-        while end < len(lines) and used + len(lines[end]) + 1 <= size:
-            used += len(lines[end]) + 1
-            end += 1
-        end = max(end, at + 1)
-        if text := "\n".join(lines[at:end]).rstrip():
-            out.append((text, first + at, first + end - 1))
-        at = max(at + 1, end - max(1, overlap // 80))
-    return out
+        windows.append((at, int(stop[at])))
+        at = int(then[at])
+    cut = [Chunk(part.text[sums[a] : sums[b] - 1].rstrip(), part.first + a, part.first + b - 1) for a, b in windows]
+    return [x for x in cut if x.text]
 
 
 def split_code(files: DataFrame, id_col: str = "id", code: str = "code", lang: str = "lang", size: int = 2500, overlap: int = 300) -> DataFrame:
@@ -108,7 +119,7 @@ _DECLARATIONS = [
     ("arrow_function", re.compile(r"\b(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:\([^)]*\)|\w+)\s*(?::[^=\n]+)?=>")),
 ]
 _METHOD = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|internal|static|async|readonly|override|final|virtual|abstract|get|set)\s+)*(?:[\w<>\[\],.*&?]+\s+)?(\w+)\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?::\s*[^{;=]+)?(?:throws\s+[\w, ]+)?\{")
-_CALLEE = re.compile(r"([\w$]+)(\s*)$")
+_CALLEE = re.compile(r"[\w$]+")
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "fn", "func", "typeof", "new", "await", "super", "else", "do", "try", "match", "sizeof", "def", "elif", "with", "lambda", "not", "and", "or", "in", "constructor"}
 
 Found = tuple[str, str, str | None, int, int]  # kind, name, parent's qualified name, start, end (bytes)
@@ -167,9 +178,10 @@ def _scan_braces(code: str, stem: str) -> tuple[list[tuple], list[Edge]]:
     runs = [(a, b, q) for k, _, q, _, a, b in symbols if k not in ("class", "interface", "type")]  # by start
     ahead, around = 0, []
     starts = {a for *_, a, _ in symbols}
-    for m in re.finditer(r"\(", bare) if runs else ():
-        name = _CALLEE.search(bare, max(0, m.start() - 200), m.start())
-        if not name or name.group(1) in _WORDS:
+    names = {m.end(): m for m in _CALLEE.finditer(bare)} if runs else {}
+    for m in re.finditer(r"(?<!\s)\s*+\(", bare) if runs else ():
+        name = names.get(m.start())
+        if not name or name.group() in _WORDS:
             continue
         while ahead < len(runs) and runs[ahead][0] <= name.start():
             around.append(runs[ahead])
@@ -177,7 +189,7 @@ def _scan_braces(code: str, stem: str) -> tuple[list[tuple], list[Edge]]:
         while around and around[-1][1] <= name.start():
             around.pop()
         if around and name.start() not in starts and not re.search(r"\b(?:function\*?|fn|func)\s*$", bare[max(0, name.start() - 20) : name.start()]):
-            edges.append((around[-1][2], name.group(1).lower(), "calls", 0.8, line(m.start())))
+            edges.append((around[-1][2], name.group().lower(), "calls", 0.8, line(m.end() - 1)))
     return symbols, edges
 
 

@@ -22,14 +22,54 @@ def innermost_interval(points: DataFrame, spans: DataFrame, key: str, point_id:
     return points.join(best, point_id, "left")
 
 
+#: Names up to this length meet by what is left of them after deletions, longer ones by a part that no edit touched.
+SHORT_NAME = 24
+
+
+def deletions(name: Column, limit: int) -> Column:
+    """Hashes of the strings that up to ``limit`` deletions leave: two names within ``limit`` edits have one in common."""
+    without = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))).otherwise(F.array().cast("array<string>"))
+    levels = [F.array(name)]
+    for _ in range(limit):
+        levels.append(F.array_distinct(F.flatten(F.transform(levels[-1], without))))
+    return F.transform(F.array_distinct(F.flatten(F.array(*levels))), lambda s: F.xxhash64(s))
+
+
+def parts(name: Column, limit: int) -> Column:
+    """Hashes of a long name's ``limit`` + 1 parts with the name's length and the part's number."""
+    n = F.length(name)
+    start = lambda i: F.floor(n * i / (limit + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(limit)), lambda i: F.xxhash64(n, i, F.substr(name, start(i) + 1, start(i + 1) - start(i))))
+
+
+def wanted_parts(name: Column, limit: int) -> Column:
+    """Hashes of the parts that names within ``limit`` edits may have: one of theirs stands in ``name``, moved by ``limit`` at most."""
+    around = lambda: F.sequence(F.lit(-limit), F.lit(limit))
+    start = lambda n, i: F.floor(n * i / (limit + 1)).cast("int")
+
+    def one(n: Column, i: Column, move: Column) -> Column:
+        at = start(n, i) + move
+        return F.when(at >= 0, F.xxhash64(n, i, F.substr(name, F.greatest(at, F.lit(0)) + 1, start(n, i + 1) - start(n, i))))
+
+    each = F.transform(around(), lambda m: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(limit)), lambda i: F.transform(around(), lambda k: one(F.length(name) + m, i, k)))))
+    return F.array_distinct(F.filter(F.flatten(each), lambda h: h.isNotNull()))
+
+
 def nearest_names(targets: DataFrame, names: DataFrame, target: str = "target", name: str = "name", order: str = "ord", limit: int = 2) -> DataFrame:
     """For each distinct target the name within ``limit`` edits: fewest edits, then the first by ``order``.
 
-    Candidates share a length within the limit: the target's lengths are exploded and joined by equality.
+    Candidates share a hash: of what deletions leave of a short name, of a part of a long one. Keys are as many
+    as names, so that no length or letter makes a hot one.
     """
-    names = names.groupBy(F.col(name).alias("__name")).agg(F.min(order).alias("__ord")).withColumn("__len", F.length("__name"))
-    wanted = targets.select(target).distinct().withColumn("__len", F.explode(F.sequence(F.length(target) - limit, F.length(target) + limit)))
-    pairs = wanted.join(names, "__len").withColumn("distance", F.levenshtein(target, "__name", limit)).where("distance >= 0")
+    names = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__name")).agg(F.min(order).alias("__ord"))
+    wanted = targets.select(target).where(F.col(target).isNotNull()).distinct()
+    size = F.length(target)
+    short = wanted.where(size <= SHORT_NAME).select(target, F.explode(deletions(F.col(target), limit)).alias("__key"))
+    long = wanted.where(size > SHORT_NAME).select(target, F.explode(wanted_parts(F.col(target), limit)).alias("__key"))
+    n = F.length("__name")
+    by_rest = names.where(n <= SHORT_NAME + limit).select("__name", "__ord", F.explode(deletions(F.col("__name"), limit)).alias("__key"))
+    by_part = names.where(n > SHORT_NAME - limit).select("__name", "__ord", F.explode(parts(F.col("__name"), limit)).alias("__key"))
+    pairs = short.join(by_rest, "__key").unionByName(long.join(by_part, "__key")).withColumn("distance", F.levenshtein(target, "__name", limit)).where("distance >= 0")
     return pairs.groupBy(target).agg(F.min_by(F.struct(F.col("__name").alias("name"), "distance"), F.struct("distance", "__ord")).alias("best")).select(target, "best.*")
 
 

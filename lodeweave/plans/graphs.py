@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs as G
 from .registry import query
-from .relations import edges, files, over, symbols
+from .relations import edges, files, over, snapshots, symbols
 
 
 @query("g1_neighbours", over("edges", "SELECT id, count(*) FILTER (way = 'in') AS callers, count(*) FILTER (way = 'out') AS callees FROM (SELECT dst AS id, 'in' AS way FROM edges UNION ALL SELECT src, 'out' FROM edges) GROUP BY id"))
@@ -24,11 +24,34 @@ def g2(spark, d):
     return G.closure(edges(spark, d).select("src", "dst"), spark.createDataFrame([(1,)], "root long"), 2)
 
 
-@query("g3_hash_tree", over("files", "SELECT split_part(path, '/', 1) AS folder, sha256(string_agg(hash, '' ORDER BY hash)) AS hash, count(*) AS n FROM files GROUP BY 1"))
+def _combined(leaf):
+    """The order-free hash of a group in SQL."""
+    part = lambda i: f"sum(('0x' || substr({leaf}, {1 + 15 * i}, 15))::BIGINT)"
+    return "sha256(" + " || ':' || ".join(["count(*)", *map(part, range(4))]) + ")"
+
+
+_TREE = f"t AS (SELECT split_part(path, '/', 1) AS folder, {_combined("sha256(path || ':' || hash)")} AS hash, count(*) AS n FROM files GROUP BY 1)"
+
+
+@query("g3_hash_tree", over("files", f", {_TREE} SELECT * FROM t").replace("\n, t AS", ", t AS"))
 def g3(spark, d):
     return G.folder_hashes(files(spark, d))
 
 
+@query("g3_root_hash", over("files", f", {_TREE} SELECT {_combined("sha256(folder || ':' || hash)")} AS root FROM t").replace("\n, t AS", ", t AS"))
+def g3_root(spark, d):
+    """The hash of the whole tree."""
+    return G.root_hash(G.folder_hashes(files(spark, d)))
+
+
+@query("g3_compare", over("old_files new_files", """SELECT coalesce(o.path, n.path) // 100 || '/' || coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'modified' END AS change
+FROM old_files o FULL JOIN new_files n ON o.path = n.path WHERE o.hash IS DISTINCT FROM n.hash OR o.path IS NULL OR n.path IS NULL"""))
+def g3_compare(spark, d):
+    """Two trees compared from the folders down."""
+    trees = (x.select(F.expr("concat_ws('/', path div 100, path)").alias("path"), "hash") for x in snapshots(spark, d))
+    return G.changed_paths(*trees)
+
+
 @query("g4_containment", over("symbols", "SELECT p.id AS parent, count(*) AS children FROM symbols c JOIN symbols p ON p.id = c.parent_id WHERE c.id <> p.id GROUP BY p.id"))
 def g4(spark, d):
     """Children of every containing symbol."""

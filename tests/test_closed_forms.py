@@ -1,11 +1,17 @@
 """Window forms and folds against plain loops on random input."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from lodeweave import plans
 from lodeweave.operators import code as C
+from lodeweave.operators import graphs as G
+from lodeweave.operators import joins as J
+from lodeweave.operators import logs
 from lodeweave.operators import sequences as S
+from lodeweave.plans import quality
 from lodeweave.streaming.stateful import Pager
 
 
@@ -100,32 +106,54 @@ def test_segments_agree_with_the_splitter(spark):
     assert got == want
 
 
-def test_packed_lines_cover_and_overlap():
+def test_line_chunks_cover_and_overlap():
     content = "\n".join(f"line {i} " + "x" * (i % 40) for i in range(200))
-    out = C.packed_lines(content, 1, 500, 300)
-    assert out[0][1] == 1 and out[-1][2] == 200
-    for (a, _, last), (b, first, _) in zip(out, out[1:], strict=False):
-        assert first <= last + 1 and len(a) <= 500
-    assert [o[1] for o in out[-3:]] == [198, 199, 200]  # the tail steps back to the end
+    out = C.line_chunks(C.Chunk(content, 1, 200), 500, 300)
+    assert out[0].first == 1 and out[-1].last == 200
+    for a, b in zip(out, out[1:], strict=False):
+        assert b.first <= a.last + 1 and len(a.text) <= 500
+    assert [o.first for o in out[-3:]] == [198, 199, 200]  # the tail steps back to the end
 
 
-def test_packed_lines_against_prefix_sums():
-    """The same packing from cumulative lengths."""
+def windows_by_joining(lines, at, size, back):
+    """Windows from line ``at`` on, by joining lines and looking how long they are."""
+    if at >= len(lines):
+        return []
+    fits = [b for b in range(at + 1, len(lines) + 1) if len("\n".join(lines[at:b]) + "\n") <= size]
+    end = fits[-1] if fits else at + 1
+    return [(at, end), *windows_by_joining(lines, max(at + 1, end - back), size, back)]
+
+
+def test_line_chunks_against_joined_lines():
     rng = random.Random(6)
     for _ in range(300):
         lines = ["x" * rng.choice([0, 1, 5, 20, 60]) for _ in range(rng.randint(1, 40))]
         size, overlap = rng.randint(5, 120), rng.choice([0, 80, 160, 300])
-        total = [0]
-        for x in lines:
-            total.append(total[-1] + len(x) + 1)
-        want, at = [], 0
-        while at < len(lines):
-            end = max([at + 1, *(e for e in range(at + 1, len(lines) + 1) if total[e] - total[at] <= size)])
-            text = "\n".join(lines[at:end]).rstrip()
-            if text:
-                want.append((text, at + 1, end))
-            at = max(at + 1, end - max(1, overlap // 80))
-        assert C.packed_lines("\n".join(lines), 1, size, overlap) == want
+        cut = [("\n".join(lines[a:b]).rstrip(), a + 7, b + 6) for a, b in windows_by_joining(lines, 0, size, max(1, overlap // 80))]
+        assert C.line_chunks(C.Chunk("\n".join(lines), 7, 6 + len(lines)), size, overlap) == [x for x in cut if x[0]]
+
+
+def test_chunks_of_documents_against_joined_lines(spark, small):
+    """The query of chunks: segments, windows and what each takes over, put together from line numbers."""
+    got = {}
+    for r in plans.QUERIES["t2_packed_chunks"](spark, small).collect():
+        got.setdefault(r.id, []).append((r.chunk, r.content, r.start_line, r.end_line, r.language))
+    for r in quality.as_code(spark, small).collect():
+        lines, bare = (r.code or "").split("\n"), []
+        heads = [i for i, x in enumerate(lines) if i == 0 or re.match(C.BOUNDARIES.get((r.lang or "").lower(), C.BOUNDARIES["typescript"]), x.lstrip())]
+        for k, a in enumerate(heads):
+            part = "\n".join(lines[a : heads[k + 1] if k + 1 < len(heads) else len(lines)]).rstrip().split("\n")
+            last = heads[k + 1] if k + 1 < len(heads) else len(lines)
+            if len("\n".join(part)) <= 500:
+                bare.append(("\n".join(part), a + 1, last))
+            else:
+                bare += [("\n".join(part[x:y]).rstrip(), a + 1 + x, a + y) for x, y in windows_by_joining(part, 0, 500, 2)]
+        bare = [x for x in bare if x[0]]
+        want = [(0, *bare[0], (r.lang or "typescript").lower())] if bare else []
+        for n, ((before, *_), (text, first, last)) in enumerate(zip(bare, bare[1:], strict=False), 1):
+            shown = before[-160:]
+            want.append((n, shown + "\n" + text, max(1, first - len(shown.split("\n"))), last, (r.lang or "typescript").lower()))
+        assert sorted(got.get(r.id, [])) == want
 
 
 def test_extractor():
@@ -161,3 +189,66 @@ def test_resolution_order(spark):
         ("helpers.x", "zzzzzz"): ("zzzzzz", 0.8, False, "unresolved"),
         ("helpers", "./util"): ("./util", 1.0, False, "unresolved"),
     }
+
+
+def test_nearest_names_against_all_pairs(spark):
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    names = [letters(rng.choice([0, 1, 2, 3, 5, 8, 22, 23, 24, 25, 26, 27, 40, 90])) for _ in range(400)]
+    targets = [None, "", "zzz"]
+    for x in names:
+        for _ in range(rng.randint(0, 3)):  # edits
+            at = rng.randint(0, len(x))
+            x = rng.choice([x[:at] + rng.choice("abéx") + x[at:], x[:at] + x[at + 1 :], x[:at] + rng.choice("abx") + x[at + 1 :]])
+        targets.append(x)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, left = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for t in set(targets) - {None}:
+        near = [(distance(t, x), i, x) for i, x in enumerate(names) if abs(len(t) - len(x)) <= 2]
+        if near and min(near)[0] <= 2:
+            want[t] = (min(near)[2], min(near)[0])
+    got = J.nearest_names(spark.createDataFrame([(t,) for t in targets], "target string"), spark.createDataFrame(list(enumerate(names)), "ord int, name string"))
+    assert {r.target: (r.name, r.distance) for r in got.collect()} == want
+    assert len(want) > 300
+
+
+def test_logs_in_blocks(spark):
+    """Entries that cross blocks, logs that begin with frames, blank lines and blocks without an entry."""
+    rng = random.Random(8)
+    rows = [(name, i, rng.choice(["2024-01-02T03:04:05 ERROR x", "    at f (a.js:1:2)", "    at b.js:3:4", "    at odd", "", "info y"]) if rng.random() < 0.7 else "    at g (c.js:5:6)") for name in "pqr" for i in range(200)]
+    rows += [("s", i, "  at only") for i in range(9)] + [("t", 5, "one")]
+    want = {}
+    for name in "pqrst":
+        entry = None
+        for _, i, raw in sorted(r for r in rows if r[0] == name and r[2].strip()):
+            if entry is None or not re.match(r"\s+at ", raw):
+                entry = i
+                want[name, i] = (raw, [])
+            else:
+                want[name, entry][1].append(raw.strip())
+    df = spark.createDataFrame(rows, "log string, line int, raw string")
+    for block in (1, 7, 10_000):
+        got = {(r.log, r.line): (r.raw, [f.raw for f in r.stack]) for r in logs.parse_lines(df, "log", block_lines=block).collect()}
+        assert got == want
+
+
+def test_closure_against_breadth_first(spark):
+    rng = random.Random(9)
+    pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(120)]
+    got = {(r.root, r.node): r.depth for r in G.closure(spark.createDataFrame(pairs, "src long, dst long"), spark.range(61).withColumnRenamed("id", "root"), 3).collect()}
+    want = {}
+    for root in range(61):
+        seen, wave = {root}, {root}
+        for depth in (1, 2, 3):
+            wave = {b for a, b in pairs if a in wave} - seen
+            seen |= wave
+            want |= {(root, x): depth for x in wave}
+    assert got == want
