@@ -113,7 +113,8 @@ def split_code(files: DataFrame, id_col: str = "id", code: str = "code", lang: s
 _NOISE = re.compile(r"""/\*[\s\S]*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""")
 _DECLARATIONS = [
     ("class", re.compile(r"\b(?:class|struct|trait|enum)\s+(\w+)")),
-    ("interface", re.compile(r"\binterface\s+(\w+)")),
+    ("class", re.compile(r"\btype\s+(\w+)\s+struct\b")),
+    ("interface", re.compile(r"\binterface\s+(\w+)|\btype\s+(\w+)\s+interface\b")),
     ("type", re.compile(r"\btype\s+(\w+)[^=\n;]*=")),
     ("function", re.compile(r"\b(?:function\*?|fn)\s+(\w+)|\bfunc\s+(?:\([^)]*\)\s*)?(\w+)")),
     ("arrow_function", re.compile(r"\b(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:\([^)]*\)|\w+)\s*(?::[^=\n]+)?=>")),
@@ -145,9 +146,11 @@ def _block_end(text: str, at: int) -> int:
 def _scan_braces(code: str, stem: str) -> tuple[list[tuple], list[Edge]]:
     bare = _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), code)
     found: list[tuple[str, str, int, int]] = []
+    declared = set()  # where the names stand: these are no calls
     for kind, pattern in _DECLARATIONS:
         for m in pattern.finditer(bare):
-            found.append((kind, next(g for g in m.groups() if g), m.start(), _block_end(bare, m.end())))
+            found.append((kind, m.group(m.lastindex), m.start(), _block_end(bare, m.end())))
+            declared.add(m.start(m.lastindex))
     bodies = [(a, b, name) for kind, name, a, b in found if kind in ("class", "interface")]
     taken = {(name, a) for _, name, a, _ in found}
     for m in _METHOD.finditer(bare) if bodies else ():
@@ -188,7 +191,7 @@ def _scan_braces(code: str, stem: str) -> tuple[list[tuple], list[Edge]]:
             ahead += 1
         while around and around[-1][1] <= name.start():
             around.pop()
-        if around and name.start() not in starts and not re.search(r"\b(?:function\*?|fn|func)\s*$", bare[max(0, name.start() - 20) : name.start()]):
+        if around and name.start() not in starts and name.start() not in declared:
             edges.append((around[-1][2], name.group().lower(), "calls", 0.8, line(m.end() - 1)))
     return symbols, edges
 

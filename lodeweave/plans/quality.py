@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import code as C
+from ..operators import indexing as I
 from .registry import query, table, wide_table
 
 #: Documents read as code: lines that begin with 'The' or 'And' declare functions.
@@ -37,19 +38,96 @@ def t3(spark, d):
     return C.split_code(rows, size=1 << 30).select("id", "chunk", "start_line", "end_line", "language", F.md5("content").alias("content"))
 
 
-@query("t4_symbols", r"SELECT doc_id AS id, unnest(regexp_extract_all(text, '(?m)^(The|And) (\w+)', 1)) AS name FROM documents WHERE regexp_matches(text, '(?m)^(The|And) (\w+)')")
+#: Files made from each document: the language, by the document's number, and code in which # stands for that number.
+PROGRAMS = {
+    "typescript": "import { z } from './zed#';\nexport class Dog# extends Animal implements Pet# {\n  constructor(private n: string) { super(n); }\n  bark(): void { this.voice.play('wau'); helper#(1); }\n}\ninterface Pet# { n: string }\ntype Id# = string;\nconst twice# = (x: number) => helper#(x) * 2;\nasync function helper#(x) { if (x) { return x; } }\n",
+    "python": "import os#\nfrom .b import c\nclass A#(B):\n    def __init__(self):\n        self.Perform#()\n\n    class Within:\n        def deep(self):\n            f#()\n\ndef f#():\n    def g():\n        pass\n    return os.path.Join('é')\n",
+    "rust": "use a::b#;\nstruct P# { x: i32 }\nfn add#(x: i32) -> i32 { x }\nfn go#() { add#(1); }\n",
+    "go": "type T# struct {\n  n int\n}\ntype R# interface { Read() }\nfunc (t T#) Go#(x int) int { return Add#(x) }\nfunc Add#(x int) int { return x }\n",
+}
+#: What they declare: kind, name, parent; and their edges: from, to, kind, line.
+_DECLARED = {
+    "typescript": [("class", "Dog#", ""), ("constructor", "constructor", "Dog#"), ("method", "bark", "Dog#"), ("interface", "Pet#", ""), ("type", "Id#", ""), ("arrow_function", "twice#", ""), ("function", "helper#", "")],
+    "python": [("class", "A#", ""), ("constructor", "__init__", "A#"), ("class", "Within", "A#"), ("method", "deep", "A#.Within"), ("function", "f#", ""), ("function", "g", "f#")],
+    "rust": [("class", "P#", ""), ("function", "add#", ""), ("function", "go#", "")],
+    "go": [("class", "T#", ""), ("interface", "R#", ""), ("function", "Go#", ""), ("function", "Add#", "")],
+}
+_EDGES = {
+    "typescript": [("", "./zed#", "imports", 1), ("Dog#", "Animal", "extends", 2), ("Dog#", "Pet#", "implements", 2), ("Dog#.bark", "play", "calls", 4), ("Dog#.bark", "helper#", "calls", 4), ("twice#", "helper#", "calls", 8)],
+    "python": [("", "os#", "imports", 1), ("", ".b", "imports", 2), ("A#", "B", "extends", 3), ("A#.__init__", "perform#", "calls", 5), ("A#.Within.deep", "f#", "calls", 9), ("f#", "join", "calls", 14)],
+    "rust": [("", "a::b#", "imports", 1), ("go#", "add#", "calls", 4)],
+    "go": [("Go#", "add#", "calls", 5)],
+}
+
+
+def _values(rows):
+    return ", ".join("(" + ", ".join([str(n), *(repr(x) if isinstance(x, str) else str(x) for x in r)]) + ")" for n, of in enumerate(rows.values()) for r in of)
+
+
+def programs(spark, d):
+    """id, code, lang, stem of a file for each document."""
+    docs = wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    names, codes = (F.array(*map(F.lit, x)) for x in (PROGRAMS, PROGRAMS.values()))
+    at = (F.col("id") % len(PROGRAMS)).cast("int")
+    return docs.select("id", F.replace(F.get(codes, at), F.lit("#"), F.col("id").cast("string")).alias("code"), F.get(names, at).alias("lang"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("stem"))
+
+
+@query("t4_symbols", f"""WITH s(n, kind, name, parent) AS (VALUES {_values(_DECLARED)}), x AS (SELECT doc_id AS id, kind, replace(name, '#', doc_id::VARCHAR) AS name, replace(parent, '#', doc_id::VARCHAR) AS parent FROM documents JOIN s ON n = doc_id % {len(PROGRAMS)})
+SELECT id, kind, name, CASE WHEN parent <> '' THEN 'f' || id || '.' || parent END AS parent, 'f' || id || CASE WHEN parent <> '' THEN '.' || parent ELSE '' END || '.' || name AS qualified_name FROM x""")
 def t4(spark, d):
-    """Functions found by the extractor; with a space after the keyword the declared name is 'The' or 'And'."""
-    rows = wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", r"(?m)^(The|And) (\w+)", "function $1() {}\n").alias("code"), F.lit("typescript").alias("lang"), F.lit("f").alias("stem"))
-    return C.extract_symbols(rows).where("kind = 'function'").select("id", "name")
+    """Classes, methods, interfaces, types and functions, nested ones too, of files in four languages."""
+    return C.extract_symbols(programs(spark, d)).select("id", "kind", "name", "parent", "qualified_name")
 
 
-@query("t5_edges", "SELECT doc_id AS id, 'f.f' AS src_qn, 'g' || doc_id % 3 AS dst_qn, 'calls' AS kind, 0.8::DOUBLE AS confidence, 2 AS line FROM documents UNION ALL SELECT doc_id, 'f', './' || source, 'imports', 1.0, 1 FROM documents")
+@query("t5_edges", f"""WITH e(n, src, dst, kind, line) AS (VALUES {_values(_EDGES)})
+SELECT doc_id AS id, 'f' || doc_id || CASE WHEN src <> '' THEN '.' || replace(src, '#', doc_id::VARCHAR) ELSE '' END AS src_qn, replace(dst, '#', doc_id::VARCHAR) AS dst_qn, kind, CASE kind WHEN 'calls' THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence, line::INT AS line FROM documents JOIN e ON n = doc_id % {len(PROGRAMS)}""")
 def t5(spark, d):
-    """Imports and calls of a small file made from each document's columns."""
-    code = F.concat(F.lit("import x from './"), "source", F.lit("';\nfunction f() { a.b.G"), (F.col("doc_id") % 3).cast("string"), F.lit("(1); }\n"))
-    rows = wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), code.alias("code"), F.lit("typescript").alias("lang"), F.lit("f").alias("stem"))
-    return C.extract_edges(rows)
+    """Imports, inheritance and calls of the same files."""
+    return C.extract_edges(programs(spark, d))
+
+
+def indexed(spark, d):
+    """The index after all files, a batch in which one file in seven is another, and that batch again."""
+    index, first = I.empty_index(spark), programs(spark, d).withColumn("path", F.concat_ws("/", "lang", "stem"))
+    changed = first.where("id % 7 = 0").withColumn("code", F.lit("class New {\n  run() { help(); }\n}\nfunction help() {}\n")).withColumn("lang", F.lit("typescript"))
+    for batch in (first, changed, changed):
+        index = I.index_files(batch, index)
+    return index
+
+
+_NEW = "id % 7 = 0"
+_INDEX = f"""f AS (SELECT doc_id AS id, ['typescript', 'python', 'rust', 'go'][doc_id % 4 + 1] || '/f' || doc_id AS path FROM documents),
+s(n, kind, name, parent) AS (VALUES {_values(_DECLARED)}),
+x AS (SELECT id, path, kind, replace(name, '#', id::VARCHAR) AS name, replace(parent, '#', id::VARCHAR) AS parent FROM f JOIN s ON n = id % 4 WHERE NOT {_NEW}
+  UNION ALL SELECT id, path, kind, name, parent FROM f, (VALUES ('class', 'New', ''), ('method', 'run', 'New'), ('function', 'help', '')) v(kind, name, parent) WHERE {_NEW}),
+y AS (SELECT id, path, kind, 'f' || id || '.' || CASE WHEN parent <> '' THEN parent || '.' ELSE '' END || name AS qn, CASE WHEN parent <> '' THEN 'f' || id || '.' || parent END AS pqn FROM x)"""
+
+
+@query("index_symbols", f"WITH {_INDEX} SELECT path, kind, qn AS qualified_name, pqn AS parent FROM y")
+def index_symbols(spark, d):
+    """Symbols of an index over three batches, with their parents."""
+    s = indexed(spark, d)["symbols"]
+    return s.alias("s").join(s.select(F.col("id").alias("p"), F.col("qualified_name").alias("parent")), F.col("s.parent_id") == F.col("p"), "left").select("path", "kind", "qualified_name", "parent")
+
+
+@query("index_edges", f"""WITH {_INDEX}, e(n, src, dst, score) AS (VALUES (0, 'Dog#.bark', 'helper#', 0.95), (0, 'twice#', 'helper#', 0.95), (1, 'A#.Within.deep', 'f#', 0.95), (2, 'go#', 'add#', 0.95), (3, 'Go#', 'Add#', 0.85))
+SELECT 'f' || id || '.' || replace(src, '#', id::VARCHAR) AS src, 'f' || id || '.' || replace(dst, '#', id::VARCHAR) AS dst, score::DOUBLE AS confidence FROM f JOIN e ON n = id % 4 WHERE NOT {_NEW}
+UNION ALL SELECT 'f' || id || '.New.run', 'f' || id || '.help', 0.95::DOUBLE FROM f WHERE {_NEW}""")
+def index_edges(spark, d):
+    """Calls that the index resolved; those to names that no file declares, or many do alike, are not held."""
+    index = indexed(spark, d)
+    s = index["symbols"]
+    ends = index["edges"].where("kind = 'calls'").join(s.select(F.col("id").alias("src"), F.col("qualified_name").alias("a")), "src").join(s.select(F.col("id").alias("dst"), F.col("qualified_name").alias("b")), "dst")
+    return ends.select(F.col("a").alias("src"), F.col("b").alias("dst"), "confidence")
+
+
+@query("index_chunks", f"""WITH {_INDEX}, c(n, chunk, name, first, last) AS (VALUES (0, 0, NULL, 1, 1), (0, 1, 'Dog#', 1, 5), (0, 2, 'Pet#', 1, 6), (0, 3, 'Id#', 1, 7), (0, 4, 'twice#', 1, 8), (0, 5, 'helper#', 1, 10), (9, 0, 'New', 1, 3), (9, 1, 'help', 1, 5))
+SELECT path, chunk::INT AS chunk, last::INT AS end_line, chunk = 0 AS bare FROM f JOIN c ON n = CASE WHEN {_NEW} THEN 9 ELSE id % 4 END WHERE {_NEW} OR id % 4 = 0""")
+def index_chunks(spark, d):
+    """Chunks of the files in TypeScript, after three batches."""
+    chunks = indexed(spark, d)["chunks"]
+    kept = chunks.where("path LIKE 'typescript/%' OR content LIKE '%New%'")
+    return kept.select("path", "chunk", "end_line", (F.col("chunk") == 0).alias("bare"))
 
 
 #: (path, code) of small files for the checks.
