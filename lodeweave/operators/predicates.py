@@ -9,6 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def point_lookup(rows: DataFrame, wanted: list[str], column: str, order: str = "id") -> DataFrame:
+    """A row for each of the (few) values ``wanted``: the first by ``order`` that has it, or nulls and an ``error``."""
+    hits = rows.where(F.col(column).isin(wanted)).groupBy(F.col(column).alias("__key")).agg(F.min_by(F.struct(*rows.columns), order).alias("__row"))
+    asked = rows.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(wanted)], "wanted string")
+    out = asked.join(hits, F.col("wanted") == F.col("__key"), "left")
+    return out.select("wanted", "__row.*", F.when(F.col("__key").isNull(), F.concat(F.lit("not found: "), "wanted")).alias("error"))
+
+
 def keyword(df: DataFrame, column: str, words: str) -> DataFrame:
     """Rows whose column contains ``words`` in any case; % and _ in them are wildcards."""
     return df.where(F.col(column).ilike(f"%{words}%"))

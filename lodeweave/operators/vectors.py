@@ -48,8 +48,8 @@ def hashing_embedder(dim: int = 64) -> Callable:
         for text in texts:
             v = np.zeros(dim)
             for word in (text or " ").lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-                v[h % dim] += 1 if h >> 63 else -1
+                h = hashlib.md5(word.encode(), usedforsecurity=False).digest()
+                v[int.from_bytes(h[:4], "big") % dim] += 1 if h[4] >> 7 else -1
             n = np.linalg.norm(v)
             out.append((v / n if n else v).tolist())
         return pd.Series(out)

@@ -22,10 +22,13 @@ def a2(spark, d):
     return A.with_total(files(spark, d).select("lang"), ["lang"], n=F.count("*")).orderBy(F.desc("n"), "lang")
 
 
-@query("a3_counts_per_owner", over("turns", "SELECT session_id, count(*) AS n FROM turns GROUP BY session_id"))
+@query("a3_counts_per_owner", over("turns chunks", "SELECT 'turns' AS kind, session_id AS owner, count(*) AS n FROM turns GROUP BY session_id UNION ALL SELECT 'chunks', file_id % 50, count(*) FROM chunks GROUP BY 2 UNION ALL SELECT 'cold', NULL, count(*) FROM chunks WHERE token_count > 600"))
 def a3(spark, d):
-    """Turns of each session; chunks of a file and cold items are the same count."""
-    return turns(spark, d).groupBy("session_id").agg(F.count("*").alias("n"))
+    """Turns of each session, chunks of each file, and the items that are too large to stay in a cache."""
+    c, count = chunks(spark, d), F.count("*").alias("n")
+    cold = c.where("token_count > 600").agg(count).select(F.lit("cold").alias("kind"), F.lit(None).cast("long").alias("owner"), "n")
+    own = c.groupBy((F.col("file_id") % 50).alias("owner")).agg(count).select(F.lit("chunks").alias("kind"), "owner", "n")
+    return turns(spark, d).groupBy(F.col("session_id").alias("owner")).agg(count).select(F.lit("turns").alias("kind"), "owner", "n").unionByName(own).unionByName(cold)
 
 
 @query("a4_sum_and_exists", """SELECT c_custkey AS task, coalesce(sum(o_shippriority), 0)::BIGINT AS tokens, count(o_shippriority) > 0 AS held FROM

@@ -9,10 +9,11 @@ from .registry import query, table
 from .relations import actions, chunks, edges, facts, files, over, symbols, usage
 
 
-@query("p1_point_lookup", over("symbols", "SELECT id, qualified_name, kind FROM symbols WHERE qualified_name = 'Brand#17.red widget' ORDER BY id LIMIT 1"))
+@query("p1_point_lookup", over("symbols", """, w AS (SELECT unnest(['Brand#17.red widget', 'Brand#17.no such thing', 'brand#17.red widget']) AS wanted), f AS (SELECT wanted, min(s.id) AS id FROM w LEFT JOIN symbols s ON qualified_name = wanted GROUP BY wanted)
+SELECT wanted, f.id, kind, CASE WHEN f.id IS NULL THEN 'not found: ' || wanted END AS error FROM f LEFT JOIN symbols s ON s.id = f.id""").replace("\n, w AS", ", w AS"))
 def p1(spark, d):
-    """A symbol by its qualified name, the lowest id of equal ones."""
-    return symbols(spark, d).where(F.col("qualified_name") == "Brand#17.red widget").orderBy("id").limit(1).select("id", "qualified_name", "kind")
+    """Symbols by their qualified names, of equal ones the lowest id; a name that nothing has gives an error."""
+    return P.point_lookup(symbols(spark, d), ["Brand#17.red widget", "Brand#17.no such thing", "brand#17.red widget"], "qualified_name").select("wanted", "id", "kind", "error")
 
 
 @query("p2_keyword", over("chunks", "SELECT id, token_count FROM chunks WHERE content ILIKE '%LICENSE%'"))

@@ -46,11 +46,13 @@ def s3(spark, d):
     return found.select(F.regexp_extract("path", r"^([a-z]+)\.parquet", 1).alias("name")).distinct()
 
 
-@query("s4_hash_scan", "SELECT name, 64 AS n FROM (VALUES ('nation'), ('region')) t(name)")
+@query("s4_hash_scan", "SELECT n_nationkey AS id, sha256(n_name || chr(10)) AS hash FROM nation WHERE n_nationkey NOT IN (2, 3, 20, 21, 22, 23, 24)")
 def s4(spark, d):
-    """SHA-256 of the files that ignore patterns leave."""
-    keep = S.hashes(spark, d, [f"{t}.parquet" for t in TABLES if t not in ("nation", "region")], PARQUET)
-    return keep.select(F.regexp_extract("path", r"^([a-z]+)\.parquet", 1).alias("name"), F.length("hash").alias("n")).distinct()
+    """SHA-256 of the files that ignore patterns leave; a file a nation."""
+    path = new_path(spark, "tree")
+    table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("value")).coalesce(1).write.partitionBy("id").text(path)
+    keep = S.hashes(spark, path, ["id=3", "id=2*/"], {"txt": "text"})
+    return keep.select(F.regexp_extract("path", r"^id=([0-9]+)/", 1).cast("int").alias("id"), "hash")
 
 
 @query("s5_open_model", "SELECT unnest(['chunks', 'cold_context', 'edges', 'facts', 'files', 'manifests', 'session_turns', 'sessions', 'shared_facts', 'symbols', 'usage']) AS name")

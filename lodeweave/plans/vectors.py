@@ -33,11 +33,13 @@ def x4(spark, d):
     return a.join(b, "id").select("id", F.round(V.cosine(F.col("embedding"), F.col("b")), 6).alias("cosine"))
 
 
-@query("e1_embedder", "SELECT item_id AS id, 64 AS dim, 1.0::DOUBLE AS norm FROM benchmark")
+@query("e1_embedder", r"""WITH w AS (SELECT item_id AS id, unnest([x FOR x IN string_split_regex(lower(text), '\s+') IF x <> '']) AS w FROM benchmark),
+c AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS place, sum(CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1 ELSE -1 END) AS n FROM w GROUP BY ALL),
+l AS (SELECT id, sqrt(sum(n * n)) AS norm FROM c GROUP BY id) SELECT id, place::INT AS place, round(n / norm, 6) AS value FROM c JOIN l USING (id) WHERE n <> 0""")
 def e1(spark, d):
-    """Benchmark texts through the hashing embedder."""
+    """Benchmark texts through the hashing embedder: every component that is not 0."""
     rows = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), V.hashing_embedder()("text").alias("v"))
-    return rows.select("id", F.size("v").alias("dim"), F.round(F.sqrt(V.dot(F.col("v"), F.col("v"))), 6).alias("norm"))
+    return rows.select("id", F.posexplode("v").alias("place", "value")).where("value <> 0").withColumn("value", F.round("value", 6))
 
 
 @query("e2_summariser", "SELECT conv_id AS session_id, string_agg(replace(substr(text, 1, 40), chr(10), ' '), ' | ' ORDER BY turn) AS summary FROM conversations GROUP BY conv_id")

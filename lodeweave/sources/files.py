@@ -15,12 +15,18 @@ LANGUAGES = {
 }
 #: Folders that a walk never enters, besides those with a dot (fixed values).
 SKIPPED = ["node_modules", "dist", "build"]
+#: The same for the project profile, which has its own: languages by extension, and folders (fixed values).
+PROFILE_LANGUAGES = {
+    "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "py": "Python", "rs": "Rust", "go": "Go", "java": "Java", "cpp": "C++", "c": "C", "rb": "Ruby",
+}
+PROFILE_SKIPPED = ["node_modules", "dist", "build", "target", "__pycache__"]
 
 
 def scan(spark: SparkSession, folder: str, languages: dict[str, str] = LANGUAGES, skipped: list[str] = SKIPPED, content: bool = True, mapped: bool = True) -> DataFrame:
     """Files below ``folder``, only those with a mapped extension if ``mapped``: ``path`` (relative), ``lang``, ``mtime`` (ms), ``size`` and, if asked for, ``content``.
 
-    Names that begin with a dot and skipped folders are left out. Without ``content`` no file is opened.
+    Names that begin with a dot and skipped folders are left out, and files of no bytes, which Spark's file sources pass over.
+    Without ``content`` no file is opened.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     base = folder.rstrip("/").split("://")[-1].lstrip("/")
@@ -35,6 +41,11 @@ def scan(spark: SparkSession, folder: str, languages: dict[str, str] = LANGUAGES
     return files.where("lang IS NOT NULL") if mapped else files
 
 
+def project_profile(spark: SparkSession, folder: str, depth: int = 5) -> DataFrame:
+    """``profile`` of a folder by the profile's own rules."""
+    return profile(scan(spark, folder, PROFILE_LANGUAGES, PROFILE_SKIPPED, content=False, mapped=False), depth)
+
+
 def profile(files: DataFrame, depth: int = 5) -> DataFrame:
     """Languages down to a depth, most files first: ``lang``, ``n``, and of all files ``file_count`` and whether a name speaks of tests (``has_tests``)."""
     near = files.where(F.size(F.split("path", "/")) <= depth + 1)

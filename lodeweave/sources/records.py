@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import logging
+import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,24 +36,79 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_config(spark: SparkSession, path: str, defaults: dict) -> dict:
-    """A configuration file over defaults; an absent or broken one gives the defaults. JSON, and YAML where its parser is installed.
+    """A configuration file, JSON or YAML, over defaults. An absent one gives the defaults, a broken one too, with a warning in the log.
 
-    Read through Spark, so that it can lie in any store; call it once a micro-batch to follow changes.
+    Read through Spark, so that it can lie in any store; call it once a micro-batch to follow changes. Any other failure to read is raised.
     """
     try:
         text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    except Exception:  # noqa: BLE001 - an absent file is allowed
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e.getCondition()):
+            raise
         return dict(defaults)
     try:
-        found = json.loads(text)
-    except ValueError:
-        try:
-            import yaml
-
-            found = yaml.safe_load(text)
-        except Exception:  # noqa: BLE001
-            found = None
-    return {**defaults, **found} if isinstance(found, dict) else dict(defaults)
+        found = yaml_mapping(text)
+    except ValueError as e:
+        logging.getLogger(__name__).warning("%s is not read, the defaults hold: %s", path, e)
+        return dict(defaults)
+    return {**defaults, **found}
+
+
+def yaml_mapping(text: str) -> dict:
+    """The mapping in a JSON text or a YAML one: nested mappings and lists by indentation, JSON in a line, plain and quoted scalars, comments.
+
+    No anchors, tags or text blocks: those are a ValueError, as is what is not a mapping.
+    """
+    lines = [(len(x) - len(x.lstrip(" ")), x.strip()) for x in (re.sub(r"(^|\s)#.*$", "", y) if '"' not in y and "'" not in y else y for y in text.split("\n")) if x.strip() not in ("", "---")]
+
+    def scalar(x: str) -> object:
+        if x.startswith(("{", "[", '"')):
+            return json.loads(x)
+        if x[:1] == "'" and x[-1:] == "'" and len(x) > 1:
+            return x[1:-1].replace("''", "'")
+        if x.startswith(tuple("&*!|>%@`")):
+            raise ValueError(f"not read: {x}")
+        if x.lower() in ("", "~", "null"):
+            return None
+        if x.lower() in ("true", "false"):
+            return x.lower() == "true"
+        for kind in (int, float):
+            try:
+                return kind(x)
+            except ValueError:
+                pass
+        return x
+
+    def block(at: int, indent: int) -> tuple[object, int]:
+        out: dict | list | None = None
+        while at < len(lines) and lines[at][0] == indent:
+            line = lines[at][1]
+            item, pair = line == "-" or line.startswith("- "), re.match(r"""("[^"]*"|'[^']*'|[^\s:'"{\[#-][^:]*?|-?\w+)\s*:(?:\s+(.*))?$""", line)
+            if isinstance(out, dict if item else list) or not (item or pair):
+                raise ValueError(f"not read: {line}")
+            out = out if out is not None else [] if item else {}
+            rest = line[1:].strip() if item else (pair.group(2) or "").strip()
+            at += 1
+            if not rest and at < len(lines) and lines[at][0] > indent:
+                value, at = block(at, lines[at][0])
+            elif item and re.match(r"[\w\"'][^{\[]*?:(\s|$)", rest):
+                lines[at - 1] = (indent + len(line) - len(rest), rest)
+                value, at = block(at - 1, lines[at - 1][0])
+            else:
+                value = scalar(rest)
+            if item:
+                out.append(value)
+            else:
+                out[scalar(pair.group(1))] = value
+        return out, at
+
+    if text.lstrip()[:1] == "{":
+        found, end = json.loads(text), len(lines)
+    else:
+        found, end = block(0, lines[0][0]) if lines else ({}, 0)
+    if not isinstance(found, dict) or end < len(lines):
+        raise ValueError("not a mapping")
+    return found
 
 
 def append_decisions(decisions: DataFrame, facts_path: str) -> None:

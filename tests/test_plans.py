@@ -7,7 +7,7 @@ from lodeweave import plans
 #: Joins with a side of one row or a request's few fragments, where no key exists.
 KEYLESS = {"p4_path_fragment", "k5_limit_per_fragment", "p17_level_filter", "a9_complexity", "a11_duplicate_rate", "k6_worst_functions", "e4_plug_ins"}
 #: Queries that run jobs of their own to build their result.
-EAGER = tuple(f"st{i}_" for i in range(1, 10)) + tuple(f"s{i}_" for i in range(1, 15)) + ("m5_", "m6_")
+EAGER = tuple(f"st{i}_" for i in range(1, 10)) + tuple(f"s{i}_" for i in range(1, 15)) + ("m5_", "m6_", "index_")
 
 
 def plan(df):

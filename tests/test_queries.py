@@ -6,13 +6,15 @@ from compare import same_rows
 from lodeweave import plans
 
 
+#: Queries without SQL, which other tests hold against plain loops: test_closed_forms (chunks), test_sources (streams).
+ELSEWHERE = {"t2_packed_chunks", "st2_pager_stream", "st4_log_tail"}
+
+
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, duck, small, name):
     df = plans.QUERIES[name](spark, small)
-    if name in plans.SQL:
+    if name not in ELSEWHERE:
         same_rows(df, plans.SQL[name], duck)
-    else:
-        assert df.count() >= 0
 
 
 def test_entry(spark):

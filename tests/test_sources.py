@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lodeweave import plans
 from lodeweave.functions import text as X
 from lodeweave.operators import mutations as M
 from lodeweave.operators import predicates as P
@@ -133,3 +134,96 @@ def test_clusters_need_a_shared_folder():
             shared_folder(Fake(master))
     for master in ("local", "local[*]", "local[8]", "local[8, 2]"):
         assert shared_folder(Fake(master)).startswith("file://")
+
+
+def test_yaml_mappings():
+    text = """---
+# routes
+retries: 7   # often
+rate: 0.5
+name: "a: b # c"
+other: 'it''s'
+none:
+on: true
+empty: ~
+url: http://x.org/y
+list:
+  - one
+  - 2
+  - {a: 1}
+nested:
+  deep:
+    x: -1
+    y: [1, 2]
+routes:
+  - tag: code
+    model: m1
+  - tag: docs
+    models:
+      - m2
+      - m3
+"""
+    with pytest.raises(ValueError):
+        R.yaml_mapping(text)  # a flow mapping without quotes
+    found = R.yaml_mapping(text.replace("{a: 1}", '{"a": 1}'))
+    assert found == {"retries": 7, "rate": 0.5, "name": "a: b # c", "other": "it's", "none": None, "on": True, "empty": None, "url": "http://x.org/y", "list": ["one", 2, {"a": 1}], "nested": {"deep": {"x": -1, "y": [1, 2]}}, "routes": [{"tag": "code", "model": "m1"}, {"tag": "docs", "models": ["m2", "m3"]}]}
+    assert R.yaml_mapping("") == {} and R.yaml_mapping('{"a": [1]}') == {"a": [1]}
+    for wrong in ("- a\n- b", ": : :", "a: |\n  text", "a: 1\n  b: 2", "a: &x 1", "just text", "a: 1\n- b"):
+        with pytest.raises(ValueError):
+            R.yaml_mapping(wrong)
+
+
+def test_profile_by_its_own_rules(spark, tmp_path):
+    names = ["a.ts", "b.TSX", "c.rb", "d.txt", "x/e.py", "x/y/my_spec.rb", "target/f.ts", "x/__pycache__/g.py", ".git/h.py", "node_modules/i.js", "1/2/3/4/5/in.go", "1/2/3/4/5/6/out.go"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("x")
+    got = [tuple(r) for r in S.project_profile(spark, str(tmp_path)).collect()]
+    assert sorted(r[:2] for r in got) == [("Go", 1), ("Python", 1), ("Ruby", 2), ("TypeScript", 2)] and {r[2:] for r in got} == {(7, True)}
+
+
+def test_hashes_of_files(spark, tmp_path):
+    import hashlib
+
+    for n, text in {"a.ts": "é", "b.py": "b\n", "skip/c.ts": "x", "d.md": "y"}.items():
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_text(text)
+    got = {r.path: r.hash for r in S.hashes(spark, str(tmp_path), ["skip/"]).collect()}
+    assert got == {n: hashlib.sha256(t.encode()).hexdigest() for n, t in {"a.ts": "é", "b.py": "b\n"}.items()}
+
+
+def test_paging_stream_against_a_loop(spark, small):
+    """Every turn added to a cache of 300 tokens, then the first one read, with lists."""
+    want = []
+    turns = {}
+    for r in spark.read.parquet(f"{small}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, -(-len(r.text) // 4)))
+    for conv, rows in turns.items():
+        hot, cold = [], {}
+
+        def put(item, n, at):
+            if n > 300:
+                cold[item] = n
+                want.append((conv, at, item, "cold"))
+                return
+            while hot and sum(x[1] for x in hot) + n > 300:
+                out = hot.pop(0)
+                cold[out[0]] = out[1]
+                want.append((conv, at, out[0], "cold"))
+            hot.append((item, n))
+
+        for turn, n in rows:
+            put(str(turn), n, 2 * turn)
+            if "0" in cold:
+                want.append((conv, 2 * turn + 1, "0", "hit"))
+                put("0", cold.pop("0"), 2 * turn + 1)
+            else:
+                want.append((conv, 2 * turn + 1, "0", "miss"))
+    got = [(r.cache, r.ord, r.item, r.event) for r in plans.QUERIES["st2_pager_stream"](spark, small).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_tail_of_a_stream(spark, small):
+    """One file is one micro-batch: its last event."""
+    last = spark.read.parquet(f"{small}/events.parquet").orderBy("event_id", ascending=False).first()
+    assert [tuple(r) for r in plans.QUERIES["st4_log_tail"](spark, small).collect()] == [(last.event_id, last.event_type)]
