@@ -4,7 +4,7 @@ Templates are whole public notices. The index holds, for each template, its word
 their positions. A file's highest-IDF licence words are looked up; each posting says where its template would begin, and a
 template is a candidate at a place where enough of its rare words agree on it. A mandatory key phrase is then verified
 word by word. Everything is an expression of the row: one scan, no shuffle, and time linear in the hits. A file without
-any word that a key phrase needs only has its words counted.
+any pair of words that a key phrase needs only has its words counted.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from functools import reduce
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,10 +79,11 @@ def compiled() -> list[Template]:
     return [Template(*t, idf) for t in TEMPLATES]
 
 
-def needed(index: list[Template]) -> list[str]:
-    """Words one of which every file with a label has: the first of a base phrase, the rarest of a key phrase."""
+def needed(index: list[Template]) -> list[tuple[str, str]]:
+    """Pairs of neighbouring words, one of which every file with a label has: the first of a base phrase, the rarest of a key phrase."""
     idf = {w: x for t in index for w, x in zip(t.words, t.weights, strict=True)}
-    return sorted({max(t.key, key=lambda w: (idf[w], w)) for t in index} | {p.split()[0] for p in BASE})
+    rarest = {max(pairwise(t.key), key=lambda p: (idf[p[0]] + idf[p[1]], p)) for t in index}
+    return sorted(rarest | {tuple(p.split()[:2]) for p in BASE})
 
 
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,8 +95,10 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     index = compiled()
     text = F.coalesce(F.col("__text"), F.lit(""))
-    edge = r"0-9a-zA-Z\x80-\x{10FFFF}"
-    indexed = text.rlike(rf"(?<![{edge}])(?:{'|'.join(f'(?i:{a})' for a in needed(index))})(?![{edge}])")
+    edge, between = r"0-9a-zA-Z\x80-\x{10FFFF}", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
+    pairs = needed(index)
+    begin = "".join(sorted({c for a, _ in pairs for c in (a[0], a[0].upper())}))
+    indexed = text.rlike(rf"(?<![{edge}])(?=[{begin}])(?:{'|'.join(f'(?i:{a}){between}(?i:{b})' for a, b in pairs)})(?![{edge}])")
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.when(F.col("__indexed"), F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)))
 
@@ -102,7 +106,8 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for n, t in enumerate(index):
         for i in t.rare:
             postings[t.words[i]].append((n, i))
-    list_of = lambda kind, values: F.array(*map(F.lit, values)).cast(f"array<{kind}>")
+    literal = lambda x: f"'{x}'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else str(x)
+    list_of = lambda kind, values: F.expr(f"cast(array({', '.join(map(literal, values))}) AS array<{kind}>)")
     entries = sorted(postings.items())
     numbers, starts = F.create_map(*(F.lit(x) for n, (w, _) in enumerate(entries) for x in (w, n))), [[n * PLACES - i for n, i in p] for _, p in entries]
     #: By template: its words, where its rare ones and its key phrase stand, the weights of its words.
