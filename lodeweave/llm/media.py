@@ -241,16 +241,17 @@ def media_facts(media: DataFrame) -> DataFrame:
     return facts.groupBy("digest").agg(*(F.min(c).alias(c) for c in names[1:]))  # equal digests have equal payloads
 
 
-def resolve(items: DataFrame, facts: DataFrame) -> DataFrame:
+def resolve(items: DataFrame, facts: DataFrame, texts: bool = True) -> DataFrame:
     """One row per item in ``items``: its other columns, ``position``, ``kind``, ``text``, ``digest``, ``caption`` and the media's columns.
 
     Media references without a media row, and text, have nulls there. ``position`` orders a document's items. Only
-    references meet the media table: text, which has no digest, is not shuffled.
+    references meet the media table: text, which has no digest, is not shuffled. Without ``texts``, references only.
     """
     others = [c for c in items.columns if c != "items"]
     each = items.select(*others, F.explode("items").alias("i")).select(*others, "i.*")
     refs = each.where("kind = 'media'").join(facts, "digest", "left")
-    return refs.unionByName(each.where("kind <> 'media'"), allowMissingColumns=True).select(*each.columns, *[c for c in facts.columns if c != "digest"])
+    out = refs.unionByName(each.where("kind <> 'media'"), allowMissingColumns=True) if texts else refs
+    return out.select(*each.columns, *[c for c in facts.columns if c != "digest"])
 
 
 def digest_of(data: bytes, payload: bytes) -> str:
@@ -305,5 +306,5 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = html_items(document_pages(docs), "doc_id")
     texts = F.transform(F.filter("items", lambda i: i["kind"] == "text"), lambda i: i["text"])
     items = items.select("doc_id", F.size("items").alias("n_items"), F.sha2(F.array_join(texts, "\n"), 256).alias("items_sha256"), F.filter("items", lambda i: i["kind"] == "media").alias("items"))
-    found = resolve(items, facts)
+    found = resolve(items, facts, texts=False)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "items_sha256")
