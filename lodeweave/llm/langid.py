@@ -208,15 +208,15 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     return Model(languages, column("kind").astype(np.int64), column("key").view(_U), column("lang").astype(np.int64), column("n"))
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text", least: float | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """All columns of ``df`` and ``names``: the language and its score (0 to 1: the posterior of the language); rows below ``least`` or ``und`` go where it is given.
+def identify(df: DataFrame, model: Model, text_col: str = "text", least: float | None = None, names: tuple[str, str] = ("lang_pred", "score"), carry: tuple[str, ...] | None = None) -> DataFrame:
+    """All columns of ``df``, or those of ``carry``, and ``names``: the language and its score (0 to 1: the posterior of the language); rows below ``least`` or ``und`` go where it is given.
 
     ``und`` with score 0 for a null or empty text, one without a letter, or an empty model. Equal texts get
     equal results; an empty table gives an empty one. Columns of those names in ``df`` are replaced. Very long texts
     count whole. A map over the scan with the model broadcast, whose size the bounds of ``train`` bound.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in df.columns if c not in names]
+    own = [c for c in (df.columns if carry is None else carry) if c not in names]
     n = len(own)
     at = own.index(text_col) if text_col in own else n
     part = df.select(*own, *([F.col(text_col).alias("__text")] if at == n else []))

@@ -20,7 +20,8 @@ def map_arrow(df: DataFrame, function: Callable[[Iterable[pa.RecordBatch]], Iter
     """``mapInArrow`` over slices of at most ARROW_ROWS rows; no setting of the session changes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return function(b.slice(i, ARROW_ROWS) for b in batches for i in range(0, max(1, b.num_rows), ARROW_ROWS))
+        yield from function(b.slice(i, ARROW_ROWS) for b in batches for i in range(0, max(1, b.num_rows), ARROW_ROWS))
+        pa.default_memory_pool().release_unused()  # workers wait for the next task, whatever that is
 
     return df.mapInArrow(run, schema)
 
