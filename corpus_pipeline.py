@@ -55,7 +55,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs)
     if not len(model.keys):
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return identify(docs, model, least=least_score(len(model.languages)), names=("__lang", "__score")).select(*docs.columns)
+    rows = with_row(docs)
+    found = identify(rows, model, names=("__lang", "__score"), carry=ROW)
+    return without(rows, found.where((F.col("__lang") == "und") | (F.col("__score") < least_score(len(model.languages)))))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
