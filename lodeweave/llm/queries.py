@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, licenses, media, mixing, ngram_join, packing, pii, secrets, tokens
+from . import decontamination, exact_dedup, filter_audit, langid, licenses, media, mixing, ngram_join, packing, pii, secrets, tokens, whitening
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         ngram_join.op8_ngram_join,
         mixing.op9_mixing,
         licenses.op10_license_scan,
+        whitening.op11_whitening,
+        decontamination.op12_decontamination,
+        filter_audit.op13_filter_audit,
     )
 }
 
@@ -26,4 +29,6 @@ SQL = {
     "op8_ngram_join": ngram_join.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_license_scan": licenses.OP10_SQL,
+    "op12_decontamination": decontamination.OP12_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
