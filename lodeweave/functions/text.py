@@ -66,17 +66,33 @@ def stack_frame(line: Column) -> Column:
     return F.struct(trimmed.alias("raw"), part(1).alias("fn"), part(2).alias("file"), part(3).cast("int").alias("line"), part(4).cast("int").alias("col"))
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
-    """Array of (text, start) of all matches of a pattern that never matches nothing; offsets in code points from 0."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int>>").alias("out"))
+def running_sums(numbers: Column, block: int = 64) -> Column:
+    """The sum up to and with each number of an array, by sums of blocks: no fold that copies an array at every step."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    let = lambda x, of: F.get(F.transform(F.array(x), of), F.lit(0))  # noqa: E731  # x is evaluated once, whatever is read of it
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["b"])
-        return F.struct((at + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("text"), at.alias("start")))).alias("out"))
+    def over(a: Column) -> Column:
+        blocks = F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda b: total(F.slice(a, b * block + 1, F.lit(block)))))
+        before = let(blocks, lambda sums: F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i))))
+        return let(before, lambda held: F.transform(a, lambda _, i: F.get(held, F.floor(i / block).cast("int")) + total(F.slice(a, i - i % block + 1, i % block + 1))))
 
-    out = F.aggregate(F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b"))), start, step)["out"]
-    return F.when(text.rlike(pattern), out).otherwise(F.array().cast("array<struct<text:string,start:int>>"))  # most texts have none
+    return let(numbers, over)
+
+
+def match_offsets(text: Column, pattern: str | Column, lines: bool = False) -> Column:
+    """Array of (text, start) and, if asked for, line of all matches of a pattern that never matches nothing; offsets in code points from 0, lines from 1."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+
+    def placed(x: Column) -> Column:
+        before = lambda of: running_sums(F.zip_with(x["between"], F.array_insert(x["found"], 1, F.lit("")), lambda b, m: of(b) + of(m)))
+        sums = F.arrays_zip(x["found"].alias("text"), before(F.length).alias("start"), *([before(breaks).alias("line")] if lines else []))
+        return F.transform(F.slice(sums, F.lit(1), F.size(x["found"])), lambda s: F.struct(s["text"].alias("text"), s["start"].alias("start"), *([(s["line"] + 1).alias("line")] if lines else [])))
+
+    one = F.array(F.struct(found.alias("found"), between.alias("between")))
+    none = F.array().cast(f"array<struct<text:string,start:int{',line:int' if lines else ''}>>")
+    return F.when(F.rlike(text, pattern), F.get(F.transform(one, placed), F.lit(0))).otherwise(none)  # most texts have none
 
 
 def content_hash(text: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import itertools
 import re
 from collections.abc import Iterable, Iterator
@@ -14,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_bounds, match_offsets
+from ..functions.text import ascii_bounds, match_offsets, running_sums
+from .structure import scan_code
 
 #: What begins a top-level declaration, on a left-trimmed line; other languages are read as TypeScript (fixed values).
 BOUNDARIES = {
@@ -109,140 +109,6 @@ def split_code(files: DataFrame, id_col: str = "id", code: str = "code", lang: s
     return part.mapInArrow(run, f"`{id_col}` {part.schema[0].dataType.simpleString()}, chunk int, content string, start_line int, end_line int, language string")
 
 
-# Symbols. Grammars are not at hand: Python is parsed, brace languages are scanned by declaration patterns.
-_NOISE = re.compile(r"""/\*[\s\S]*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""")
-_DECLARATIONS = [
-    ("class", re.compile(r"\b(?:class|struct|trait|enum)\s+(\w+)")),
-    ("class", re.compile(r"\btype\s+(\w+)\s+struct\b")),
-    ("interface", re.compile(r"\binterface\s+(\w+)|\btype\s+(\w+)\s+interface\b")),
-    ("type", re.compile(r"\btype\s+(\w+)[^=\n;]*=")),
-    ("function", re.compile(r"\b(?:function\*?|fn)\s+(\w+)|\bfunc\s+(?:\([^)]*\)\s*)?(\w+)")),
-    ("arrow_function", re.compile(r"\b(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:\([^)]*\)|\w+)\s*(?::[^=\n]+)?=>")),
-]
-_METHOD = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|internal|static|async|readonly|override|final|virtual|abstract|get|set)\s+)*(?:[\w<>\[\],.*&?]+\s+)?(\w+)\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?::\s*[^{;=]+)?(?:throws\s+[\w, ]+)?\{")
-_CALLEE = re.compile(r"[\w$]+")
-_WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "fn", "func", "typeof", "new", "await", "super", "else", "do", "try", "match", "sizeof", "def", "elif", "with", "lambda", "not", "and", "or", "in", "constructor"}
-
-Found = tuple[str, str, str | None, int, int]  # kind, name, parent's qualified name, start, end (bytes)
-Edge = tuple[str, str, str, float, int]  # src, dst, kind, confidence, line
-
-
-def _block_end(text: str, at: int) -> int:
-    """The end of the block or statement that begins at ``at``."""
-    depth = 0
-    for i in range(at, len(text)):
-        c = text[i]
-        if c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth <= 0:
-                return i + 1
-        elif c == ";" and not depth:
-            return i + 1
-    return len(text)
-
-
-def _scan_braces(code: str, stem: str) -> tuple[list[tuple], list[Edge]]:
-    bare = _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), code)
-    found: list[tuple[str, str, int, int]] = []
-    declared = set()  # where the names stand: these are no calls
-    for kind, pattern in _DECLARATIONS:
-        for m in pattern.finditer(bare):
-            found.append((kind, m.group(m.lastindex), m.start(), _block_end(bare, m.end())))
-            declared.add(m.start(m.lastindex))
-    bodies = [(a, b, name) for kind, name, a, b in found if kind in ("class", "interface")]
-    taken = {(name, a) for _, name, a, _ in found}
-    for m in _METHOD.finditer(bare) if bodies else ():
-        name, at = m.group(1), m.start(1)
-        inside = [x for x in bodies if x[0] < at < x[1]]
-        if name in _WORDS - {"constructor"} or not inside or any(a <= at < b and kind in ("function", "arrow_function") for kind, _, a, b in found):
-            continue
-        owner = max(inside)
-        if bare.count("{", owner[0], at) - bare.count("}", owner[0], at) == 1 and (name, at) not in taken:
-            found.append(("constructor" if name in ("constructor", owner[2]) else "method", name, at, _block_end(bare, m.end() - 1)))
-    found.sort(key=lambda x: (x[2], -x[3]))
-    symbols, stack = [], []
-    for kind, name, a, b in found:
-        while stack and stack[-1][1] <= a:
-            stack.pop()
-        parent = stack[-1][0] if stack else None
-        qualified = f"{parent or stem}.{name}"
-        symbols.append((kind, name, qualified, parent, a, b))
-        stack.append((qualified, b))
-    edges: list[Edge] = []
-    line = lambda i: code.count("\n", 0, i) + 1
-    for m in re.finditer(r"""(?m)^\s*import\b[^'"\n;]*?['"]([^'"\n]+)['"]|\brequire\(\s*['"]([^'"\n]+)['"]|^\s*(?:import|use|using)\s+(?:static\s+)?([\w.:]+)\s*;|^\s*#include\s*[<"]([^>"\n]+)""", code):
-        edges.append((stem, next(g for g in m.groups() if g), "imports", 1.0, line(m.start())))
-    for m in re.finditer(r"\b(?:class|interface)\s+(\w+)(?:<[^>{]*>)?([^{;]*)\{", bare):
-        owner = next((q for k, n, q, _, a, b in symbols if n == m.group(1) and a <= m.start() < b), f"{stem}.{m.group(1)}")
-        for word, bases in re.findall(r"\b(extends|implements)\s+([\w$.<>, ]+?)(?=\bextends\b|\bimplements\b|$)", m.group(2).strip()):
-            edges += [(owner, base, word, 1.0, line(m.start())) for base in re.sub(r"<[^>]*>", "", word and bases).replace(" ", "").split(",") if base]
-    runs = [(a, b, q) for k, _, q, _, a, b in symbols if k not in ("class", "interface", "type")]  # by start
-    ahead, around = 0, []
-    starts = {a for *_, a, _ in symbols}
-    names = {m.end(): m for m in _CALLEE.finditer(bare)} if runs else {}
-    for m in re.finditer(r"(?<!\s)\s*+\(", bare) if runs else ():
-        name = names.get(m.start())
-        if not name or name.group() in _WORDS:
-            continue
-        while ahead < len(runs) and runs[ahead][0] <= name.start():
-            around.append(runs[ahead])
-            ahead += 1
-        while around and around[-1][1] <= name.start():
-            around.pop()
-        if around and name.start() not in starts and name.start() not in declared:
-            edges.append((around[-1][2], name.group().lower(), "calls", 0.8, line(m.end() - 1)))
-    return symbols, edges
-
-
-def _scan_python(code: str, stem: str) -> tuple[list[tuple], list[Edge]]:
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError):
-        return [], []
-    starts = [0]
-    for text in code.split("\n"):
-        starts.append(starts[-1] + len(text.encode()) + 1)
-    symbols: list[tuple] = []
-    edges: list[Edge] = []
-
-    def visit(node: ast.AST, parent: str | None, in_class: bool, run: str | None) -> None:
-        for child in ast.iter_child_nodes(node):
-            here, inside, runs = parent, in_class, run
-            if isinstance(child, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
-                kind = "class" if isinstance(child, ast.ClassDef) else ("constructor" if child.name == "__init__" else "method") if in_class else "function"
-                here = f"{parent or stem}.{child.name}"
-                symbols.append((kind, child.name, here, parent, starts[child.lineno - 1] + child.col_offset, starts[child.end_lineno - 1] + child.end_col_offset))
-                inside = kind == "class"
-                runs = run if inside else here
-                if inside:
-                    edges.extend((here, ast.unparse(b), "extends", 1.0, child.lineno) for b in child.bases)
-            elif isinstance(child, ast.Import):
-                edges.extend((stem, a.name, "imports", 1.0, child.lineno) for a in child.names)
-            elif isinstance(child, ast.ImportFrom):
-                edges.append((stem, "." * child.level + (child.module or ""), "imports", 1.0, child.lineno))
-            elif isinstance(child, ast.Call) and run:
-                callee = child.func.attr if isinstance(child.func, ast.Attribute) else child.func.id if isinstance(child.func, ast.Name) else None
-                if callee:
-                    edges.append((run, callee.lower(), "calls", 0.8, child.lineno))
-            visit(child, here, inside, runs)
-
-    visit(tree, None, False, None)
-    return symbols, edges
-
-
-def scan_code(code: str, lang: str, stem: str) -> tuple[list[tuple], list[Edge]]:
-    """Symbols (kind, name, qualified name, parent, start, end in bytes) and edges of a file."""
-    if lang.lower() == "python":
-        return _scan_python(code, stem)
-    symbols, edges = _scan_braces(code, stem)
-    if not code.isascii():
-        at = lambda i: len(code[:i].encode())
-        symbols = [(*s[:4], at(s[4]), at(s[5])) for s in symbols]
-    return symbols, edges
-
-
 def _per_file(files: DataFrame, id_col: str, which: int, names: list[str], kinds: list[pa.DataType], schema: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,9 +120,9 @@ def _per_file(files: DataFrame, id_col: str, which: int, names: list[str], kinds
 
 
 def extract_symbols(files: DataFrame, id_col: str = "id") -> DataFrame:
-    """``files``: id, code, lang, stem. An approximation by patterns for all languages but Python."""
+    """``files``: id, code, lang, stem; null code is empty, a null or unknown language read as TypeScript. A map over the files, linear in each."""
     s, n = pa.string(), pa.int32()
-    return _per_file(files, id_col, 0, ["kind", "name", "qualified_name", "parent", "start", "end"], [s, s, s, s, n, n], "kind string, name string, qualified_name string, parent string, start int, end int")
+    return _per_file(files, id_col, 0, ["kind", "name", "qualified_name", "parent", "start", "end", "start_line", "end_line"], [s, s, s, s, n, n, n, n], "kind string, name string, qualified_name string, parent string, start int, end int, start_line int, end_line int")
 
 
 def extract_edges(files: DataFrame, id_col: str = "id") -> DataFrame:
@@ -272,13 +138,22 @@ BODY_LINES = 150
 
 
 def function_complexity(files: DataFrame, id_col: str = "id", code: str = "code") -> DataFrame:
-    """``id_col``, ``name``, ``line``, ``complexity``: 1 and the branches in the 150 lines from each function's start on."""
-    starts = files.select(id_col, code, F.explode(match_offsets(F.col(code), FUNCTION)).alias("m"))
+    """``id_col``, ``name``, ``line``, ``complexity``: 1 and the branches in the 150 lines from each function's start on.
+
+    A file's lines and where they begin are arrays, from which a function takes its own 150 only.
+    """
+    rows = files.select(F.col(id_col), F.split(code, "\n").alias("__lines"), match_offsets(F.col(code), FUNCTION, lines=True).alias("__found")).where(F.size("__found") > 0)
+    rows = rows.withColumn("__ends", running_sums(F.transform("__lines", lambda x: F.length(x) + 1)))
+
+    def body(m: Column) -> Column:
+        begin = F.when(m["line"] > 1, F.get("__ends", m["line"] - 2)).otherwise(0)
+        first = F.get("__lines", m["line"] - 1)
+        return F.array_join(F.concat(F.array(F.substr(first, m["start"] - begin + 1)), F.slice("__lines", m["line"] + 1, F.lit(BODY_LINES - 1))), "\n")
+
+    rows = rows.select(id_col, F.explode(F.transform("__found", lambda m: F.struct(m["text"].alias("text"), m["line"].alias("line"), body(m).alias("body")))).alias("m"))
     name = F.coalesce(*(F.when(g != "", g) for g in (F.regexp_extract("m.text", FUNCTION, i) for i in (1, 2))), F.lit("<anonymous>"))
-    before, body = F.expr(f"substring({code}, 1, m.start)"), F.substring_index(F.expr(f"substring({code}, m.start + 1)"), "\n", BODY_LINES)
-    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    rows = starts.select(id_col, name.alias("name"), line.alias("line"), body.alias("body"))
-    return rows.select(id_col, "name", "line", (reduce(lambda a, b: a + b, [F.regexp_count("body", F.lit(ascii_bounds(p))) for p in BRANCHES]) + 1).alias("complexity"))
+    branches = reduce(lambda a, b: a + b, [F.regexp_count("m.body", F.lit(ascii_bounds(p))) for p in BRANCHES])
+    return rows.select(id_col, name.alias("name"), "m.line", (branches + 1).alias("complexity"))
 
 
 WINDOW_LINES, LEAST_LENGTH = 8, 30

@@ -1,4 +1,4 @@
-"""Indexing end to end: from files to a table of files, symbols with parents, resolved edges and chunks with their symbols."""
+"""Indexing end to end: from files to a table of files, symbols with parents, references, edges and chunks with their symbols."""
 
 from __future__ import annotations
 
@@ -7,60 +7,94 @@ from pyspark.sql import functions as F
 
 from ..sources.worktables import stored
 from .code import extract_edges, extract_symbols, split_code
-from .joins import innermost_interval, resolve_edges
+from .joins import innermost_interval, near_names, resolve_edges
 
-#: The tables of an index.
+#: The tables of an index. ``references`` holds what every file calls, imports and extends, resolved or waiting.
 INDEX = {
     "files": "path string, hash string, lang string",
     "symbols": "id bigint, path string, parent_id bigint, kind string, name string, qualified_name string, start int, end int",
+    "references": "path string, src_qn string, dst_qn string, kind string, confidence double, target string, score double, strategy string, src bigint, dst bigint",
     "edges": "src bigint, dst bigint, kind string, confidence double",
     "chunks": "path string, chunk int, symbol_id bigint, content string, token_count bigint, start_line int, end_line int",
 }
+#: Edits up to which a call may differ from a name.
+FUZZY = 2
 
 
-def line_of(code: str, at: str) -> Column:
-    """The line, from 1, in which a byte offset lies."""
-    before = F.expr(f"decode(substring(encode({code}, 'UTF-8'), 1, {at}), 'UTF-8')")
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+def asked_names(reference: DataFrame) -> Column:
+    """The names, as (q)ualified or (n)ame keys, that decide a reference before it comes to names that are only near."""
+    dst, src = F.col("dst_qn"), F.split("src_qn", r"\.")
+    q, n = lambda c: F.concat(F.lit("q:"), c), lambda c: F.concat(F.lit("n:"), F.lower(c))
+    keys = F.array(
+        q(dst), q(F.concat(src[0], F.lit("."), dst)), q(F.concat(src[0], F.lit("."), F.get(src, F.lit(1)), F.lit("."), dst)),
+        n(dst), n(F.substring_index(dst, ".", 1)), *([q(F.col("target"))] if "target" in reference.columns else []),
+    )
+    return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
 
 
-def index_files(files: DataFrame, held: dict[str, DataFrame], size: int = 2500, overlap: int = 300) -> dict[str, DataFrame]:
+def to_decide_again(references: DataFrame, changed: DataFrame) -> DataFrame:
+    """References whose target may be another one now. ``changed``: names and qualified_names of symbols that came or went.
+
+    A reference meets the symbols by the names it asked for; only those that no exact name settled meet near ones.
+    """
+    keys = changed.select(F.explode(F.array(F.concat(F.lit("q:"), "qualified_name"), F.concat(F.lit("n:"), F.lower("name")))).alias("key")).distinct()
+    asked = references.select("path", "src_qn", "dst_qn", "kind", F.explode(asked_names(references)).alias("key"))
+    exact = asked.join(keys, "key", "left_semi").drop("key")
+    open_calls = references.where("kind = 'calls' AND strategy IN ('fuzzy', 'unresolved')").withColumn("wanted", F.lower("dst_qn"))
+    near = near_names(open_calls.select("wanted").distinct(), changed.where("name IS NOT NULL").select(F.lower("name").alias("near")).distinct(), "wanted", "near", FUZZY)
+    close = open_calls.join(near.select("wanted").distinct(), "wanted", "left_semi").select("path", "src_qn", "dst_qn", "kind")
+    return exact.unionByName(close).distinct()
+
+
+def index_files(files: DataFrame, held: dict[str, DataFrame], size: int = 2500, overlap: int = 300, removed: DataFrame | None = None) -> dict[str, DataFrame]:
     """The index after a batch of files (path, code, lang, stem): files whose hash is held are skipped, those of others replaced whole.
 
-    Calls are resolved against all symbols, of held files too; an edge stands while both its symbols do. A symbol's id
-    depends on its path and qualified name only, so that edges into a changed file survive where their symbol does; of
-    equal names in a file the last counts. A batch that comes again changes nothing. Every table is stored, so that
-    an executor's loss repeats one step.
+    ``removed``: path of files that are gone. Calls are resolved against all symbols of all files. References are kept, resolved or
+    not: symbols that come or go meet those that asked for their names, or near ones, and only these are decided again, so that the
+    index is the same for any order of the same batches. A symbol's id depends on its path and qualified name only; of equal
+    names in a file the last counts. A batch that comes again changes nothing. Every table is stored, so that an executor's loss
+    repeats one step. Files without a path are left out, null code is empty, of repeated paths one counts.
     """
     files = files.where("path IS NOT NULL").dropDuplicates(["path"]).withColumn("hash", F.sha2(F.coalesce("code", F.lit("")), 256))
     changed = stored(files.join(held["files"].select("path", "hash"), ["path", "hash"], "left_anti"), "changed")
-    rest = lambda name: held[name].join(changed.select("path"), "path", "left_anti")
+    gone = changed.select("path") if removed is None else stored(changed.select("path").unionByName(removed.select("path")).distinct(), "gone")
+    if gone.isEmpty():
+        return held
+    rest = lambda name: held[name].join(gone, "path", "left_anti")
     out = {"files": rest("files").unionByName(changed.select("path", "hash", "lang"))}
 
     sym_id = lambda qualified: F.xxhash64("path", qualified)
     last = Window.partitionBy("path", "qualified_name").orderBy(F.desc("start"))
     found = extract_symbols(changed, "path").withColumn("__r", F.row_number().over(last)).where("__r = 1")
-    found = stored(found.select(sym_id("qualified_name").alias("id"), "path", F.when(F.col("parent").isNotNull(), sym_id("parent")).alias("parent_id"), "kind", "name", "qualified_name", "start", "end"), "symbols")
-    symbols = out["symbols"] = stored(rest("symbols").unionByName(found), "symbols")
+    found = stored(found.select(sym_id("qualified_name").alias("id"), "path", F.when(F.col("parent").isNotNull(), sym_id("parent")).alias("parent_id"), "kind", "name", "qualified_name", "start", "end", "start_line", "end_line"), "symbols")
+    columns = held["symbols"].columns
+    symbols = out["symbols"] = stored(rest("symbols").unionByName(found.select(columns)), "symbols")
+
+    facts = ["path", "name", "qualified_name", "start"]  # what an answer depends on
+    before, after = held["symbols"].join(gone, "path", "left_semi").select(facts), found.select(facts)
+    moved = stored(before.exceptAll(after).unionByName(after.exceptAll(before)), "moved")
+    raw = ["path", "src_qn", "dst_qn", "kind", "confidence"]
+    own = found.select("path", F.col("qualified_name").alias("src_qn"), F.col("id").alias("src"))
+    new = extract_edges(changed, "path").select(raw).distinct().join(own, ["path", "src_qn"])  # from symbols only
+    kept = rest("references")
+    key = ["path", "src_qn", "dst_qn", "kind"]
+    again = kept.select(key).where("false") if kept.isEmpty() or moved.isEmpty() else stored(to_decide_again(kept, moved), "again")
+    undecided = stored(new.unionByName(kept.join(again, key, "left_semi").select(*new.columns)), "undecided")
 
     order = F.struct("path", "start")
-    known = symbols.select(order.alias("ord"), "name", "qualified_name")
     no_bindings = files.sparkSession.createDataFrame([], "local string, target string")
-    resolved = resolve_edges(extract_edges(changed, "path").select("path", "src_qn", "dst_qn", "kind", "confidence"), known, no_bindings).where("resolved")
-    ends = symbols.groupBy("qualified_name").agg(F.min_by("id", order).alias("id"))
-    own = symbols.select("path", F.col("qualified_name").alias("src_qn"), F.col("id").alias("src"))
-    new = resolved.join(own, ["path", "src_qn"]).join(ends.select(F.col("qualified_name").alias("target"), F.col("id").alias("dst")), "target")
-    new = new.groupBy("src", "dst", "kind").agg(F.max("score").alias("confidence"))  # an edge is held once
-    gone = held["symbols"].join(changed.select("path"), "path", "left_semi").select(F.col("id").alias("src"))
-    kept = held["edges"].join(gone, "src", "left_anti").join(symbols.select(F.col("id").alias("dst")), "dst", "left_semi")
-    out["edges"] = stored(kept.unionByName(new), "edges")
-
-    spans = found.join(changed.select("path", "code"), "path").select("path", "id", line_of("code", "start").alias("start"), line_of("code", "end").alias("end"))
+    decided = resolve_edges(undecided, symbols.select(order.alias("ord"), "name", "qualified_name"), no_bindings, FUZZY)
+    ends = symbols.groupBy(F.col("qualified_name").alias("target")).agg(F.min_by("id", order).alias("dst"))
+    decided = decided.join(ends, "target", "left").withColumn("dst", F.when(F.col("resolved"), F.col("dst")))
+    references = out["references"] = stored(kept.join(again, key, "left_anti").unionByName(decided.select(kept.columns)), "references")
+    out["edges"] = references.where("dst IS NOT NULL").groupBy("src", "dst", "kind").agg(F.max("score").alias("confidence"))  # an edge is held once
+
+    spans = found.select("path", "id", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
     chunks = split_code(changed, "path", size=size, overlap=overlap).withColumn("__key", F.struct("path", "chunk"))
     chunks = innermost_interval(chunks, spans, "path", "__key", at="start_line")
     chunks = chunks.select("path", "chunk", F.col("span_id").alias("symbol_id"), "content", F.ceil(F.length("content") / 4).alias("token_count"), "start_line", "end_line")
     out["chunks"] = rest("chunks").unionByName(chunks)
-    return {name: df if name in ("symbols", "edges") else stored(df, name) for name, df in out.items()}
+    return {name: df if name in ("symbols", "references") else stored(df, name) for name, df in out.items()}
 
 
 def empty_index(spark: SparkSession) -> dict[str, DataFrame]:

@@ -55,21 +55,26 @@ def wanted_parts(name: Column, limit: int) -> Column:
     return F.array_distinct(F.filter(F.flatten(each), lambda h: h.isNotNull()))
 
 
-def nearest_names(targets: DataFrame, names: DataFrame, target: str = "target", name: str = "name", order: str = "ord", limit: int = 2) -> DataFrame:
-    """For each distinct target the name within ``limit`` edits: fewest edits, then the first by ``order``.
+def near_names(wanted: DataFrame, names: DataFrame, target: str, name: str, limit: int) -> DataFrame:
+    """Pairs of a target and a name within ``limit`` edits, with their ``distance``; both sides without nulls, a pair may come more than once.
 
     Candidates share a hash: of what deletions leave of a short name, of a part of a long one. Keys are as many
     as names, so that no length or letter makes a hot one.
     """
+    size, n = F.length(target), F.length(name)
+    short = wanted.where(size <= SHORT_NAME).withColumn("__key", F.explode(deletions(F.col(target), limit)))
+    long = wanted.where(size > SHORT_NAME).withColumn("__key", F.explode(wanted_parts(F.col(target), limit)))
+    by_rest = names.where(n <= SHORT_NAME + limit).withColumn("__key", F.explode(deletions(F.col(name), limit)))
+    by_part = names.where(n > SHORT_NAME - limit).withColumn("__key", F.explode(parts(F.col(name), limit)))
+    pairs = short.join(by_rest, "__key").unionByName(long.join(by_part, "__key"))
+    return pairs.withColumn("distance", F.levenshtein(target, name, limit)).where("distance >= 0").drop("__key")
+
+
+def nearest_names(targets: DataFrame, names: DataFrame, target: str = "target", name: str = "name", order: str = "ord", limit: int = 2) -> DataFrame:
+    """For each distinct target the name within ``limit`` edits: fewest edits, then the first by ``order``."""
     names = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__name")).agg(F.min(order).alias("__ord"))
     wanted = targets.select(target).where(F.col(target).isNotNull()).distinct()
-    size = F.length(target)
-    short = wanted.where(size <= SHORT_NAME).select(target, F.explode(deletions(F.col(target), limit)).alias("__key"))
-    long = wanted.where(size > SHORT_NAME).select(target, F.explode(wanted_parts(F.col(target), limit)).alias("__key"))
-    n = F.length("__name")
-    by_rest = names.where(n <= SHORT_NAME + limit).select("__name", "__ord", F.explode(deletions(F.col("__name"), limit)).alias("__key"))
-    by_part = names.where(n > SHORT_NAME - limit).select("__name", "__ord", F.explode(parts(F.col("__name"), limit)).alias("__key"))
-    pairs = short.join(by_rest, "__key").unionByName(long.join(by_part, "__key")).withColumn("distance", F.levenshtein(target, "__name", limit)).where("distance >= 0")
+    pairs = near_names(wanted, names, target, "__name", limit)
     return pairs.groupBy(target).agg(F.min_by(F.struct(F.col("__name").alias("name"), "distance"), F.struct("distance", "__ord")).alias("best")).select(target, "best.*")
 
 

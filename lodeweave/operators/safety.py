@@ -77,11 +77,9 @@ def suspicious(text: Column) -> Column:
 
 def injections(text: Column) -> Column:
     """Array of (pattern, severity, reason, start) of all matches in the original text, by pattern, then by place."""
-    return F.when(suspicious(text), F.concat(*(_named(text, regex, name, severity, reason) for regex, name, severity, _, reason in INJECTIONS))).otherwise(F.array().cast("array<struct<pattern:string,severity:string,reason:string,start:int>>"))
-
-
-def _named(text: Column, regex: str, name: str, severity: str, reason: str) -> Column:
-    return F.transform(match_offsets(text, ascii_bounds(regex)), lambda m: F.struct(F.lit(name).alias("pattern"), F.lit(severity).alias("severity"), F.lit(reason).alias("reason"), m["start"].alias("start")))
+    rules = F.array(*(F.struct(F.lit(ascii_bounds(regex)).alias("regex"), F.lit(name).alias("name"), F.lit(severity).alias("severity"), F.lit(reason).alias("reason")) for regex, name, severity, _, reason in INJECTIONS))
+    named = lambda rule: F.transform(match_offsets(text, rule["regex"]), lambda m: F.struct(rule["name"].alias("pattern"), rule["severity"].alias("severity"), rule["reason"].alias("reason"), m["start"].alias("start")))
+    return F.when(suspicious(text), F.flatten(F.transform(rules, named))).otherwise(F.array().cast("array<struct<pattern:string,severity:string,reason:string,start:int>>"))
 
 
 def sanitised(text: Column) -> Column:

@@ -165,7 +165,7 @@ def test_extractor():
     symbols, edges = C.scan_code(py, "python", "m")
     assert [(k, q) for k, _, q, *_ in symbols] == [("class", "m.A"), ("constructor", "m.A.__init__"), ("function", "m.f")]
     assert {(s, t, k) for s, t, k, *_ in edges} == {("m", "os", "imports"), ("m.A", "B", "extends"), ("m.A.__init__", "run", "calls"), ("m.f", "join", "calls")}
-    assert C.scan_code("def broken(:", "python", "m") == ([], [])
+    assert C.scan_code("def broken(:", "python", "m") == ([("function", "broken", "m.broken", None, 0, 12, 1, 1)], [])
 
 
 def test_resolution_order(spark):
