@@ -342,7 +342,7 @@ class _Reader:
             x = self.text(i)
             if x.startswith("#") and "include" in x:
                 self.edges.append((self.stem, re.sub(r"^[^<\"]*[<\"]|[>\"]$", "", x), "imports", 1.0, self.t.line[i]))
-            elif self.is_word(i) and self.text(i - 1) not in (".", "?.", "->") and i not in self.named:
+            elif self.is_word(i) and i not in self.named and (self.text(i - 1) not in (".", "?.", "->") or (self.t.first[i] and x in HALT)):
                 self._word(i, x)
             elif self.is_word(i):
                 self._call(i, x)

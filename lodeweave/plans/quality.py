@@ -168,7 +168,7 @@ def indexed(spark, d):
 
 _NEW = "id % 7 = 0"
 #: Lines of a unit, from 0, that begin a chunk. The last function does but in Java and C#.
-_BEGINS = {"typescript": [0, 3], "javascript": [0], "python": [0, 1, 5], "go": [0, 1], "rust": [0, 1], "java": [1], "cpp": [2], "csharp": []}
+_BEGINS = {"typescript": [0, 3], "javascript": [0], "python": [0, 1, 5], "go": [0], "rust": [0, 1], "java": [1], "cpp": [2], "csharp": []}
 _INDEX = f"""{_UNITS},
 f AS (SELECT id, n, lines, {list(PROGRAMS)!r}[n + 1] || '/f' || id AS path FROM m),
 x AS (SELECT id, kind, name, parent FROM sym WHERE NOT {_NEW}
