@@ -1,14 +1,12 @@
-"""Changes to tables of files: upserts, deletes, keys, versions.
+"""Changes to tables: upserts, deletes, keys.
 
-Parquet tables cannot be changed in place. Each operator returns the new state of a table; ``Versions``
-writes it beside the old one and then moves a pointer.
+Each operator returns the new state of a table; tables that are kept and changed by batches are ``sources.runs.RunTable``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -57,26 +55,3 @@ def working_memory(ops: DataFrame) -> DataFrame:
     last = ops.where("op <> 'clear'").groupBy("task_id", "key").agg(F.max_by(F.struct("op", "value", "ord"), "ord").alias("x"))
     live = last.join(cleared, "task_id", "left").where("x.op = 'set' AND (__clear IS NULL OR x.ord > __clear)")
     return live.select("task_id", "key", "x.value")
-
-
-class Versions:
-    """A table as numbered folders and a pointer; a write becomes visible as a whole when the pointer's next entry is written."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def current(self) -> int:
-        try:
-            return self.spark.read.schema("version int").json(f"{self.path}/pointer").agg(F.max("version")).first()[0] or 0
-        except AnalysisException:
-            return 0
-
-    def read(self, schema: str) -> DataFrame:
-        n = self.current()
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{n}") if n else self.spark.createDataFrame([], schema)
-
-    def write(self, state: DataFrame) -> int:
-        n = self.current() + 1
-        state.write.mode("overwrite").parquet(f"{self.path}/v{n}")  # a failed attempt is overwritten
-        self.spark.createDataFrame([(n,)], "version int").coalesce(1).write.mode("append").json(f"{self.path}/pointer")
-        return n

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mutations as M
 from ..operators import sequences as S
+from ..sources.runs import RunTable
 from ..sources.worktables import new_path
 from ..streaming import sinks, stateful, windows
 from .registry import query, table
@@ -76,22 +77,22 @@ FROM old_files o FULL JOIN new_files n ON o.path = n.path WHERE o.hash IS DISTIN
 def st5(spark, d):
     """Two polls: the first finds everything new, the second what changed."""
     path = new_path(spark, "polls")
-    versions, out = M.Versions(spark, f"{path}/snapshots"), []
+    held, out = RunTable(spark, f"{path}/snapshots", "path bigint, hash string", ["path"]), []
     for n, snapshot in enumerate(snapshots(spark, d), 1):
-        sinks.diff_with_last(versions, f"{path}/changes", "path bigint, hash string")(snapshot, n)
+        sinks.diff_with_last(held, f"{path}/changes")(snapshot, n)
         out.append(spark.read.parquet(f"{path}/changes/batch={n}").withColumn("poll", F.lit(n)))
     return reduce(DataFrame.unionByName, out)
 
 
 @query("st6_incremental_upsert", over("old_files new_files", "SELECT path, hash FROM new_files UNION ALL SELECT path, hash FROM old_files WHERE path NOT IN (SELECT path FROM new_files)"))
 def st6(spark, d):
-    """The file table after two batches; equal hashes are skipped, a repeated batch changes nothing."""
-    versions = M.Versions(spark, new_path(spark, "upserts"))
-    write = sinks.upsert_changed(versions, "path bigint, hash string")
+    """The file table after two batches, one of which comes twice; equal hashes are skipped."""
+    held = RunTable(spark, new_path(spark, "upserts"), "path bigint, hash string", ["path"])
+    write = sinks.upsert_changed(held)
     old, new = snapshots(spark, d)
-    for n, batch in enumerate((old, new, new)):
+    for n, batch in ((0, old), (1, new), (1, new), (2, new)):
         write(batch, n)
-    return versions.read("path bigint, hash string")
+    return held.read()
 
 
 @query("st7_config_reload", "SELECT event_id, event_type FROM events WHERE event_type <> 'error'")
@@ -130,11 +131,25 @@ def m1(spark, d):
     return M.upsert(rows.where("ts < 5000"), rows.where("ts >= 5000"), ["task", "symbol"], ["ts"])
 
 
-@query("m2_insert_or_ignore", over("edges", "SELECT src, min(dst) AS dst FROM edges GROUP BY src"))
+@query("m2_insert_or_ignore", over("edges", "SELECT src, CASE WHEN src % 3 = 0 THEN max(dst) ELSE min(dst) END AS dst FROM edges GROUP BY src"))
 def m2(spark, d):
-    """The first edge of every source stays."""
+    """The first edge of every source stays: a third of them are held with their last one, which the batch cannot replace."""
     e = edges(spark, d).select("src", "dst")
-    return M.insert_ignore(e.where("false"), e, ["src"], ["dst"])
+    held = e.where("src % 3 = 0").groupBy("src").agg(F.max("dst").alias("dst"))
+    return M.insert_ignore(held, e, ["src"], ["dst"])
+
+
+@query("m1_runs", over("edges", "SELECT src, CASE WHEN src % 5 = 0 THEN max(dst) + 1 WHEN src % 3 = 0 THEN max(dst) ELSE min(dst) END AS dst FROM edges WHERE src % 7 <> 0 GROUP BY src"))
+def m1_runs(spark, d):
+    """A kept table after a batch of puts, one of inserts that ignore what is held, puts with deletes, and a merge of the runs."""
+    e = edges(spark, d).select("src", "dst")
+    held = RunTable(spark, new_path(spark, "edges"), "src bigint, dst bigint", ["src"])
+    held.write(e.where("src % 3 = 0"))
+    held.insert_ignore(e)
+    held.write(e.where("src % 5 = 0 AND src % 7 <> 0").select("src", (F.col("dst") + 1).alias("dst")), e.where("src % 7 = 0"))
+    held.write(e.where("false"))
+    held.compact()
+    return held.read()
 
 
 @query("m3_cascade_delete", over("symbols edges", """SELECT 'symbols' AS relation, count(*) AS n, count(parent_id) AS linked FROM (SELECT CASE WHEN p.file IN ('Brand#1', 'Brand#2') THEN NULL ELSE s.parent_id END AS parent_id FROM symbols s LEFT JOIN symbols p ON p.id = s.parent_id WHERE s.file NOT IN ('Brand#1', 'Brand#2'))
@@ -163,11 +178,12 @@ def m5(spark, d):
 
 @query("m6_versions", "SELECT doc_id AS path, 2 AS version FROM documents WHERE doc_id % 2 = 0")
 def m6(spark, d):
-    """A table written twice: readers see the second version as a whole."""
-    docs, versions = table(spark, d, "documents").select(F.col("doc_id").alias("path")), M.Versions(spark, new_path(spark, "versions"))
-    versions.write(docs)
-    n = versions.write(docs.where("path % 2 = 0"))
-    return versions.read("path bigint").withColumn("version", F.lit(n))
+    """A table changed twice: readers see the second version as a whole."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.lit(1).alias("n"))
+    held = RunTable(spark, new_path(spark, "versions"), "path bigint, n int", ["path"])
+    held.write(docs)
+    n = held.write(docs.where("false"), docs.where("path % 2 = 1"))
+    return held.read().select("path", F.lit(n).alias("version"))
 
 
 _OPS = "SELECT event_id AS ord, user_id AS task_id, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'signup' AND value < 5 THEN 'clear' ELSE 'set' END AS op, 'k' || CAST(floor(value) AS BIGINT) % 3 AS key, props AS value FROM events"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import change_diff
-from ..operators.mutations import Versions, upsert
+from ..sources.runs import RunTable
 from ..sources.worktables import new_path
 
 
@@ -34,25 +34,37 @@ def tail(path: str, order: str, keep: int = 1) -> Callable[[DataFrame, int], Non
     return lambda batch, n: batch.orderBy(F.desc(order)).limit(keep).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
 
-def diff_with_last(snapshots: Versions, changes_path: str, schema: str = "path string, hash string") -> Callable[[DataFrame, int], None]:
-    """Each batch is a whole snapshot (path, hash): write how it differs from the last, then keep it."""
+def diff_with_last(snapshots: RunTable, changes_path: str, name: str = "poll") -> Callable[[DataFrame, int], None]:
+    """Each batch is a whole snapshot (path, hash): write how it differs from the last, then keep what changed. A repeated batch changes nothing."""
 
     def run(batch: DataFrame, n: int) -> None:
+        held = snapshots.current()
+        if held.writers.get(name, -1) >= n:
+            return
         snapshot = batch.select("path", "hash")
-        change_diff(snapshots.read(schema), snapshot).write.mode("overwrite").parquet(f"{changes_path}/batch={n}")
-        snapshots.write(snapshot)
+        path = f"{changes_path}/batch={n}"
+        change_diff(snapshots.read(held), snapshot).write.mode("overwrite").parquet(path)
+        changes = batch.sparkSession.read.parquet(path)
+        puts = snapshot.join(changes.where("change <> 'removed'"), "path", "left_semi")
+        snapshots.write(puts, changes.where("change = 'removed'"), (name, n))
+        snapshots.compact()
 
     return run
 
 
-def upsert_changed(table: Versions, schema: str, key: str = "path", value: str = "hash") -> Callable[[DataFrame, int], None]:
-    """Rows whose hash is new replace those of their key; equal ones are skipped. Running a batch again changes nothing."""
+def upsert_changed(table: RunTable, value: str = "hash", name: str = "upsert") -> Callable[[DataFrame, int], None]:
+    """Rows whose hash is new replace those of their key; equal ones are skipped. Running a batch again changes nothing.
+
+    A batch reads the buckets of its keys and writes its own rows, not the table.
+    """
 
     def run(batch: DataFrame, n: int) -> None:
-        held = table.read(schema)
-        new = batch.join(held.select(key, value), [key, value], "left_anti")
-        if not new.isEmpty():
-            table.write(upsert(held, new, [key], [value]))
+        held = table.current()
+        if held.writers.get(name, -1) >= n:
+            return
+        new = batch.join(table.read(held, batch).select(*table.keys, value), [*table.keys, value], "left_anti")
+        table.write(new, writer=(name, n))
+        table.compact()
 
     return run
 

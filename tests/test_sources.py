@@ -74,14 +74,6 @@ def test_sealed_store(spark):
     assert {r.text for r in T.pull_facts(store, X.passphrase_key("q", b"salt")).collect()} == {None}
 
 
-def test_versions(spark, tmp_path):
-    v = M.Versions(spark, str(tmp_path))
-    assert v.current() == 0 and v.read("id long").count() == 0
-    v.write(spark.range(3))
-    v.write(v.read("id long").where("id > 0"))
-    assert v.current() == 2 and v.read("id long").count() == 2
-
-
 def test_upsert_keeps_null_keys(spark):
     t = spark.createDataFrame([("a", None, 1), ("a", "x", 1)], "k string, s string, n int")
     out = M.upsert(t, spark.createDataFrame([("a", None, 2), ("a", "x", 0)], t.schema), ["k", "s"], ["n"])
