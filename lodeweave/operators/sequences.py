@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import BLOCK, LAST, MAX, SUM, in_blocks, running
+
 
 def budget_prefix(df: DataFrame, budget: int, tokens: str = "token_count", order: str = "id", per: list[str] = []) -> DataFrame:  # noqa: B006
     """Smallest first while the running sum stays within the budget: the greedy fill, as sizes only grow."""
@@ -67,21 +69,21 @@ def with_overlap(chunks: DataFrame, per: str, order: str, content: str = "conten
 
 
 def fifo_hot(items: DataFrame, capacity: int, per: str, order: str, tokens: str = "tokens") -> DataFrame:
-    """``hot`` per item after all were added: the longest suffix of items that fit at all and together. Valid while nothing is read back."""
-    fits = F.col(tokens) <= capacity
-    w = Window.partitionBy(per).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("hot", fits & (F.sum(F.when(fits, F.col(tokens)).otherwise(0)).over(w) <= capacity))
+    """``hot`` per item after all were added: the longest suffix of items that fit at all and together. Valid while nothing is read back. A scan in blocks."""
+    fits, last_first = F.col(tokens) <= capacity, [F.desc(order)]
+    rows = running(in_blocks(items, per, last_first), per, last_first, {"hot": (SUM, F.when(fits, F.col(tokens)).otherwise(0))})
+    return rows.withColumn("hot", fits & (F.col("hot") <= capacity)).drop(BLOCK)
 
 
 def breaker_open(calls: DataFrame, per: str, ts: str, order: str, failed: str, threshold: int = 3, reset_ms: int = 30_000) -> DataFrame:
-    """``open``: whether the breaker blocks at a call: enough failures since the last success and the last of them is recent."""
-    w = Window.partitionBy(per).orderBy(ts, order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = calls.withColumn("__streak", F.coalesce(F.sum(F.when(F.col(failed), 0).otherwise(1)).over(before), F.lit(0)))
-    inside = Window.partitionBy(per, "__streak").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, -1)
-    fails = F.coalesce(F.count_if(F.col(failed)).over(inside), F.lit(0))
-    last = F.max(F.when(F.col(failed), F.col(ts))).over(before)
-    return rows.withColumn("open", F.coalesce((fails >= threshold) & (F.col(ts) - last <= reset_ms), F.lit(False))).drop("__streak")
+    """``open``: whether the breaker blocks at a call: enough failures since the last success and the last of them is recent. Two scans in blocks."""
+    by = [F.col(ts), F.col(order)]
+    rows = in_blocks(calls, per, by)
+    failures = {"__fails": (SUM, F.when(F.col(failed), 1).otherwise(0)), "__last": (MAX, F.when(F.col(failed), F.col(ts)))}
+    rows = running(rows, per, by, failures, itself=False).withColumn("__fails", F.coalesce("__fails", F.lit(0)))
+    rows = running(rows, per, by, {"__settled": (LAST, F.when(~F.coalesce(F.col(failed), F.lit(False)), F.col("__fails")))}, itself=False)
+    since = F.col("__fails") - F.coalesce("__settled", F.lit(0))
+    return rows.withColumn("open", F.coalesce((since >= threshold) & (F.col(ts) - F.col("__last") <= reset_ms), F.lit(False))).drop("__fails", "__last", "__settled", BLOCK)
 
 
 def backoff(attempts: DataFrame, attempt: str = "attempt", base_ms: int = 500) -> DataFrame:
@@ -89,9 +91,10 @@ def backoff(attempts: DataFrame, attempt: str = "attempt", base_ms: int = 500) -
 
 
 def budget_events(turns: DataFrame, total: Column, per: str, order: str, tokens: str = "tokens", warn: float = 0.9) -> DataFrame:
-    """Running share of a token budget and its severity; a total of 0 gives none."""
-    used = F.sum(tokens).over(Window.partitionBy(per).orderBy(order))
-    rows = turns.withColumn("used", used).withColumn("ratio", F.when(total > 0, F.col("used") / total))
+    """Running share of a token budget and its severity; a total of 0 gives none. A scan in blocks."""
+    by = [F.col(order)]
+    rows = running(in_blocks(turns, per, by), per, by, {"used": (SUM, F.col(tokens))}, ties=True).drop(BLOCK)
+    rows = rows.withColumn("ratio", F.when(total > 0, F.col("used") / total))
     return rows.withColumn("severity", F.when(F.col("ratio") >= 1.0, "error").when(F.col("ratio") >= warn, "warning"))
 
 
