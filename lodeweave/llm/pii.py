@@ -228,7 +228,7 @@ def _cards(m: re.Match, key: bytes) -> Spans:
         later = []
     right = lambda i, j: luhn("".join(c for c in text[i:j] if c.isdigit()))
     wrong = [] if later else spans  # 20 digits are no card
-    found = [("card", i, j) for i, j in [*spans, *later] if right(i, j)] + [("card_like", i, j) for i, j in wrong if not right(i, j)]
+    found = [("card", i, j) for i, j in [*spans, *later] if right(i, j)] + [("card_like", i, j) for i, j in wrong if not right(i, j) and (not text[i:j].isdigit() or ISSUERS.fullmatch(text[i:j]))]
     for kind, i, j in found:
         if (new := _card(text[i:j], key)) is not None:
             yield kind, a + i, a + j, new
@@ -245,16 +245,30 @@ def _card(text: str, key: bytes) -> str | None:
     return put(text, f"{first}{n:0{width}d}")
 
 
+#: Calling codes of two digits (fixed values); 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _calling_code(digits: str) -> str:
+    return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3]
+
+
 def _phone(m: re.Match, key: bytes) -> str | None:
-    """The country code (with +) and the layout stay."""
+    """The country code (with +), a trunk prefix (0) and the layout stay. The number in its country decides, so that all layouts of it link; ten digits without a code are a number of +1."""
     text = m.group()
-    head = re.match(r"\+\d{1,3}(?!\d)", text)
-    tail = text[head.end() :] if head else text
-    digits = "".join(c for c in tail if c.isdigit())
-    if not 7 <= len(digits) <= 14:
+    digits = "".join(c for c in text.replace("(0)", "") if c.isdigit())
+    code = _calling_code(digits) if text[0] == "+" else ""
+    number = digits[len(code) :]
+    if not 7 <= len(number) <= 14:
         return None
-    n = permute(int(digits), 10 ** len(digits), key, "phone:" + (head.group() if head else "") + str(len(digits)))
-    return (head.group() if head else "") + put(tail, f"{n:0{len(digits)}d}")
+    n = permute(int(number), 10 ** len(number), key, f"phone:{code or ('1' if len(number) == 10 else '')}:{len(number)}")
+    at = text.find("(0)")
+    slots = text if at < 0 else text[:at] + "(\0)" + text[at + 3 :]
+    return put(slots, code + f"{n:0{len(number)}d}").replace("(\0)", "(0)")
+
+
+#: First digits and lengths of card numbers by issuer (fixed values).
+ISSUERS = re.compile(r"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|3[47][0-9]{13}|(?:6011|65[0-9]{2}|64[4-9][0-9])[0-9]{12,15}|(?:36|38|30[0-5])[0-9]{11,17}|35(?:2[89]|[3-8][0-9])[0-9]{12,15}|(?:50|5[6-9]|6[0-9])[0-9]{11,17}")
 
 
 def whole(kind: str, make: Callable[[re.Match, bytes], str | None]) -> Callable[[re.Match, bytes], Spans]:
@@ -269,8 +283,9 @@ FAMILIES: list[tuple[str, str, Callable[[re.Match, bytes], Spans]]] = [
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", whole("ip", _ip)),
     ("date", r"(?<![0-9./-])(?:(?P<y>[0-9]{4})(?P<s>[-/.])(?P<m>[0-9]{2})(?P=s)(?P<d>[0-9]{2})|(?P<d2>[0-9]{2}|(?<!\+)[0-9])(?P<s2>[-/.])(?P<m2>[0-9]{1,2})(?P=s2)(?P<y2>[0-9]{4}))(?![0-9]|[./-][0-9])", whole("date", _date)),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", whole("ssn", _ssn)),
-    ("card", r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?)(?![0-9A-Za-z])", _cards),
-    ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])", whole("phone", _phone)),
+    ("phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])", whole("phone", _phone)),
+    ("card", r"(?<![0-9A-Za-z+])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?)(?![0-9A-Za-z])", _cards),
+    ("phone", r"(?<![0-9A-Za-z])(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])", whole("phone", _phone)),
 ]
 KINDS = ["email", "iban", "ip", "date", "ssn", "card", "card_like", "phone"]
 DIGIT_RUN = re.compile(r"[0-9][0-9 .()/-]{4,}[0-9]|[A-Z]{2}[0-9]{2}")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import string
 import time
 
@@ -36,7 +37,7 @@ def checks(digits):
 
 def plain_card(rng, right):
     while True:
-        old = str(rng.randint(1, 9)) + "".join(rng.choices(string.digits, k=15))
+        old = (str(rng.randint(1, 9)) if right else "4") + "".join(rng.choices(string.digits, k=15))  # with a wrong check digit only an issuer's number counts
         if checks(old) == right:
             new = old[0] + f"{feistel(int(old[1:]), 10**15, f'card:{old[0]}:{right}', lambda x: checks(old[0] + f'{x:015d}') == right):015d}"
             return "card" if right else "card_like", old, new
@@ -84,7 +85,7 @@ def plain_ip(rng):
 
 def plain_phone(rng):
     a, b = f"{rng.randrange(200, 1000)}", f"{rng.randrange(1000, 10000)}"
-    n = f"{feistel(int('487' + a + b), 10**10, 'phone:+110'):010d}"
+    n = f"{feistel(int('487' + a + b), 10**10, 'phone:1:10'):010d}"
     return "phone", f"+1 (487) {a}-{b}", f"+1 ({n[:3]}) {n[3:6]}-{n[6:]}"
 
 
@@ -175,3 +176,33 @@ def test_query_says_that_the_key_is_public(spark, small):
             assert p is not None
     finally:
         spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_phones_link_in_all_layouts():
+    """The country code stays, and every layout of a number gets the digits of the same pseudonym."""
+    p = pii.Pseudonymiser(b"key")
+    digits = lambda t: re.sub(r"\D", "", t.replace("(0)", ""))
+    for code, layouts in {
+        "49": ["+4930123456789", "+49 30 123456789", "+49 (0)30 123456789", "+49-30-1234-56789", "+49.30.123456789"],
+        "1": ["+14155552671", "+1 415 555 2671", "+1 (415) 555-2671", "+1-415-555-2671"],
+        "353": ["+353861234567", "+353 86 123 4567"],
+        "7": ["+79161234567", "+7 916 123 45 67"],
+    }.items():
+        seen = set()
+        for text in layouts:
+            new, spans = p.apply(f"call {text} now")
+            assert [(kind, f"call {text} now"[a:b]) for a, kind, b in spans] == [("phone", text)], text
+            got = new[5:-4]
+            assert got.startswith("+" + code) and re.sub(r"\d", "9", got) == re.sub(r"\d", "9", text) and got != text
+            seen.add(digits(got))
+        assert len(seen) == 1, seen
+    assert digits(p.apply("(415) 555-2671")[0]) == digits(p.apply("415-555-2671")[0]) == digits(p.apply("+14155552671")[0])[1:]
+    assert p.apply("+49 3012 3456 7890 1")[1][0][1] == "phone"
+
+
+def test_plain_numbers_are_no_cards():
+    p = pii.Pseudonymiser(b"key")
+    for text in ("9783161484101", "1700000000001", "1234567890123456", "0000000000000001"):  # a book, a time, counters
+        assert p.apply(text)[0] == text or p.apply(text)[1][0][1] == "card"
+    assert p.apply("1700000000000")[0] == "1700000000000"
+    assert p.apply("4111111111111112")[1][0][1] == "card_like" and p.apply("4111111111111111")[1][0][1] == "card"
