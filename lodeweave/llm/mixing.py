@@ -22,7 +22,7 @@ SALTS = 32
 #: Rows of a range about the last document taken, and most ranges of a source.
 RANGE_ROWS = 512
 MAX_RANGES = 65_536
-#: Leading bits of a measure that count, so that a source has at most 8 * 60 measures.
+#: Leading bits of a measure that make its class, so that a source has at most 8 * 60 classes.
 MEASURE_BITS = 4
 
 
@@ -70,17 +70,18 @@ def source_targets(totals: DataFrame, share: tuple[int, int] = (3, 2), most: int
 def inclusion(classes: DataFrame, sources: DataFrame, many: bool) -> DataFrame:
     """Add ``__rate``, ``__sure`` and ``__rest`` to ``sources``.
 
-    A document of measure m is certain for the sample if m > ``__sure`` and else in it with probability
-    ``__rate`` * m; ``__rest`` is what the certain ones leave of the words that the sample needs. ``classes``: words of each
-    (source, m). From the largest m down, the first that does not reach 1 is found.
+    A document of measure x is certain for the sample if its class m > ``__sure`` and else in it with probability
+    ``__rate`` * x; ``__rest`` is what the certain ones leave of the words that the sample needs. ``classes``: of each
+    (source, m) the words, the sum of measure times size, and the largest measure. From the largest m down, the first whose
+    largest measure does not reach 1 is found.
     """
     needs = sources.select("__source", "__sid", "__need")
     c = classes.join(needs if many else F.broadcast(needs), F.col("source").eqNullSafe(F.col("__source")))
     down = Window.partitionBy("__sid").orderBy(F.desc("m"))
     above, below = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     c = c.withColumn("left", F.col("__need") - F.coalesce(F.sum("words").over(above), F.lit(0)))
-    c = c.withColumn("moment", F.sum(F.col("m").cast("double") * F.col("words")).over(below))
-    c = c.where((F.col("moment") > 0) & (F.col("left") * F.col("m") < F.col("moment")))
+    c = c.withColumn("moment", F.sum("moment").over(below).cast("double"))
+    c = c.where((F.col("moment") > 0) & (F.col("left") * F.col("most") < F.col("moment")))
     c = c.groupBy("__sid").agg(F.max_by(F.struct((F.col("left") / F.col("moment")).alias("__rate"), F.col("m").alias("__sure"), F.col("left").alias("__rest")), "m").alias("x"))
     return sources.join(c.select("__sid", "x.*"), "__sid", "left")
 
@@ -91,9 +92,8 @@ def random_number(id_col: str, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def leading(measure: Column) -> Column:
-    """The measure, 1 at least, cut to its MEASURE_BITS leading bits."""
-    x = F.greatest(F.coalesce(measure.cast("long"), F.lit(1)), F.lit(1).cast("long"))
+def leading(x: Column) -> Column:
+    """The class of a measure: cut to its MEASURE_BITS leading bits."""
     shift = F.greatest(F.lit(0), F.length(F.bin(x)) - MEASURE_BITS)
     return F.call_function("shiftleft", F.call_function("shiftright", x, shift), shift)
 
@@ -102,7 +102,7 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     """All columns of ``df`` and ``size``, ``source_size``, ``target``, ``copies``, ``taken`` (copies * size) for every row.
 
     Sizes, ``share``, ``most`` and ``weights`` are those of ``source_targets``. ``measure`` (whole numbers; null and less
-    than 1 count as 1; default: the size) sets the odds within a source, by its four leading bits. A null source is a source of its
+    than 1 count as 1; default: the size) sets the odds within a source; those that reach 1 are certain, with all of their class. A null source is a source of its
     own. Repeated rows are sampled one by one; rows with the same id share the random number, ties go by id and size. Rows of size 0 take
     no words, whatever their copies. Very long texts are documents like others: the last one may be half beside the target. An
     empty table gives an empty result. Columns of those names in ``df`` are replaced.
@@ -110,9 +110,10 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
     new = ["size", "source_size", "target", "copies", "taken"]
     own = [c for c in df.columns if c not in new]
     rows = df.select(*own, size.alias("size")) if measure is None else df.select(*own, size.alias("size"), measure.alias("__measure"))
-    rows = rows.withColumn("__m", leading(F.col("size" if measure is None else "__measure")))
-    narrow = stored(rows.select(*dict.fromkeys([id_col, source_col]), "size", "__m"), "sizes")
-    classes = stored(narrow.groupBy(F.col(source_col).alias("source"), F.col("__m").alias("m")).agg(F.sum("size").alias("words"), F.count("*").alias("rows")), "measures")
+    rows = rows.withColumn("__x", F.greatest(F.coalesce(F.col("size" if measure is None else "__measure").cast("long"), F.lit(1)), F.lit(1).cast("long")))
+    rows = rows.withColumn("__m", leading(F.col("__x")))
+    narrow = stored(rows.select(*dict.fromkeys([id_col, source_col]), "size", "__x", "__m"), "sizes")
+    classes = stored(narrow.groupBy(F.col(source_col).alias("source"), F.col("__m").alias("m")).agg(F.sum("size").alias("words"), F.sum(F.col("__x").cast("decimal(18,0)") * F.col("size").cast("decimal(18,0)")).alias("moment"), F.max("__x").alias("most"), F.count("*").alias("rows")), "measures")
     totals = stored(classes.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("rows")), "totals")
     many = totals.count() > BROADCAST_SOURCES
     sources = source_targets(totals, share, most, weights, many)
@@ -130,7 +131,7 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "
             out = out.join(side, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__s") == F.col("__salt"))).drop("__s", "__salt")
         else:
             out = rows.join(F.broadcast(sources), F.col(source_col).eqNullSafe(F.col("__source")))
-        u, p = random_number(id_col, seed), F.col("__rate") * F.col("__m")
+        u, p = random_number(id_col, seed), F.col("__rate") * F.col("__x")
         out = out.withColumn("__certain", (F.col("__need") > 0) & (F.col("__m") > F.col("__sure")))
         out = out.withColumn("__q", F.when((F.col("__rate") > 0) & ~F.col("__certain"), u / (1 - u) * ((1 - p) / p)))
         return out.withColumn("__range", F.floor(F.col("__q") / (1 + F.col("__q")) * F.col("__ranges")).cast("int"))
@@ -184,14 +185,14 @@ WITH d AS (
 ), m AS (  -- each document with its measure, whose rows of the same or a smaller one have this moment and whose larger ones these words
   SELECT d.*, (x >> shift) << shift AS m, source_size, target, base, target - base * source_size AS need FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
 ), p AS (
-  SELECT source, m, need - coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest,
-         sum(m::DOUBLE * words) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS moment
-  FROM (SELECT source, m, need, sum(size)::BIGINT AS words FROM m GROUP BY ALL) WINDOW o AS (PARTITION BY source ORDER BY m DESC)
+  SELECT source, m, most, need - coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest,
+         (sum(moment) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS moment
+  FROM (SELECT source, m, need, sum(size)::BIGINT AS words, sum(x * size) AS moment, max(x) AS most FROM m GROUP BY source, m, need) WINDOW o AS (PARTITION BY source ORDER BY m DESC)
 ), i AS (
-  SELECT source, max_by(rest / moment, m) AS rate, max(m) AS sure, max_by(rest, m) AS rest FROM p WHERE moment > 0 AND rest * m < moment GROUP BY source
+  SELECT source, max_by(rest / moment, m) AS rate, max(m) AS sure, max_by(rest, m) AS rest FROM p WHERE moment > 0 AND rest * most < moment GROUP BY source
 ), q AS (
   SELECT m.*, rate, sure, rest, need > 0 AND m > sure AS certain,
-         CASE WHEN rate > 0 AND NOT (need > 0 AND m > sure) THEN u / (1.0::DOUBLE - u) * ((1.0::DOUBLE - rate * m) / (rate * m)) END AS ratio
+         CASE WHEN rate > 0 AND NOT (need > 0 AND m > sure) THEN u / (1.0::DOUBLE - u) * ((1.0::DOUBLE - rate * x) / (rate * x)) END AS ratio
   FROM m LEFT JOIN i ON m.source IS NOT DISTINCT FROM i.source
 ), c AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source, ratio IS NULL ORDER BY ratio, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q
