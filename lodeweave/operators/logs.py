@@ -31,9 +31,3 @@ def parse_lines(lines: DataFrame, log: str, line: str = "line", raw: str = "raw"
     frame = F.when(F.col(line) != F.col("__entry"), F.struct(F.col(line).alias("n"), X.stack_frame(F.col("raw")).alias("f")))
     out = rows.groupBy(log, "__entry").agg(F.min_by("raw", line).alias("raw"), F.array_sort(F.collect_list(frame)).alias("stack")).withColumnRenamed("__entry", line)
     return out.select(log, line, X.log_level(F.col("raw")).alias("level"), F.trim("raw").alias("message"), X.iso_time(F.col("raw")).alias("timestamp"), "raw", F.transform("stack", lambda x: x["f"]).alias("stack"))
-
-
-def parse_texts(logs: DataFrame, log: str, content: str = "content") -> DataFrame:
-    """``parse_lines`` for whole texts."""
-    lines = logs.select(log, F.posexplode(F.split(content, "\n")).alias("line", "raw"))
-    return parse_lines(lines, log)

@@ -55,14 +55,15 @@ def s4(spark, d):
     return keep.select(F.regexp_extract("path", r"^id=([0-9]+)/", 1).cast("int").alias("id"), "hash")
 
 
-@query("s5_open_model", "SELECT unnest(['chunks', 'cold_context', 'edges', 'facts', 'files', 'manifests', 'session_turns', 'sessions', 'shared_facts', 'symbols', 'usage']) AS name")
+@query("s5_open_model", "SELECT name, CASE name WHEN 'files' THEN (SELECT count(*) FROM documents) ELSE 0 END AS n FROM (SELECT unnest(['chunks', 'cold_context', 'edges', 'facts', 'files', 'manifests', 'session_turns', 'sessions', 'shared_facts', 'symbols', 'usage']) AS name)")
 def s5(spark, d):
-    """The model's tables after creating them twice."""
+    """The model's tables and their rows after creating them, filling one with all documents, and creating them again."""
     db = f"model_{uuid.uuid4().hex[:12]}"
     T.open_model(spark, db)
-    names = T.open_model(spark, db)
+    files(spark, d).select("id", "path", "hash", "lang", "mtime", F.lit(None).cast("bigint").alias("indexed_at")).write.insertInto(f"`{db}`.files")
+    rows = [(n, spark.table(f"`{db}`.`{n}`").count()) for n in T.open_model(spark, db)]
     spark.sql(f"DROP DATABASE `{db}` CASCADE")
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    return spark.createDataFrame(rows, "name string, n bigint")
 
 
 @query("s6_vector_collection", "SELECT vec_id::VARCHAR AS id FROM embeddings WHERE vec_id % 2 = 1 ORDER BY list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) - 2 * embedding[1]::DOUBLE, vec_id::VARCHAR LIMIT 5")
@@ -112,14 +113,15 @@ def s10(spark, d):
     return change_diff(S.load_snapshot(spark, path, f.where("false")), f.where("id % 5 > 0"))
 
 
-@query("s11_config", "SELECT 'auto' AS default_agent, 7 AS retries, false AS absent_is_error")
+@query("s11_config", "SELECT 'auto' AS default_agent, count(DISTINCT source) AS retries, false AS absent_is_error FROM documents")
 def s11(spark, d):
-    """A configuration over defaults; an absent file gives the defaults."""
+    """A configuration, a retry for each source of documents, over defaults; an absent file gives the defaults."""
     path = new_path(spark, "config")
-    spark.createDataFrame([("retries: 7",)], "value string").coalesce(1).write.text(path)
+    retries = table(spark, d, "documents").agg(F.concat(F.lit("retries: "), F.countDistinct("source").cast("string")).alias("value"))
+    retries.coalesce(1).write.text(path)
     defaults = {"default_agent": "auto", "retries": 3}
     found, none = R.read_config(spark, path, defaults), R.read_config(spark, path + "-absent", defaults)
-    return spark.createDataFrame([(found["default_agent"], found["retries"], none != defaults)], "default_agent string, retries int, absent_is_error boolean")
+    return spark.createDataFrame([(found["default_agent"], found["retries"], none != defaults)], "default_agent string, retries bigint, absent_is_error boolean")
 
 
 @query("s12_decisions", "SELECT '## ' || source || chr(10) || chr(10) || count(*) || ' documents' || chr(10) AS text, 'decision' AS tags FROM documents GROUP BY source")

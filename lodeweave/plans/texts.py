@@ -26,7 +26,7 @@ COMMANDS = [
     "git push origin main --force", "git push -f origin main", "git reset --hard HEAD~3", "git clean -fd", "chmod 777 -R .", "chmod -R 777 /srv", "chown -R me /", ":(){ :|:& };:", "echo x > /etc/passwd", "cat y >/etc/shadow", "dd of=a > /dev/sdb",
     "openssl enc -aes-256-cbc -e -in a -k pw ", "ls -la", "git push origin main", "git status", "npm test", "rm file.txt", "cat /etc/passwd", "python -m pytest", "SELECT * FROM t", "chmod 644 a", "docker ps", "",
 ]
-_C = "c(id, cmd) AS (VALUES " + ", ".join(f"({i}, {q(c)})" for i, c in enumerate(COMMANDS)) + ")"
+_C = f"c AS (SELECT conv_id, turn, [{', '.join(map(q, COMMANDS))}][(conv_id * 7 + turn) % {len(COMMANDS)} + 1] || ' # ' || coalesce(text, '') AS cmd FROM conversations)"
 
 
 def _block(values) -> str:
@@ -34,22 +34,23 @@ def _block(values) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(cmd, {q(r)}) THEN {q(v)}" for (r, _, _), v in zip(Y.BLOCKLIST, values, strict=True)) + " END"
 
 
+def commands(spark, d):
+    """A command for each turn of a conversation, with the turn's whole text behind it."""
+    at = ((F.col("conv_id") * 7 + F.col("turn")) % len(COMMANDS)).cast("int")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.get(F.array(*map(F.lit, COMMANDS)), at), F.lit(" # "), F.coalesce("text", F.lit(""))).alias("cmd"))
 
-def commands(spark):
-    return spark.createDataFrame(list(enumerate(COMMANDS)), "id int, cmd string")
 
-
-@query("x5_blocklist", f"WITH {_C} SELECT id, {_block(n for _, n, _ in Y.BLOCKLIST)} AS pattern, {_block(r for *_, r in Y.BLOCKLIST)} AS reason FROM c")
+@query("x5_blocklist", f"WITH {_C} SELECT conv_id, turn, {_block(n for _, n, _ in Y.BLOCKLIST)} AS pattern, {_block(r for *_, r in Y.BLOCKLIST)} AS reason FROM c")
 def x5(spark, d):
-    return commands(spark).select("id", Y.blocked(F.col("cmd")).alias("b")).select("id", "b.*")
+    return commands(spark, d).select("conv_id", "turn", Y.blocked(F.col("cmd")).alias("b")).select("conv_id", "turn", "b.*")
 
 
-@query("p14_composite_verdict", f"""WITH {_C}, v AS (SELECT id, split_part(trim(cmd), ' ', 1) AS w, {_block(f'BLOCKED [{n}]: {r}' for _, n, r in Y.BLOCKLIST)} AS blocked FROM c)
-SELECT id, blocked IS NULL AND w <> 'docker' AND w IN ('git', 'ls', 'npm', 'python', 'rm', 'cat') AS allowed, CASE WHEN blocked IS NOT NULL THEN blocked WHEN w = 'docker' THEN 'Command ''docker'' matches deny list'
+@query("p14_composite_verdict", f"""WITH {_C}, v AS (SELECT conv_id, turn, split_part(trim(cmd), ' ', 1) AS w, {_block(f'BLOCKED [{n}]: {r}' for _, n, r in Y.BLOCKLIST)} AS blocked FROM c)
+SELECT conv_id, turn, blocked IS NULL AND w <> 'docker' AND w IN ('git', 'ls', 'npm', 'python', 'rm', 'cat') AS allowed, CASE WHEN blocked IS NOT NULL THEN blocked WHEN w = 'docker' THEN 'Command ''docker'' matches deny list'
 WHEN w IN ('git', 'ls', 'npm', 'python', 'rm', 'cat') THEN 'Command permitted by policy' ELSE 'Command ''' || w || ''' not in allow list' END AS reason,
 CASE WHEN blocked IS NOT NULL THEN 'blocklist' WHEN w = 'docker' OR w NOT IN ('git', 'ls', 'npm', 'python', 'rm', 'cat') THEN 'policy' END AS blocked_by FROM v""")
 def p14(spark, d):
-    return commands(spark).select("id", Y.verdict(F.col("cmd"), allow=["git", "LS", "npm", "py*", "rm", "c?t"], deny=["docker*"]).alias("v")).select("id", "v.*")
+    return commands(spark, d).select("conv_id", "turn", Y.verdict(F.col("cmd"), allow=["git", "LS", "npm", "py*", "rm", "c?t"], deny=["docker*"]).alias("v")).select("conv_id", "turn", "v.*")
 
 
 @query("x1_token_estimate", over("chunks", "SELECT id, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM chunks"))

@@ -7,10 +7,11 @@ import logging
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.logs import parse_texts
+from ..operators.logs import parse_lines
+from .worktables import stored
 
 RESULT = "name string, ms double, ok boolean"
 ACTION = "ts bigint, taskId string, kind string, payload map<string,string>"
@@ -29,10 +30,23 @@ def read_actions(spark: SparkSession, path: str, strict: bool = True, last: int
     return rows.orderBy(F.desc("ts"), "taskId", "kind").limit(last) if last is not None else rows
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the text files below a path: file, line (from 0), raw.
+
+    Files are read in byte splits, so that a large one is many tasks. A line's number is its place in its split and the lines
+    of the file's splits before: a sum over one row per split. Lines end with a line feed, the last one may lack it;
+    a carriage return stays at the end of its line.
+    """
+    rows = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("raw"))
+    rows = stored(rows, "lines")  # numbers and sums are of the same splits
+    splits = rows.groupBy("file", "split").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(splits.select("file", "split", (before - F.col("first")).alias("shift")), ["file", "split"]).select("file", (F.col("n") + F.col("shift")).alias("line"), "raw")
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of the text logs below a path, a log a file."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
-    return parse_texts(texts, "file")
+    """Entries of the text logs below a path, a log a file; entries may cross splits."""
+    return parse_lines(read_lines(spark, path), "file")
 
 
 def read_config(spark: SparkSession, path: str, defaults: dict) -> dict:
@@ -117,12 +131,6 @@ def append_decisions(decisions: DataFrame, facts_path: str) -> None:
     decisions.select(F.sha2(F.concat_ws("|", "ts", "title"), 256).alias("id"), text.alias("text"), "ts", F.lit("decision").alias("tags")).write.mode("append").parquet(facts_path)
 
 
-def write_report(results: DataFrame, path: str) -> None:
-    """Benchmark results (name, ms, ok) with their totals as one JSON file."""
-    each = F.array_sort(F.collect_list(F.struct("name", "ms", "ok")))
-    results.agg(each.alias("results"), F.avg(F.col("ok").cast("double")).alias("success_rate"), F.avg("ms").alias("mean_ms")).coalesce(1).write.mode("overwrite").json(path)
-
-
 def write_results(results: DataFrame, path: str) -> None:
     """Benchmark results (name, ms, ok) of any number as JSON lines, a file a task."""
     results.select("name", "ms", "ok").write.mode("overwrite").json(path)

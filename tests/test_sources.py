@@ -1,6 +1,7 @@
 """Sources, stores and mutations on small literal input."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +220,38 @@ def test_tail_of_a_stream(spark, small):
     """One file is one micro-batch: its last event."""
     last = spark.read.parquet(f"{small}/events.parquet").orderBy("event_id", ascending=False).first()
     assert [tuple(r) for r in plans.QUERIES["st4_log_tail"](spark, small).collect()] == [(last.event_id, last.event_type)]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Many byte splits of a file give the lines of a plain reader, and entries that cross them are whole."""
+    draw = random.Random(8)
+    pieces = ["2024-01-01T00:00:00 ERROR é 😀", "    at f (a.ts:1:2)", "", "  ", "WARN x\r", "info " + "y" * 700]
+    texts = {f"{i}.log": "\n".join(draw.choice(pieces) for _ in range(n)) + end for i, (n, end) in enumerate([(900, ""), (1, "\n"), (350, "\n\n"), (1, ""), (500, "\r\n")])}
+    texts["5.log"] = ""
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = R.read_lines(spark, f"file://{tmp_path}").collect()
+        entries = [(r.file.rsplit("/", 1)[1], r.line, r.raw, len(r.stack)) for r in R.read_logs(spark, f"file://{tmp_path}").collect()]
+        assert spark.read.text(f"file://{tmp_path}/0.log", lineSep="\n").rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", held[1])
+    got = sorted((r.file.rsplit("/", 1)[1], r.line, r.raw) for r in rows)
+    plain = {name: text.split("\n")[: -1 if text.endswith("\n") or not text else None] for name, text in texts.items()}
+    assert got == sorted((name, i, x) for name, lines in plain.items() for i, x in enumerate(lines))
+    want = []
+    for name, lines in plain.items():
+        mine = []
+        for i, x in enumerate(lines):
+            if x.strip(" ") == "":
+                continue
+            if x.startswith("    at") and mine:
+                mine[-1][3] += 1
+            else:
+                mine.append([name, i, x, 0])
+        want += map(tuple, mine)
+    assert sorted(entries) == sorted(want)
