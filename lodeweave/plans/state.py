@@ -11,7 +11,7 @@ from ..operators import mutations as M
 from ..operators import sequences as S
 from ..sources.runs import RunTable
 from ..sources.worktables import new_path
-from ..streaming import sinks, stateful, windows
+from ..streaming import sinks, stateful, timed, windows
 from .registry import query, table
 from .relations import edges, over, snapshots, symbols, turns
 from .sequences import _CALLS, RESET_MS
@@ -113,6 +113,18 @@ def st8(spark, d):
     return sinks.drain(stateful.breaker_stream(calls, reset_ms=RESET_MS), "breaker")
 
 
+@query("st8_breaker_in_order", f"""WITH {_CALLS} SELECT user_id AS provider, id, coalesce((SELECT count(*) FROM c WHERE c.user_id = s.user_id AND c.failed AND c.id > coalesce(s.ok, -1) AND c.id < s.id) >= 3 AND t - last <= {RESET_MS}, false) AS open FROM s""")
+def st8_in_order(spark, d):
+    """The same in order of event time, with rows that wait for the watermark; a last row beyond all times lets them go."""
+    path = new_path(spark, "ordered")
+    schema = "provider bigint, at timestamp, id bigint, failed boolean"
+    spark.createDataFrame([], schema).write.parquet(f"{path}/end")
+    calls = stream(spark, d, "events").select(F.col("user_id").alias("provider"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), F.col("event_type").isin("error", "view", "click").alias("failed"))
+    calls = calls.unionByName(spark.readStream.schema(schema).parquet(f"{path}/end"))
+    last = spark.sql("SELECT CAST(NULL AS bigint) AS provider, TIMESTAMP '2200-01-01' AS at, CAST(-1 AS bigint) AS id, false AS failed")
+    return timed.drain_closed(timed.breaker_in_order(calls, "3650 days", reset_ms=RESET_MS), lambda: last.write.mode("append").parquet(f"{path}/end"), path).where("id >= 0")
+
+
 @query("st9_single_writer", "SELECT event_id, user_id FROM events")
 def st9(spark, d):
     """One stream is the only writer; each batch writes its own folder, so that a repeated one replaces itself."""
