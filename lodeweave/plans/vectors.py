@@ -49,7 +49,7 @@ def e2(spark, d):
 
 @query("e3_table_function", r"SELECT doc_id AS id, unnest(regexp_extract_all(text, '(?m)^(The|And) (\w+)', 2)) AS name FROM documents")
 def e3(spark, d):
-    """Symbols by a table function: lines that begin with 'The' or 'And' become functions."""
-    code = F.regexp_replace("text", r"(?m)^(?:The|And) (\w+)", "function $1() {}")
+    """Symbols by a table function: lines that begin with 'The' or 'And' become functions, all other text comments, so that nothing in it is read as code."""
+    code = F.regexp_replace(F.regexp_replace("text", "(?dm)^", "//"), r"(?dm)^//(?:The|And) (\w+)", "function _$1() {} //")  # a name may begin with a digit
     rows = wide_table(spark, d, "documents").select(F.col("doc_id").alias("id"), code.alias("code"), F.lit("typescript").alias("lang"), F.lit("f").alias("stem"))
-    return C.extract_symbols(rows, "id").where("kind = 'function'").select("id", "name")
+    return C.extract_symbols(rows, "id").where("kind = 'function'").select("id", F.expr("substr(name, 2)").alias("name"))
