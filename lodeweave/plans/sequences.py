@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import logs as L
 from ..operators import sequences as S
+from ..sources.partitions import tasks_for
 from .registry import query, table
 from .relations import chunks, over, token_estimate, turns
 
@@ -42,10 +43,12 @@ _PLANS = "p AS (SELECT DISTINCT o_custkey AS plan, o_orderkey AS step, l_partkey
 
 
 def _plans(spark, d):
-    """Steps (orders) of plans (customers) with their files (parts)."""
+    """Steps (orders) of plans (customers) with their files (parts), dealt by plan to as many tasks as the lines' bytes need."""
+    tasks = tasks_for(table(spark, d, "lineitem"))
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("plan"), F.col("o_orderkey").alias("step"), (F.col("o_orderstatus") != "P").alias("success"))
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("step"), (F.col("l_partkey") % 50).alias("file"))
-    return orders.join(lines, "step").select("plan", "step", "file", "success").distinct()
+    both = orders.repartition(tasks, "step").join(lines.repartition(tasks, "step"), "step")
+    return both.select("plan", "step", "file", "success").repartition(tasks, "plan").distinct()
 
 
 @query("w5_parallel_groups", f"""WITH {_PLANS}, f AS (SELECT *, min(step) OVER (PARTITION BY plan, file) AS first FROM p), s AS (SELECT plan, step, bool_or(first < step) AS conflict FROM f GROUP BY plan, step)
