@@ -38,11 +38,14 @@ def to_decide_again(references: DataFrame, changed: DataFrame) -> DataFrame:
     A reference meets the symbols by the names it asked for; only those that no exact name settled meet near ones.
     """
     keys = changed.select(F.explode(F.array(F.concat(F.lit("q:"), "qualified_name"), F.concat(F.lit("n:"), F.lower("name")))).alias("key")).distinct()
+    keys = stored(keys, "keys")
     asked = references.select("path", "src_qn", "dst_qn", "kind", F.explode(asked_names(references)).alias("key"))
     exact = asked.join(keys, "key", "left_semi").drop("key")
     open_calls = references.where("kind = 'calls' AND strategy IN ('fuzzy', 'unresolved')").withColumn("wanted", F.lower("dst_qn"))
-    near = near_names(open_calls.select("wanted").distinct(), changed.where("name IS NOT NULL").select(F.lower("name").alias("near")).distinct(), "wanted", "near", FUZZY)
-    close = open_calls.join(near.select("wanted").distinct(), "wanted", "left_semi").select("path", "src_qn", "dst_qn", "kind")
+    wanted = stored(open_calls.select("wanted").distinct(), "wanted")
+    names = stored(changed.where("name IS NOT NULL").select(F.lower("name").alias("near")).distinct(), "near-names")
+    near = stored(near_names(wanted, names, "wanted", "near", FUZZY).select("wanted").distinct(), "near")
+    close = open_calls.join(near, "wanted", "left_semi").select("path", "src_qn", "dst_qn", "kind")
     return exact.unionByName(close).distinct()
 
 
@@ -82,8 +85,7 @@ def index_files(files: DataFrame, held: dict[str, DataFrame], size: int = 2500,
     undecided = stored(new.unionByName(kept.join(again, key, "left_semi").select(*new.columns)), "undecided")
 
     order = F.struct("path", "start")
-    no_bindings = files.sparkSession.createDataFrame([], "local string, target string")
-    decided = resolve_edges(undecided, symbols.select(order.alias("ord"), "name", "qualified_name"), no_bindings, FUZZY)
+    decided = stored(resolve_edges(undecided, symbols.select(order.alias("ord"), "name", "qualified_name"), None, FUZZY, keep=stored), "decided")
     ends = symbols.groupBy(F.col("qualified_name").alias("target")).agg(F.min_by("id", order).alias("dst"))
     decided = decided.join(ends, "target", "left").withColumn("dst", F.when(F.col("resolved"), F.col("dst")))
     references = out["references"] = stored(kept.join(again, key, "left_anti").unionByName(decided.select(kept.columns)), "references")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.partitions import tasks_for
+
 
 def innermost_interval(points: DataFrame, spans: DataFrame, key: str, point_id: str, at: str = "line", start: str = "start", end: str = "end", span_id: str = "id", width: int = 64) -> DataFrame:
     """Each point with the id of the span of its key that holds it: the latest start wins, then the lowest id; null without one.
@@ -24,6 +28,8 @@ def innermost_interval(points: DataFrame, spans: DataFrame, key: str, point_id:
 
 #: Names up to this length meet by what is left of them after deletions, longer ones by a part that no edit touched.
 SHORT_NAME = 24
+#: Bytes of names that a task takes: a name becomes hundreds of keys.
+NAME_BYTES = 256 << 10
 
 
 def deletions(name: Column, limit: int) -> Column:
@@ -61,6 +67,8 @@ def near_names(wanted: DataFrame, names: DataFrame, target: str, name: str, limi
     Candidates share a hash: of what deletions leave of a short name, of a part of a long one. Keys are as many
     as names, so that no length or letter makes a hot one.
     """
+    most = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted, names = (x.repartition(min(tasks_for(x, NAME_BYTES), most)) for x in (wanted, names))
     size, n = F.length(target), F.length(name)
     short = wanted.where(size <= SHORT_NAME).withColumn("__key", F.explode(deletions(F.col(target), limit)))
     long = wanted.where(size > SHORT_NAME).withColumn("__key", F.explode(wanted_parts(F.col(target), limit)))
@@ -70,11 +78,11 @@ def near_names(wanted: DataFrame, names: DataFrame, target: str, name: str, limi
     return pairs.withColumn("distance", F.levenshtein(target, name, limit)).where("distance >= 0").drop("__key")
 
 
-def nearest_names(targets: DataFrame, names: DataFrame, target: str = "target", name: str = "name", order: str = "ord", limit: int = 2) -> DataFrame:
+def nearest_names(targets: DataFrame, names: DataFrame, target: str = "target", name: str = "name", order: str = "ord", limit: int = 2, keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df) -> DataFrame:
     """For each distinct target the name within ``limit`` edits: fewest edits, then the first by ``order``."""
     names = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__name")).agg(F.min(order).alias("__ord"))
     wanted = targets.select(target).where(F.col(target).isNotNull()).distinct()
-    pairs = near_names(wanted, names, target, "__name", limit)
+    pairs = keep(near_names(keep(wanted, "wanted"), keep(names, "near-names"), target, "__name", limit), "pairs")
     return pairs.groupBy(target).agg(F.min_by(F.struct(F.col("__name").alias("name"), "distance"), F.struct("distance", "__ord")).alias("best")).select(target, "best.*")
 
 
@@ -109,16 +117,17 @@ def new_by_hash(rows: DataFrame, held: DataFrame, hash_col: str = "content_hash"
     return fresh.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
 
 
-def resolve_edges(edges: DataFrame, symbols: DataFrame, bindings: DataFrame, fuzzy_limit: int = 2) -> DataFrame:
+def resolve_edges(edges: DataFrame, symbols: DataFrame, bindings: DataFrame | None, fuzzy_limit: int = 2, keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df) -> DataFrame:
     """Resolve call targets by six ordered strategies; the first hit wins.
 
     ``edges``: src_qn, dst_qn, kind, confidence. ``symbols``: ord (insertion order), name, qualified_name.
-    ``bindings``: local, target. Adds target, score, resolved, strategy. Look-ups are joins on small
-    distinct tables; only what no look-up settles goes to the fuzzy join.
+    ``bindings``: local, target, or None. Adds target, score, resolved, strategy. Look-ups are joins on small
+    distinct tables; only what no look-up settles goes to the fuzzy join. ``keep`` stores the table between steps: with
+    it the driver plans a few joins at a time, without it all of them at once, which takes it hundreds of MB.
     """
     known = symbols.select(F.col("qualified_name").alias("__qn")).distinct()
     by_name = symbols.groupBy(F.lower("name").alias("__n")).agg(F.count("*").alias("__count"), F.min_by("qualified_name", "ord").alias("__first"), F.min("ord").alias("__ord"))
-    bound = bindings.groupBy(F.col("local").alias("__local")).agg(F.min("target").alias("__target"))
+    by_name = keep(by_name, "names")
 
     def look(df: DataFrame, expression: Column, table: DataFrame, key: str, out: dict[str, str]) -> DataFrame:
         t = table.select(F.col(key).alias("__look"), *(F.col(c).alias(n) for c, n in out.items()))
@@ -128,10 +137,15 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame, bindings: DataFrame, fuz
     e = look(edges, dst, known, "__qn", {"__qn": "exact"})
     e = look(e, F.concat(src[0], F.lit("."), dst), known, "__qn", {"__qn": "local1"})
     e = look(e, F.when(F.size(src) >= 3, F.concat(src[0], F.lit("."), F.get(src, F.lit(1)), F.lit("."), dst)), known, "__qn", {"__qn": "local2"})
-    e = look(e, dst, bound, "__local", {"__target": "bind1"})
-    e = look(e, F.lower(dst), bound, "__local", {"__target": "bind2"})
-    e = e.withColumn("bind", F.coalesce("bind1", "bind2"))
-    e = look(e, F.col("bind"), known, "__qn", {"__qn": "bind_known"})
+    if bindings is None:
+        e = e.withColumns({c: F.lit(None).cast("string") for c in ("bind", "bind_known")})
+    else:
+        bound = bindings.groupBy(F.col("local").alias("__local")).agg(F.min("target").alias("__target"))
+        e = look(e, dst, bound, "__local", {"__target": "bind1"})
+        e = look(e, F.lower(dst), bound, "__local", {"__target": "bind2"})
+        e = e.withColumn("bind", F.coalesce("bind1", "bind2"))
+        e = look(e, F.col("bind"), known, "__qn", {"__qn": "bind_known"})
+    e = keep(e, "looked")
     e = look(e, F.lower(dst), by_name, "__n", {"__count": "n1", "__first": "first1"})
     e = look(e, F.when(dst.contains("."), F.lower(F.substring_index(dst, ".", 1))), by_name, "__n", {"__count": "n2", "__first": "first2"})
     e = e.withColumn("rebuilt", F.when(F.col("n2") == 1, F.concat("first2", F.expr("substring(dst_qn, instr(dst_qn, '.'))"))))
@@ -151,9 +165,9 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame, bindings: DataFrame, fuz
         .when(col("n1") == 1, hit(col("first1"), 0.85, yes, "import_resolved"))
         .when(col("rebuilt").isNotNull(), hit(col("rebuilt"), 0.75, col("rebuilt_known").isNotNull(), "type_hint"))
     )
-    e = e.select(*edges.columns, found.alias("found"), F.when(found.isNull(), F.lower(dst)).alias("__fuzzy"))
+    e = keep(e.select(*edges.columns, found.alias("found"), F.when(found.isNull(), F.lower(dst)).alias("__fuzzy")), "named")
     names = by_name.select(F.col("__n").alias("name"), F.col("__ord").alias("ord"), "__first")
-    near = nearest_names(e.where("__fuzzy IS NOT NULL").select(F.col("__fuzzy").alias("target")), names, limit=fuzzy_limit)
+    near = nearest_names(e.where("__fuzzy IS NOT NULL").select(F.col("__fuzzy").alias("target")), names, limit=fuzzy_limit, keep=keep)
     near = near.join(names.select("name", "__first"), "name").select(F.col("target").alias("__t"), F.col("__first").alias("__near"))
     e = e.join(near, F.col("__fuzzy") == F.col("__t"), "left")
     last = F.when(F.col("__near").isNotNull(), hit(F.col("__near"), 0.5, yes, "fuzzy")).otherwise(hit(dst, col("confidence"), F.lit(False), "unresolved"))
