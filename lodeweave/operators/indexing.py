@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.worktables import stored
-from .code import extract_edges, extract_symbols, split_code
+from ..sources.worktables import release, scratch, stored
+from .code import extract_facts, split_code
 from .joins import innermost_interval, near_names, resolve_edges
 
 #: The tables of an index. ``references`` holds what every file calls, imports and extends, resolved or waiting.
@@ -37,14 +39,13 @@ def to_decide_again(references: DataFrame, changed: DataFrame) -> DataFrame:
 
     A reference meets the symbols by the names it asked for; only those that no exact name settled meet near ones.
     """
-    keys = changed.select(F.explode(F.array(F.concat(F.lit("q:"), "qualified_name"), F.concat(F.lit("n:"), F.lower("name")))).alias("key")).distinct()
-    keys = stored(keys, "keys")
+    keys = changed.select(F.explode(F.array(F.concat(F.lit("q:"), "qualified_name"), F.concat(F.lit("n:"), F.lower("name")))).alias("key"))
     asked = references.select("path", "src_qn", "dst_qn", "kind", F.explode(asked_names(references)).alias("key"))
     exact = asked.join(keys, "key", "left_semi").drop("key")
     open_calls = references.where("kind = 'calls' AND strategy IN ('fuzzy', 'unresolved')").withColumn("wanted", F.lower("dst_qn"))
-    wanted = stored(open_calls.select("wanted").distinct(), "wanted")
-    names = stored(changed.where("name IS NOT NULL").select(F.lower("name").alias("near")).distinct(), "near-names")
-    near = stored(near_names(wanted, names, "wanted", "near", FUZZY).select("wanted").distinct(), "near")
+    wanted = step(open_calls.select("wanted").where("wanted IS NOT NULL").distinct(), "wanted")
+    names = step(changed.where("name IS NOT NULL").select(F.lower("name").alias("near")).distinct(), "near-names")
+    near = step(near_names(wanted, names, "wanted", "near", FUZZY, step).select("wanted").distinct(), "near")
     close = open_calls.join(near, "wanted", "left_semi").select("path", "src_qn", "dst_qn", "kind")
     return exact.unionByName(close).distinct()
 
@@ -58,45 +59,63 @@ def index_files(files: DataFrame, held: dict[str, DataFrame], size: int = 2500,
     names in a file the last counts. A batch that comes again changes nothing. Every table is stored, so that an executor's loss
     repeats one step. Files without a path are left out, null code is empty, of repeated paths one counts.
     """
+    with scratch(files.sparkSession) as made:
+
+        def lasting(df: DataFrame, label: str) -> DataFrame:
+            out = step(df, label)
+            made.pop()
+            return out
+
+        return _index_files(files, held, size, overlap, removed, lasting)
+
+
+def step(df: DataFrame, label: str) -> DataFrame:
+    """A step of many: stored, and what it took of the driver given back."""
+    out = stored(df, label)
+    release(df.sparkSession)
+    return out
+
+
+def _index_files(files: DataFrame, held: dict[str, DataFrame], size: int, overlap: int, removed: DataFrame | None, lasting: Callable[[DataFrame, str], DataFrame]) -> dict[str, DataFrame]:
+    """``index_files`` with work tables that are dropped after it, but for what ``lasting`` stores."""
     files = files.where("path IS NOT NULL").dropDuplicates(["path"]).withColumn("hash", F.sha2(F.coalesce("code", F.lit("")), 256))
-    changed = stored(files.join(held["files"].select("path", "hash"), ["path", "hash"], "left_anti"), "changed")
-    gone = changed.select("path") if removed is None else stored(changed.select("path").unionByName(removed.select("path")).distinct(), "gone")
+    changed = step(files.join(held["files"].select("path", "hash"), ["path", "hash"], "left_anti"), "changed")
+    gone = changed.select("path") if removed is None else step(changed.select("path").unionByName(removed.select("path")).distinct(), "gone")
     if gone.isEmpty():
         return held
     rest = lambda name: held[name].join(gone, "path", "left_anti")
-    out = {"files": rest("files").unionByName(changed.select("path", "hash", "lang"))}
+    out = {"files": lasting(rest("files").unionByName(changed.select("path", "hash", "lang")), "files")}
 
     sym_id = lambda qualified: F.xxhash64("path", qualified)
-    last = Window.partitionBy("path", "qualified_name").orderBy(F.desc("start"))
-    found = extract_symbols(changed, "path").withColumn("__r", F.row_number().over(last)).where("__r = 1")
-    found = stored(found.select(sym_id("qualified_name").alias("id"), "path", F.when(F.col("parent").isNotNull(), sym_id("parent")).alias("parent_id"), "kind", "name", "qualified_name", "start", "end", "start_line", "end_line"), "symbols")
-    columns = held["symbols"].columns
-    symbols = out["symbols"] = stored(rest("symbols").unionByName(found.select(columns)), "symbols")
-
-    facts = ["path", "name", "qualified_name", "start"]  # what an answer depends on
-    before, after = held["symbols"].join(gone, "path", "left_semi").select(facts), found.select(facts)
-    moved = stored(before.exceptAll(after).unionByName(after.exceptAll(before)), "moved")
-    raw = ["path", "src_qn", "dst_qn", "kind", "confidence"]
-    own = found.select("path", F.col("qualified_name").alias("src_qn"), F.col("id").alias("src"))
-    new = extract_edges(changed, "path").select(raw).distinct().join(own, ["path", "src_qn"])  # from symbols only
+    facts = step(extract_facts(changed, "path"), "facts")
+    found = facts.where("qualified_name IS NOT NULL").withColumns({"id": sym_id("qualified_name"), "parent_id": F.when(F.col("parent").isNotNull(), sym_id("parent"))})
+    symbols = out["symbols"] = lasting(rest("symbols").unionByName(found.select(held["symbols"].columns)), "symbols")
+
+    new = facts.where("src_qn IS NOT NULL").select("path", "src_qn", "dst_qn", "kind", "confidence", sym_id("src_qn").alias("src"))
     kept = rest("references")
     key = ["path", "src_qn", "dst_qn", "kind"]
-    again = kept.select(key).where("false") if kept.isEmpty() or moved.isEmpty() else stored(to_decide_again(kept, moved), "again")
-    undecided = stored(new.unionByName(kept.join(again, key, "left_semi").select(*new.columns)), "undecided")
+    again = None
+    if not kept.isEmpty():
+        depends = ["path", "name", "qualified_name", "start"]  # what an answer depends on
+        before, after = held["symbols"].join(gone, "path", "left_semi").select(*depends, F.lit(-1).alias("n")), found.select(*depends, F.lit(1).alias("n"))
+        moved = step(before.unionByName(after).groupBy(depends).agg(F.sum("n").alias("n")).where("n <> 0"), "moved")
+        again = step(to_decide_again(kept, moved), "again")
+    undecided = new if again is None else new.unionByName(kept.join(again, key, "left_semi").select(*new.columns))
 
     order = F.struct("path", "start")
-    decided = stored(resolve_edges(undecided, symbols.select(order.alias("ord"), "name", "qualified_name"), None, FUZZY, keep=stored), "decided")
+    decided = resolve_edges(undecided, symbols.select(order.alias("ord"), "name", "qualified_name"), None, FUZZY, keep=step)
     ends = symbols.groupBy(F.col("qualified_name").alias("target")).agg(F.min_by("id", order).alias("dst"))
-    decided = decided.join(ends, "target", "left").withColumn("dst", F.when(F.col("resolved"), F.col("dst")))
-    references = out["references"] = stored(kept.join(again, key, "left_anti").unionByName(decided.select(kept.columns)), "references")
-    out["edges"] = references.where("dst IS NOT NULL").groupBy("src", "dst", "kind").agg(F.max("score").alias("confidence"))  # an edge is held once
+    decided = decided.join(ends, "target", "left").withColumn("dst", F.when(F.col("resolved"), F.col("dst"))).select(held["references"].columns)
+    decided = decided if again is None else kept.join(again, key, "left_anti").unionByName(decided)
+    references = out["references"] = lasting(decided, "references")
+    out["edges"] = lasting(references.where("dst IS NOT NULL").groupBy("src", "dst", "kind").agg(F.max("score").alias("confidence")), "edges")  # an edge is held once
 
     spans = found.select("path", "id", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
     chunks = split_code(changed, "path", size=size, overlap=overlap).withColumn("__key", F.struct("path", "chunk"))
     chunks = innermost_interval(chunks, spans, "path", "__key", at="start_line")
     chunks = chunks.select("path", "chunk", F.col("span_id").alias("symbol_id"), "content", F.ceil(F.length("content") / 4).alias("token_count"), "start_line", "end_line")
-    out["chunks"] = rest("chunks").unionByName(chunks)
-    return {name: df if name in ("symbols", "references") else stored(df, name) for name, df in out.items()}
+    out["chunks"] = lasting(rest("chunks").unionByName(chunks), "chunks")
+    return out
 
 
 def empty_index(spark: SparkSession) -> dict[str, DataFrame]:

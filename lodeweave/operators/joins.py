@@ -30,15 +30,23 @@ def innermost_interval(points: DataFrame, spans: DataFrame, key: str, point_id:
 SHORT_NAME = 24
 #: Bytes of names that a task takes: a name becomes hundreds of keys.
 NAME_BYTES = 256 << 10
+#: Characters that the beginnings of near names share.
+HEAD = 3
 
 
-def deletions(name: Column, limit: int) -> Column:
-    """Hashes of the strings that up to ``limit`` deletions leave: two names within ``limit`` edits have one in common."""
+def deletions(name: Column, limit: int, first: int | None = None) -> Column:
+    """Hashes of the strings that up to ``limit`` deletions leave: two names within ``limit`` edits have one in common.
+
+    ``first``: of these strings only so many characters. Two names within ``limit`` edits have one in common then too, and for it
+    their first ``first + limit`` characters are enough.
+    """
     without = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))).otherwise(F.array().cast("array<string>"))
     levels = [F.array(name)]
     for _ in range(limit):
         levels.append(F.array_distinct(F.flatten(F.transform(levels[-1], without))))
-    return F.transform(F.array_distinct(F.flatten(F.array(*levels))), lambda s: F.xxhash64(s))
+    left = F.flatten(F.array(*levels))
+    left = left if first is None else F.transform(left, lambda s: F.substr(s, F.lit(1), F.lit(first)))
+    return F.transform(F.array_distinct(left), lambda s: F.xxhash64(s))
 
 
 def parts(name: Column, limit: int) -> Column:
@@ -61,28 +69,42 @@ def wanted_parts(name: Column, limit: int) -> Column:
     return F.array_distinct(F.filter(F.flatten(each), lambda h: h.isNotNull()))
 
 
-def near_names(wanted: DataFrame, names: DataFrame, target: str, name: str, limit: int) -> DataFrame:
+def with_shared_heads(wanted: DataFrame, names: DataFrame, target: str, name: str, limit: int, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Both sides without what begins like nothing of the other side. Beginnings are few, so this costs little beside the names' own keys."""
+
+    def heads(df: DataFrame, column: str) -> DataFrame:
+        return df.select(F.substring(column, 1, HEAD + limit).alias("__head")).distinct().withColumn("__key", F.explode(deletions(F.col("__head"), limit, HEAD)))
+
+    sides = [(wanted, target, heads(wanted, target)), (names, name, heads(names, name))]
+    shared = keep(sides[0][2].select("__key").join(sides[1][2], "__key", "left_semi").distinct(), "heads")
+    return tuple(df.withColumn("__head", F.substring(c, 1, HEAD + limit)).join(h.join(shared, "__key", "left_semi"), "__head", "left_semi").drop("__head") for df, c, h in sides)
+
+
+def near_names(wanted: DataFrame, names: DataFrame, target: str, name: str, limit: int, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Pairs of a target and a name within ``limit`` edits, with their ``distance``; both sides without nulls, a pair may come more than once.
 
     Candidates share a hash: of what deletions leave of a short name, of a part of a long one. Keys are as many
-    as names, so that no length or letter makes a hot one.
+    as names, so that no length or letter makes a hot one. With ``keep``, which stores a table, and sides that are stored, names
+    that begin like none of the other side are left out first: a name becomes hundreds of keys, a beginning few.
     """
     most = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted, names = (x.repartition(min(tasks_for(x, NAME_BYTES), most)) for x in (wanted, names))
-    size, n = F.length(target), F.length(name)
-    short = wanted.where(size <= SHORT_NAME).withColumn("__key", F.explode(deletions(F.col(target), limit)))
-    long = wanted.where(size > SHORT_NAME).withColumn("__key", F.explode(wanted_parts(F.col(target), limit)))
-    by_rest = names.where(n <= SHORT_NAME + limit).withColumn("__key", F.explode(deletions(F.col(name), limit)))
-    by_part = names.where(n > SHORT_NAME - limit).withColumn("__key", F.explode(parts(F.col(name), limit)))
-    pairs = short.join(by_rest, "__key").unionByName(long.join(by_part, "__key"))
+    tasks = [min(tasks_for(x, NAME_BYTES), most) for x in (wanted, names)]
+    if keep:
+        wanted, names = with_shared_heads(wanted, names, target, name, limit, keep)
+    wanted, names = (x.repartition(n) for x, n in zip((wanted, names), tasks, strict=True))
+    size, n, none = F.length(target), F.length(name), F.array().cast("array<bigint>")
+    of_target = F.when(size <= SHORT_NAME, deletions(F.col(target), limit)).otherwise(wanted_parts(F.col(target), limit))
+    by_rest = F.when(n <= SHORT_NAME + limit, deletions(F.col(name), limit)).otherwise(none)
+    by_part = F.when(n > SHORT_NAME - limit, parts(F.col(name), limit)).otherwise(none)
+    pairs = wanted.withColumn("__key", F.explode(of_target)).join(names.withColumn("__key", F.explode(F.concat(by_rest, by_part))), "__key")
     return pairs.withColumn("distance", F.levenshtein(target, name, limit)).where("distance >= 0").drop("__key")
 
 
-def nearest_names(targets: DataFrame, names: DataFrame, target: str = "target", name: str = "name", order: str = "ord", limit: int = 2, keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df) -> DataFrame:
+def nearest_names(targets: DataFrame, names: DataFrame, target: str = "target", name: str = "name", order: str = "ord", limit: int = 2) -> DataFrame:
     """For each distinct target the name within ``limit`` edits: fewest edits, then the first by ``order``."""
     names = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__name")).agg(F.min(order).alias("__ord"))
     wanted = targets.select(target).where(F.col(target).isNotNull()).distinct()
-    pairs = keep(near_names(keep(wanted, "wanted"), keep(names, "near-names"), target, "__name", limit), "pairs")
+    pairs = near_names(wanted, names, target, "__name", limit)
     return pairs.groupBy(target).agg(F.min_by(F.struct(F.col("__name").alias("name"), "distance"), F.struct("distance", "__ord")).alias("best")).select(target, "best.*")
 
 
@@ -117,7 +139,7 @@ def new_by_hash(rows: DataFrame, held: DataFrame, hash_col: str = "content_hash"
     return fresh.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
 
 
-def resolve_edges(edges: DataFrame, symbols: DataFrame, bindings: DataFrame | None, fuzzy_limit: int = 2, keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df) -> DataFrame:
+def resolve_edges(edges: DataFrame, symbols: DataFrame, bindings: DataFrame | None, fuzzy_limit: int = 2, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Resolve call targets by six ordered strategies; the first hit wins.
 
     ``edges``: src_qn, dst_qn, kind, confidence. ``symbols``: ord (insertion order), name, qualified_name.
@@ -127,11 +149,13 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame, bindings: DataFrame | No
     """
     known = symbols.select(F.col("qualified_name").alias("__qn")).distinct()
     by_name = symbols.groupBy(F.lower("name").alias("__n")).agg(F.count("*").alias("__count"), F.min_by("qualified_name", "ord").alias("__first"), F.min("ord").alias("__ord"))
-    by_name = keep(by_name, "names")
+    step = keep or (lambda df, label: df)
+    by_name = step(by_name, "names")
 
     def look(df: DataFrame, expression: Column, table: DataFrame, key: str, out: dict[str, str]) -> DataFrame:
         t = table.select(F.col(key).alias("__look"), *(F.col(c).alias(n) for c, n in out.items()))
-        return df.join(t, expression == F.col("__look"), "left").drop("__look")
+        some = F.coalesce(expression, "src_qn")  # rows that ask for nothing are most: by a null they would all go to one task
+        return df.join(t, expression.isNotNull() & (some == F.col("__look")), "left").drop("__look")
 
     dst, src = F.col("dst_qn"), F.split("src_qn", r"\.")
     e = look(edges, dst, known, "__qn", {"__qn": "exact"})
@@ -145,7 +169,7 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame, bindings: DataFrame | No
         e = look(e, F.lower(dst), bound, "__local", {"__target": "bind2"})
         e = e.withColumn("bind", F.coalesce("bind1", "bind2"))
         e = look(e, F.col("bind"), known, "__qn", {"__qn": "bind_known"})
-    e = keep(e, "looked")
+    e = step(e, "looked")
     e = look(e, F.lower(dst), by_name, "__n", {"__count": "n1", "__first": "first1"})
     e = look(e, F.when(dst.contains("."), F.lower(F.substring_index(dst, ".", 1))), by_name, "__n", {"__count": "n2", "__first": "first2"})
     e = e.withColumn("rebuilt", F.when(F.col("n2") == 1, F.concat("first2", F.expr("substring(dst_qn, instr(dst_qn, '.'))"))))
@@ -165,10 +189,11 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame, bindings: DataFrame | No
         .when(col("n1") == 1, hit(col("first1"), 0.85, yes, "import_resolved"))
         .when(col("rebuilt").isNotNull(), hit(col("rebuilt"), 0.75, col("rebuilt_known").isNotNull(), "type_hint"))
     )
-    e = keep(e.select(*edges.columns, found.alias("found"), F.when(found.isNull(), F.lower(dst)).alias("__fuzzy")), "named")
-    names = by_name.select(F.col("__n").alias("name"), F.col("__ord").alias("ord"), "__first")
-    near = nearest_names(e.where("__fuzzy IS NOT NULL").select(F.col("__fuzzy").alias("target")), names, limit=fuzzy_limit, keep=keep)
-    near = near.join(names.select("name", "__first"), "name").select(F.col("target").alias("__t"), F.col("__first").alias("__near"))
-    e = e.join(near, F.col("__fuzzy") == F.col("__t"), "left")
+    e = step(e.select(*edges.columns, found.alias("found"), F.when(found.isNull(), F.lower(dst)).alias("__fuzzy")), "named")
+    wanted = step(e.where("__fuzzy IS NOT NULL").select(F.col("__fuzzy").alias("__t")).distinct(), "wanted")
+    names = by_name.where("__n IS NOT NULL")
+    pairs = step(near_names(wanted, names.select("__n"), "__t", "__n", fuzzy_limit, keep), "pairs")
+    near = pairs.join(names, "__n").groupBy("__t").agg(F.min_by("__first", F.struct("distance", "__ord")).alias("__near"))
+    e = look(e, F.col("__fuzzy"), near, "__t", {"__near": "__near"})
     last = F.when(F.col("__near").isNotNull(), hit(F.col("__near"), 0.5, yes, "fuzzy")).otherwise(hit(dst, col("confidence"), F.lit(False), "unresolved"))
     return e.withColumn("found", F.coalesce("found", last)).select(*edges.columns, "found.*")

@@ -89,3 +89,57 @@ def test_index_plans_stay_small(spark, monkeypatch):
     index = I.index_files(files, index)
     assert sorted(r.strategy for r in index["references"].collect()) == ["fuzzy", "import_resolved", "import_resolved"]
     assert max(sizes) <= 6 and joins.resolve_edges
+
+
+def test_facts_come_from_one_pass(spark):
+    """Of equal names in a file the last, and every edge from a symbol once; what two passes and their joins gave before."""
+    code = "import { x } from './x';\nfunction twice() { a(); a(); }\nclass C extends B { m() { a(); } }\nfunction twice() { b(); }\n"
+    files = spark.createDataFrame([(1, code, "typescript", "f"), (2, "def one():\n    two()\n", "python", "g"), (3, None, None, None)], "id long, code string, lang string, stem string")
+    facts = C.extract_facts(files).collect()
+    symbols = {}
+    for r in sorted(C.extract_symbols(files).collect(), key=lambda r: r.start):
+        symbols[r.id, r.qualified_name] = tuple(r)
+    names = ["id", "kind", "name", "qualified_name", "parent", "start", "end", "start_line", "end_line"]
+    assert sorted(tuple(r[n] for n in names) for r in facts if r.qualified_name) == sorted(symbols.values(), key=lambda x: (x[0], x[1]))
+    edges = {(r.id, r.src_qn, r.dst_qn, r.kind, r.confidence) for r in C.extract_edges(files).collect() if (r.id, r.src_qn) in symbols}
+    got = [(r.id, r.src_qn, r.dst_qn, r.kind, r.confidence) for r in facts if r.src_qn]
+    assert set(got) == edges and len(got) == len(edges) > 3
+
+
+def test_names_with_other_beginnings_make_no_keys(spark):
+    """Names meet by their beginnings before they become hundreds of keys, and no pair is lost by it."""
+    import random
+
+    from lodeweave.operators import joins
+    from lodeweave.sources.worktables import stored
+
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abé_1") for _ in range(draw.choice([0, 1, 2, 3, 4, 5, 6, 9, 23, 27])))
+    sides = [{word() for _ in range(150)} | {f"{p}777{i}" for i in range(50)} for p in ("absent_", "fn")]
+    frames = [spark.createDataFrame([(x,) for x in sorted(s)], f"{c} string") for s, c in zip(sides, "wn", strict=True)]
+    w, n = stored(frames[0], "w"), stored(frames[1], "n")
+    left = [{r[0] for r in df.collect()} for df in joins.with_shared_heads(w, n, "w", "n", 2, stored)]
+    assert not any(x.startswith("absent_") for x in left[0]) and not any(x.startswith("fn") for x in left[1])
+    plain = {tuple(r) for r in joins.near_names(w, n, "w", "n", 2).collect()}
+    assert {tuple(r) for r in joins.near_names(w, n, "w", "n", 2, stored).collect()} == plain and len(plain) > 100
+
+
+def test_index_gives_back_what_its_steps_took(spark):
+    """After a batch the driver knows next to no shuffle of its steps, and of their tables only the index is left."""
+    import os
+    import time
+
+    from lodeweave.sources import worktables
+
+    shuffles = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    folder = worktables.application_folder(spark).removeprefix("file://")
+    spark._jvm.System.gc()
+    time.sleep(2)
+    tables, before = set(os.listdir(folder)) if os.path.isdir(folder) else set(), shuffles()
+    files = spark.createDataFrame([("a.ts", "function alpha() { beta(); gama(); }\n", "typescript", "a"), ("b.ts", "function beta() {}\nfunction gamma() { alpha(); }\n", "typescript", "b")], "path string, code string, lang string, stem string")
+    index = I.index_files(files, I.empty_index(spark))
+    until = time.time() + 20
+    while shuffles() > before + 8 and time.time() < until:
+        time.sleep(0.5)
+    assert shuffles() <= before + 8
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - tables) == sorted(index)
