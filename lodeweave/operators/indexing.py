@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.worktables import release, scratch, stored
 from .code import extract_facts, split_code
-from .joins import innermost_interval, near_names, resolve_edges
+from .joins import apart, innermost_interval, near_names, resolve_edges
 
 #: The tables of an index. ``references`` holds what every file calls, imports and extends, resolved or waiting.
 INDEX = {
@@ -41,12 +41,12 @@ def to_decide_again(references: DataFrame, changed: DataFrame) -> DataFrame:
     """
     keys = changed.select(F.explode(F.array(F.concat(F.lit("q:"), "qualified_name"), F.concat(F.lit("n:"), F.lower("name")))).alias("key"))
     asked = references.select("path", "src_qn", "dst_qn", "kind", F.explode(asked_names(references)).alias("key"))
-    exact = asked.join(keys, "key", "left_semi").drop("key")
+    exact = asked.join(apart(keys), "key", "left_semi").drop("key")
     open_calls = references.where("kind = 'calls' AND strategy IN ('fuzzy', 'unresolved')").withColumn("wanted", F.lower("dst_qn"))
     wanted = step(open_calls.select("wanted").where("wanted IS NOT NULL").distinct(), "wanted")
     names = step(changed.where("name IS NOT NULL").select(F.lower("name").alias("near")).distinct(), "near-names")
     near = step(near_names(wanted, names, "wanted", "near", FUZZY, step).select("wanted").distinct(), "near")
-    close = open_calls.join(near, "wanted", "left_semi").select("path", "src_qn", "dst_qn", "kind")
+    close = open_calls.join(apart(near), "wanted", "left_semi").select("path", "src_qn", "dst_qn", "kind")
     return exact.unionByName(close).distinct()
 
 
@@ -79,11 +79,11 @@ def step(df: DataFrame, label: str) -> DataFrame:
 def _index_files(files: DataFrame, held: dict[str, DataFrame], size: int, overlap: int, removed: DataFrame | None, lasting: Callable[[DataFrame, str], DataFrame]) -> dict[str, DataFrame]:
     """``index_files`` with work tables that are dropped after it, but for what ``lasting`` stores."""
     files = files.where("path IS NOT NULL").dropDuplicates(["path"]).withColumn("hash", F.sha2(F.coalesce("code", F.lit("")), 256))
-    changed = step(files.join(held["files"].select("path", "hash"), ["path", "hash"], "left_anti"), "changed")
+    changed = step(files.join(apart(held["files"].select("path", "hash")), ["path", "hash"], "left_anti"), "changed")
     gone = changed.select("path") if removed is None else step(changed.select("path").unionByName(removed.select("path")).distinct(), "gone")
     if gone.isEmpty():
         return held
-    rest = lambda name: held[name].join(gone, "path", "left_anti")
+    rest = lambda name: held[name].join(apart(gone), "path", "left_anti")
     out = {"files": lasting(rest("files").unionByName(changed.select("path", "hash", "lang")), "files")}
 
     sym_id = lambda qualified: F.xxhash64("path", qualified)
@@ -97,16 +97,16 @@ def _index_files(files: DataFrame, held: dict[str, DataFrame], size: int, overla
     again = None
     if not kept.isEmpty():
         depends = ["path", "name", "qualified_name", "start"]  # what an answer depends on
-        before, after = held["symbols"].join(gone, "path", "left_semi").select(*depends, F.lit(-1).alias("n")), found.select(*depends, F.lit(1).alias("n"))
+        before, after = held["symbols"].join(apart(gone), "path", "left_semi").select(*depends, F.lit(-1).alias("n")), found.select(*depends, F.lit(1).alias("n"))
         moved = step(before.unionByName(after).groupBy(depends).agg(F.sum("n").alias("n")).where("n <> 0"), "moved")
         again = step(to_decide_again(kept, moved), "again")
-    undecided = new if again is None else new.unionByName(kept.join(again, key, "left_semi").select(*new.columns))
+    undecided = new if again is None else new.unionByName(kept.join(apart(again), key, "left_semi").select(*new.columns))
 
     order = F.struct("path", "start")
     decided = resolve_edges(undecided, symbols.select(order.alias("ord"), "name", "qualified_name"), None, FUZZY, keep=step)
     ends = symbols.groupBy(F.col("qualified_name").alias("target")).agg(F.min_by("id", order).alias("dst"))
-    decided = decided.join(ends, "target", "left").withColumn("dst", F.when(F.col("resolved"), F.col("dst"))).select(held["references"].columns)
-    decided = decided if again is None else kept.join(again, key, "left_anti").unionByName(decided)
+    decided = decided.join(apart(ends), "target", "left").withColumn("dst", F.when(F.col("resolved"), F.col("dst"))).select(held["references"].columns)
+    decided = decided if again is None else kept.join(apart(again), key, "left_anti").unionByName(decided)
     references = out["references"] = lasting(decided, "references")
     out["edges"] = lasting(references.where("dst IS NOT NULL").groupBy("src", "dst", "kind").agg(F.max("score").alias("confidence")), "edges")  # an edge is held once
 

@@ -26,6 +26,11 @@ def innermost_interval(points: DataFrame, spans: DataFrame, key: str, point_id:
     return points.join(best, point_id, "left")
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The side of a join that is never broadcast: the driver builds what is, and in a job of many steps that adds up."""
+    return df.hint("merge")
+
+
 #: Names up to this length meet by what is left of them after deletions, longer ones by a part that no edit touched.
 SHORT_NAME = 24
 #: Bytes of names that a task takes: a name becomes hundreds of keys.
@@ -76,8 +81,8 @@ def with_shared_heads(wanted: DataFrame, names: DataFrame, target: str, name: st
         return df.select(F.substring(column, 1, HEAD + limit).alias("__head")).distinct().withColumn("__key", F.explode(deletions(F.col("__head"), limit, HEAD)))
 
     sides = [(wanted, target, heads(wanted, target)), (names, name, heads(names, name))]
-    shared = keep(sides[0][2].select("__key").join(sides[1][2], "__key", "left_semi").distinct(), "heads")
-    return tuple(df.withColumn("__head", F.substring(c, 1, HEAD + limit)).join(h.join(shared, "__key", "left_semi"), "__head", "left_semi").drop("__head") for df, c, h in sides)
+    shared = keep(sides[0][2].select("__key").join(apart(sides[1][2]), "__key", "left_semi").distinct(), "heads")
+    return tuple(df.withColumn("__head", F.substring(c, 1, HEAD + limit)).join(apart(h.join(apart(shared), "__key", "left_semi")), "__head", "left_semi").drop("__head") for df, c, h in sides)
 
 
 def near_names(wanted: DataFrame, names: DataFrame, target: str, name: str, limit: int, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
@@ -96,7 +101,8 @@ def near_names(wanted: DataFrame, names: DataFrame, target: str, name: str, limi
     of_target = F.when(size <= SHORT_NAME, deletions(F.col(target), limit)).otherwise(wanted_parts(F.col(target), limit))
     by_rest = F.when(n <= SHORT_NAME + limit, deletions(F.col(name), limit)).otherwise(none)
     by_part = F.when(n > SHORT_NAME - limit, parts(F.col(name), limit)).otherwise(none)
-    pairs = wanted.withColumn("__key", F.explode(of_target)).join(names.withColumn("__key", F.explode(F.concat(by_rest, by_part))), "__key")
+    names = names.withColumn("__key", F.explode(F.concat(by_rest, by_part)))
+    pairs = wanted.withColumn("__key", F.explode(of_target)).join(apart(names) if keep else names, "__key")
     return pairs.withColumn("distance", F.levenshtein(target, name, limit)).where("distance >= 0").drop("__key")
 
 
@@ -155,7 +161,7 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame, bindings: DataFrame | No
     def look(df: DataFrame, expression: Column, table: DataFrame, key: str, out: dict[str, str]) -> DataFrame:
         t = table.select(F.col(key).alias("__look"), *(F.col(c).alias(n) for c, n in out.items()))
         some = F.coalesce(expression, "src_qn")  # rows that ask for nothing are most: by a null they would all go to one task
-        return df.join(t, expression.isNotNull() & (some == F.col("__look")), "left").drop("__look")
+        return df.join(apart(t) if keep else t, expression.isNotNull() & (some == F.col("__look")), "left").drop("__look")
 
     dst, src = F.col("dst_qn"), F.split("src_qn", r"\.")
     e = look(edges, dst, known, "__qn", {"__qn": "exact"})
@@ -193,7 +199,7 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame, bindings: DataFrame | No
     wanted = step(e.where("__fuzzy IS NOT NULL").select(F.col("__fuzzy").alias("__t")).distinct(), "wanted")
     names = by_name.where("__n IS NOT NULL")
     pairs = step(near_names(wanted, names.select("__n"), "__t", "__n", fuzzy_limit, keep), "pairs")
-    near = pairs.join(names, "__n").groupBy("__t").agg(F.min_by("__first", F.struct("distance", "__ord")).alias("__near"))
+    near = pairs.join(apart(names) if keep else names, "__n").groupBy("__t").agg(F.min_by("__first", F.struct("distance", "__ord")).alias("__near"))
     e = look(e, F.col("__fuzzy"), near, "__t", {"__near": "__near"})
     last = F.when(F.col("__near").isNotNull(), hit(F.col("__near"), 0.5, yes, "fuzzy")).otherwise(hit(dst, col("confidence"), F.lit(False), "unresolved"))
     return e.withColumn("found", F.coalesce("found", last)).select(*edges.columns, "found.*")

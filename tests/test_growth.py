@@ -143,3 +143,20 @@ def test_index_gives_back_what_its_steps_took(spark):
         time.sleep(0.5)
     assert shuffles() <= before + 8
     assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - tables) == sorted(index)
+
+
+def test_index_joins_stay_off_the_driver(spark, monkeypatch):
+    """The driver builds no broadcast of a table that grows with the files, whatever Spark guesses of its size."""
+    plans_of = {}
+
+    def seen(df, label):
+        plans_of[label] = plans_of.get(label, "") + str(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label)
+
+    real = I.stored
+    monkeypatch.setattr(I, "stored", seen)
+    files = spark.createDataFrame([("a.ts", "function alpha() { beta(); gama(); }\n", "typescript", "a"), ("b.ts", "function beta() {}\nfunction gamma() { alpha(); }\n", "typescript", "b")], "path string, code string, lang string, stem string")
+    I.index_files(files, I.index_files(files.where("path = 'a.ts'"), I.empty_index(spark)))
+    joins_of = {label for label, text in plans_of.items() if "Join" in text}
+    assert {"again", "looked", "named", "near", "references"} <= joins_of
+    assert not [label for label in joins_of - {"chunks"} if "Broadcast" in plans_of[label]]
